@@ -34,13 +34,15 @@ class Plan:
     rows: int = 5
     base: float = 1.001
     rate: float = 20.0
-    margin: float = 0.17  # by which an estimate may fall short: over five standard deviations of 200 registers
+    margin: float = 0.12  # by which an estimate may fall short: over four standard deviations of 200 registers
 
     @property
     def registers(self) -> int:
         return self.bands * self.rows
 
 
+#: Text bytes a step handles; sketching needs more memory than other steps.
+STEP = 2 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,7 +132,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n_shingles, two sums that tell equal sets, and the registers as bytes (null for an empty set)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches):
+        for part, data, offsets in slices(batches, limit=STEP):
             row, value = shingles(data, offsets, plan.words)
             n = part.num_rows
             size = np.bincount(row, minlength=n)
@@ -172,7 +174,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Those of the pairs whose full shingle sets reach the threshold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "ta"):
+        for part, data, offsets in slices(batches, "ta", STEP):
             sets = []
             for _, d, o in ((0, data, offsets), *slices(iter([part]), "tb", 1 << 62)):
                 row, value = shingles(d, o, plan.words)
@@ -187,6 +189,24 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long")
 
 
+def shared_sizes(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, n (distinct shingles) and s (those that some other of ``docs`` has as well).
+
+    Two of ``docs`` share at most the smaller s, which bounds their similarity exactly.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches, limit=STEP):
+            row, value = shingles(data, offsets, plan.words)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(value.view(np.int64))], ["doc_id", "h"])
+
+    docs = docs.dropDuplicates(["doc_id"])
+    held = written(docs.mapInArrow(work, "doc_id long, h long"), "shingles")
+    alone = held.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    size = held.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return size.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) for every node of ``edges`` (a, b), by alternating stars.
 
@@ -231,14 +251,20 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     first = written(confirmed(written(estimated(stars, reps, plan), "estimates"), docs, plan), "links")
     roots = components(first)
 
-    # a bucket's members outside its most frequent component, against its members in other components
-    known = buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "pivot", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    # What is not yet decided: two members of a bucket, neither its pivot, in different components. Members outside the
+    # bucket's most frequent component are compared with all others that may reach the threshold by their shared shingles.
+    known = buckets.where("doc_id > pivot").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     per = known.groupBy("key", "root").agg(F.count("*").alias("n"))
     mains = per.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     mixed = written(known.join(mains, "key"), "mixed")
-    minor = mixed.where("root <> main").select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-    rest = minor.join(mixed.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry"), "main", "pivot"), "key")
-    rest = rest.where("rx <> ry and x <> pivot and y <> pivot and (ry = main or x < y)")
+    sizes = shared_sizes(docs.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"), plan)
+    mixed = written(mixed.join(sizes, "doc_id"), "sized")
+    least = mixed.groupBy("key").agg(F.min("n").alias("least"))
+    may = lambda s, n, other: s * 100 >= (n + other - s) * plan.percent
+    minor = mixed.where("root <> main").join(least, "key").where(may(F.col("s"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * plan.percent / 100))))
+    minor = minor.select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
+    rest = minor.join(mixed.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry"), "main", F.col("n").alias("ny"), F.col("s").alias("sy")), "key")
+    rest = rest.where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & may(F.least("sx", "sy"), F.col("nx"), F.col("ny")))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = confirmed(written(estimated(rest, reps, plan), "estimates"), docs, plan)
     roots = components(first.union(second))
