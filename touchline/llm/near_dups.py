@@ -5,7 +5,7 @@ logarithms of minima of exponential variables; equal sets have equal registers a
 registers are the larger of the two. Registers are banded; members of a bucket are compared with its
 smallest member first, so a bucket of g texts gives g - 1 pairs. Pairs are estimated by the joint
 likelihood of the two sketches, and those within reach of the threshold are confirmed on full sets.
-What star comparison cannot settle, pairs across components in one bucket, is compared in a second round.
+What star comparison cannot settle, pairs across components in one bucket, goes through an exact prefix filter.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.llm.common import lowered, mix, run_hashes, runs, slices, texts_of, written
@@ -189,22 +190,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long")
 
 
-def shared_sizes(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, n (distinct shingles) and s (those that some other of ``docs`` has as well).
-
-    Two of ``docs`` share at most the smaller s, which bounds their similarity exactly.
-    """
+def ranked(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, h, rank: each text's shingles that some other of ``docs`` has as well, ranked among all its own from rare to common."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, limit=STEP):
             row, value = shingles(data, offsets, plan.words)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(value.view(np.int64))], ["doc_id", "h"])
 
-    docs = docs.dropDuplicates(["doc_id"])
     held = written(docs.mapInArrow(work, "doc_id long, h long"), "shingles")
-    alone = held.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    size = held.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return size.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+    found = held.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id"))
+    alone = found.where("df = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    shared = held.join(found.where("df > 1").select("h", "df"), "h").join(alone, "doc_id", "left")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "h"))  # one text's shingles
+    return shared.select("doc_id", "h", (place + F.coalesce("alone", F.lit(0))).alias("rank"))
+
+
+def undecided(buckets: DataFrame, roots: DataFrame, texts: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) that star comparison left open and that may reach the threshold.
+
+    Open are two members of a bucket, neither its pivot, in different components. Members outside a bucket's most
+    frequent component are looked up by prefix filtering, which is exact: ranked from rare to common, two sets that
+    reach the threshold share one of their first shingles, and so near the front that enough can follow.
+    """
+    p = plan.percent
+    known = buckets.where("doc_id > pivot").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    per = known.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mains = per.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+    mixed = known.join(mains, "key").groupBy("doc_id").agg(F.first("root").alias("root"), F.max((F.col("root") != F.col("main")).cast("int")).alias("minor"))
+    mixed = written(mixed.join(sizes, "doc_id"), "mixed")
+    front = ranked(texts.join(mixed.select("doc_id"), "doc_id", "left_semi"), plan).join(mixed, "doc_id")
+    front = written(front.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * p / 100) + 1), "front")
+    short = F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * p) / (100 + p)) + 1  # enough for the smaller of two sets
+    x = lambda df: df.select("h", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "root", "n", "rank")])
+    y = lambda df: df.select("h", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "root", "n", "rank")])
+    reach = (1 + F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank"))) * (100 + p) >= (F.col("x_n") + F.col("y_n")) * p
+    open_ = (F.col("x_root") != F.col("y_root")) & reach & (F.col("x_n") * 100 >= F.col("y_n") * p) & (F.col("x_n") <= F.col("y_n"))
+    minor = F.col("minor") == 1
+    pairs = x(front.where(minor & short)).join(y(front), "h").where(open_)
+    pairs = pairs.union(x(front.where(short & ~minor)).join(y(front.where(minor)), "h").where(open_))
+    return pairs.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,25 +273,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("top > pivot").select("key", "pivot")
     buckets = written(keys.join(shared, "key"), "buckets")
     stars = buckets.where("doc_id > pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = written(confirmed(written(estimated(stars, reps, plan), "estimates"), docs, plan), "links")
+    # the texts that any comparison may ask for leave the corpus once
+    asked = docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = written(asked.dropDuplicates(["doc_id"]), "texts")
+    first = written(confirmed(written(estimated(stars, reps, plan), "estimates"), texts, plan), "links")
     roots = components(first)
 
-    # What is not yet decided: two members of a bucket, neither its pivot, in different components. Members outside the
-    # bucket's most frequent component are compared with all others that may reach the threshold by their shared shingles.
-    known = buckets.where("doc_id > pivot").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    per = known.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mains = per.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    mixed = written(known.join(mains, "key"), "mixed")
-    sizes = shared_sizes(docs.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"), plan)
-    mixed = written(mixed.join(sizes, "doc_id"), "sized")
-    least = mixed.groupBy("key").agg(F.min("n").alias("least"))
-    may = lambda s, n, other: s * 100 >= (n + other - s) * plan.percent
-    minor = mixed.where("root <> main").join(least, "key").where(may(F.col("s"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * plan.percent / 100))))
-    minor = minor.select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
-    rest = minor.join(mixed.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry"), "main", F.col("n").alias("ny"), F.col("s").alias("sy")), "key")
-    rest = rest.where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & may(F.least("sx", "sy"), F.col("nx"), F.col("ny")))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = confirmed(written(estimated(rest, reps, plan), "estimates"), docs, plan)
+    rest = undecided(buckets, roots, texts, reps.select("doc_id", F.col("n_shingles").alias("n")), plan)
+    second = confirmed(written(estimated(rest, reps, plan), "estimates"), texts, plan)
     roots = components(first.union(second))
 
     found = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
