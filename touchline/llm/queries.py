@@ -71,4 +71,28 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+s AS (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY turn, r, t) p,
+  24 + length(r) + length(t) + length(r || t) - length(replace(r || t, '\\', '')) + 2 * (length(r || t) - length(replace(r || t, '<', ''))) n FROM c)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) turns_sha256,
+  CAST(coalesce(sum(CASE WHEN r = 'assistant' THEN length(t) END), 0) AS BIGINT) loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN t END, '' ORDER BY turn, r, t), '')) loss_sha256,
+  CAST(sum(n) AS BIGINT) formatted_chars,
+  bool_and(CASE WHEN p IS NULL THEN r IN ('system', 'user') WHEN p IN ('system', 'assistant') THEN r = 'user' WHEN p = 'user' THEN r = 'assistant' ELSE false END) AS valid
+FROM s GROUP BY conv_id""",
+    "op8_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+win AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') x, len(w[i:i + 9]) l FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT l FROM win),
+ats AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) i FROM d),
+shown AS (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') x FROM ats, lens WHERE i + l - 1 <= len(w)),
+hit AS (SELECT doc_id, i, shown.l, item_id FROM shown JOIN win ON shown.x = win.x AND shown.l = win.l),
+n AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) item FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+}
