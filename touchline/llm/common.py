@@ -132,20 +132,25 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end] by differences of one running polynomial; runs may overlap."""
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each values[start:end] by differences of one running polynomial; runs may overlap."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     global _UP, _DOWN
-    if len(_UP) < len(data) + 1:
-        _UP, _DOWN = _powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1)
+    if len(_UP) < len(values) + 1:
+        _UP, _DOWN = _powers(_BASE, len(values) + 1), _powers(_INVERSE, len(values) + 1)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _UP[: len(data)], out=total[1:])
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _UP[: len(values)], out=total[1:])
         value = (total[ends] - total[starts]) * _DOWN[starts]
         return mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes data[start:end] of each run."""
+    return sequence_hashes(_BYTE[data], starts, ends)
+
+
 _UP, _DOWN = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 

@@ -1,7 +1,9 @@
 """Operator 9: repeated passages removed by sliding spans of sentences.
 
-Every run of ``sentences`` consecutive sentences with at least ``min_words`` words is hashed. Runs join
-globally by hash: the first (smallest doc_id, place) stays, and the sentences of all others are removed.
+A span is a run of several consecutive sentences, as many as it takes to hold ``min_words`` words; one sentence of so many
+words is a span by itself. Spans are taken forward from every sentence and backward from every sentence, so that a
+repeated passage is covered to its last sentence. They join globally by hash: the first (smallest doc_id, place)
+stays, and the sentences of all others are removed. Short repeated lines stay.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import mix, run_hashes, runs, slices, texts_of, written
+from touchline.llm.common import run_hashes, runs, sequence_hashes, slices, texts_of, written
 
-SENTENCES, MIN_WORDS = 2, 8
+MIN_WORDS = 16
 
 
 def sentence_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,32 +38,34 @@ def sentence_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return at, np.searchsorted(offsets, at, side="right") - 1
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number of the first sentence in its text, and hash of each span."""
+def spans(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the first sentence in its text, number of sentences, and hash of each span."""
     at, row = sentence_bounds(data, offsets)
-    if len(at) < sentences:
-        none = np.zeros(0, np.int64)
-        return none, none, none
+    none = np.zeros(0, np.int64)
     white = (data == 32) | ((data >= 9) & (data <= 13))
     word_at, word_end, _ = runs(~white, offsets)
+    if not len(at) or not len(word_at):
+        return none, none, none, none
     first = np.searchsorted(word_at, at)
     last = np.append(first[1:], len(word_at))
     some = last > first
-    begin = np.where(some, word_at[np.minimum(first, len(word_at) - 1)], at) if len(word_at) else at
-    end = np.where(some, word_end[np.maximum(last - 1, 0)], at) if len(word_at) else at
-    value, words = run_hashes(data, begin, end), last - first
-    number = np.arange(len(at)) - np.searchsorted(row, row)
-    k = len(at) - sentences + 1
-    made, count = np.zeros(k, np.uint64), np.zeros(k, np.int64)
-    with np.errstate(over="ignore"):
-        for i in range(sentences):
-            made = mix(made * np.uint64(0x9E3779B97F4A7C15) + value[i : i + k] + np.uint64(i + 1))
-            count += words[i : i + k]
-    keep = (row[:k] == row[sentences - 1 :]) & (count >= min_words)
-    return row[:k][keep], number[:k][keep], made[keep].view(np.int64)
-
-
-def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    begin = np.where(some, word_at[np.minimum(first, len(word_at) - 1)], at)
+    end = np.where(some, word_end[np.maximum(last - 1, 0)], at)
+    value = run_hashes(data, begin, end)
+    total = np.append(first, len(word_at))  # words before each sentence
+    opens, closes = np.searchsorted(row, row), np.searchsorted(row, row, side="right")
+    here = np.arange(len(at))
+    to = np.searchsorted(total, total[:-1] + min_words)  # forward from each sentence
+    ahead = to <= closes
+    back = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # backward from each sentence
+    behind = back >= opens
+    pairs = np.concatenate([here[ahead] * (len(at) + 1) + to[ahead], back[behind] * (len(at) + 1) + here[behind] + 1])
+    pairs = np.unique(pairs)
+    a, b = pairs // (len(at) + 1), pairs % (len(at) + 1)
+    return row[a], a - opens[a], b - a, sequence_hashes(value, a, b).view(np.int64)
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with text cut, and n_removed (sentences) and removed_words; all other columns stay.
 
     Null stays null and empty stays empty, with 0 removed. Rows that repeat a doc_id count as one document for
@@ -70,15 +74,15 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, min_words: int =
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches):
-            row, number, value = spans(data, offsets, sentences, min_words)
-            yield pa.RecordBatch.from_arrays([pa.array(value), part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32))], ["h", "doc_id", "s"])
+            row, number, size, value = spans(data, offsets, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(value), part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "doc_id", "s", "n"])
 
-    made = texts_of(docs).mapInArrow(emit, "h long, doc_id long, s int")
+    made = texts_of(docs).mapInArrow(emit, "h long, doc_id long, s int, n int")
     made = written(made, "spans")
     where = F.struct("doc_id", "s")
     repeated = made.groupBy("h").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("h", "first")
-    again = made.join(repeated, "h").where(where != F.col("first")).select("doc_id", "s")
-    cuts = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("cut_at"))  # no more than a text's sentences
+    again = made.join(repeated, "h").where(where != F.col("first")).select("doc_id", "s", "n")
+    cuts = again.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n")).alias("cut_at"))  # no more than twice a text's sentences
 
     rest = [c for c in docs.columns if c not in ("n_removed", "removed_words")]
     joined = docs.select(*rest).join(cuts.withColumnsRenamed({"doc_id": "cut_id"}), F.col("doc_id") == F.col("cut_id"), "left").drop("cut_id")
@@ -96,8 +100,8 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, min_words: int =
                     words.append(0)
                     continue
                 out = np.zeros(first[k + 1] - first[k], bool)
-                for i in range(sentences):
-                    out[np.minimum(np.array(gone) + i, len(out) - 1)] = True
+                for span in gone:
+                    out[span["s"] : span["s"] + span["n"]] = True
                 parts = [data[bounds[first[k] + i] : bounds[first[k] + i + 1]].tobytes() for i in range(len(out))]
                 texts[k] = b"".join(p for p, o in zip(parts, out, strict=True) if not o).decode()
                 removed.append(int(out.sum()))
