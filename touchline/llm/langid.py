@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import LETTER, lowered, slices, texts_of
 
-#: Rows of each language in the training sample, landmarks of each, the most languages learned, and the ridge.
-PER_LANG, LANDMARKS, MOST_LANGS, RIDGE = 600, 24, 200, 0.05
+#: Rows of each language in the training sample and of all together, landmarks likewise, the most languages learned, and the ridge.
+PER_LANG, SAMPLE, LANDMARKS, ALL_LANDMARKS, MOST_LANGS, RIDGE = 600, 4000, 24, 400, 200, 0.05
 SPACE = 1 << 16  # one region of presence bits for pairs of bytes, one for hashed triples
 ROWS = 128
 
@@ -54,17 +54,24 @@ class Model:
         return self.kernel(bits) @ self.weights + self.bias
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """The model of a sample in a given order; its first rows of each language are the landmarks."""
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).astype(bool)
+
+
+def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """The model of a sample (packed presence bits) in a given order; its first rows of each language are the landmarks.
+    Bits are unpacked ROWS at a time."""
     names = sorted(set(langs))
     if not names:
         return None
     label = np.array([names.index(x) for x in langs])
-    chosen = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(names))])
-    grams = np.flatnonzero(bits[chosen].any(axis=0))
-    size = np.maximum(np.count_nonzero(bits[chosen], axis=1), 1)
-    rough = Model(names, grams, bits[chosen][:, grams].astype(np.float32).T.copy(), np.sqrt(size).astype(np.float32), np.zeros(0), np.zeros(0))
-    k = rough.kernel(bits).astype(np.float64)
+    each = max(1, min(landmarks, ALL_LANDMARKS // len(names)))
+    chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))])
+    own = unpacked(packed[chosen])
+    grams = np.flatnonzero(own.any(axis=0))
+    size = np.maximum(np.count_nonzero(own, axis=1), 1)
+    rough = Model(names, grams, own[:, grams].astype(np.float32).T.copy(), np.sqrt(size).astype(np.float32), np.zeros(0), np.zeros(0))
+    k = np.concatenate([rough.kernel(unpacked(packed[a : a + ROWS])) for a in range(0, len(packed), ROWS)]).astype(np.float64)
     value, vector = np.linalg.eigh(k[chosen])
     keep = value > 1e-6 * max(value.max(), 1e-12)
     to = vector[:, keep] / np.sqrt(value[keep])
@@ -84,6 +91,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return None
+    per_lang = min(per_lang, max(1, SAMPLE // len(counts)))
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, per_lang / n))])
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003.0
     sample = labelled.where(part < share[F.col("lang")]).select("doc_id", "text", "lang")
@@ -96,8 +104,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     rows = sorted(texts_of(sample, "lang").mapInArrow(work, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.lang, bytes(r.bits)))
     if not rows:
         return None
-    bits = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(bool)
-    return fit(bits, [r.lang for r in rows])
+    return fit(np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1), [r.lang for r in rows])
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
