@@ -20,6 +20,9 @@ import touchline
 #: Text bytes that a numpy step handles at once; its temporaries take some tens of times as much.
 CHUNK_BYTES = 4 << 20
 
+#: The same for steps that keep several numbers for each byte or word.
+STEP_BYTES = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests), a local one is set."""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.llm.common import lowered, mix, run_hashes, runs, slices, texts_of, written
+from touchline.llm.common import STEP_BYTES, lowered, mix, run_hashes, runs, slices, texts_of, written
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,6 @@ class Plan:
         return self.bands * self.rows
 
 
-#: Text bytes a step handles; sketching needs more memory than other steps.
-STEP = 2 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,7 +131,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n_shingles, two sums that tell equal sets, and the registers as bytes (null for an empty set)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, limit=STEP):
+        for part, data, offsets in slices(batches, limit=STEP_BYTES):
             row, value = shingles(data, offsets, plan.words)
             n = part.num_rows
             size = np.bincount(row, minlength=n)
@@ -175,7 +173,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Those of the pairs whose full shingle sets reach the threshold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "ta", STEP):
+        for part, data, offsets in slices(batches, "ta", STEP_BYTES):
             sets = []
             for _, d, o in ((0, data, offsets), *slices(iter([part]), "tb", 1 << 62)):
                 row, value = shingles(d, o, plan.words)
@@ -194,7 +192,7 @@ def ranked(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, h, rank: each text's shingles that some other of ``docs`` has as well, ranked among all its own from rare to common."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, limit=STEP):
+        for part, data, offsets in slices(batches, limit=STEP_BYTES):
             row, value = shingles(data, offsets, plan.words)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(value.view(np.int64))], ["doc_id", "h"])
 

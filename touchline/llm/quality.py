@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import mix, run_hashes, runs, slices, texts_of
+from touchline.llm.common import STEP_BYTES, mix, run_hashes, runs, slices, texts_of
 
 #: Word buckets (by hash), vector length, neighbours to each side, and the most labelled rows that the network sees.
 BUCKETS, DIM, REACH, SAMPLE = 8192, 32, 2, 20_000
@@ -65,7 +65,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total, seen = index_vectors(), np.zeros((BUCKETS, DIM), np.int64), np.zeros(BUCKETS, np.int64)
-        for _, data, offsets in slices(batches, limit=1 << 21):
+        for _, data, offsets in slices(batches, limit=STEP_BYTES // 2):
             word, row = bucket_words(data, offsets)
             if not len(word):
                 continue
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, limit=1 << 21):
+        for part, data, offsets in slices(batches, limit=STEP_BYTES // 2):
             made = pooled(data, offsets, sent.value)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), made.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
@@ -194,7 +194,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for part, data, offsets in slices(batches, limit=1 << 21):
+        for part, data, offsets in slices(batches, limit=STEP_BYTES // 2):
             x = pooled(data, offsets, model.vectors)
             value = model.net.score(x) if model.net else np.full(len(x), model.prior)
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(value.astype(np.float64))], [*rest, "score"])

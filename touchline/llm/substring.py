@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import run_hashes, runs, sequence_hashes, slices, texts_of, written
+from touchline.llm.common import STEP_BYTES, run_hashes, runs, sequence_hashes, slices, texts_of, written
 
 MIN_WORDS = 16
 
@@ -73,7 +73,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches):
+        for part, data, offsets in slices(batches, limit=STEP_BYTES):
             row, number, size, value = spans(data, offsets, min_words)
             yield pa.RecordBatch.from_arrays([pa.array(value), part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "doc_id", "s", "n"])
 
@@ -89,7 +89,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = rest.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches):
+        for part, data, offsets in slices(batches, limit=STEP_BYTES):
             at, row = sentence_bounds(data, offsets)
             bounds = np.append(at, len(data))
             first = np.searchsorted(row, np.arange(part.num_rows + 1))
