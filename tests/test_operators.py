@@ -1,6 +1,7 @@
 """Hand-computed values and edge cases."""
 
-import pandas as pd
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from touchline import functions as fn
@@ -39,14 +40,14 @@ def test_dates(spark):
 
 
 def test_strict_form_leaves_ties_out(spark):
-    rows = [(1, 0, 1, pd.Timestamp("2024-01-01"), 7, 1.0), (2, 0, 1, pd.Timestamp("2024-01-02"), 7, 3.0), (3, 0, 1, pd.Timestamp("2024-01-02"), 7, 5.0), (4, 0, 1, pd.Timestamp("2024-01-03"), 7, 0.0)]
+    rows = [(1, 0, 1, datetime(2024, 1, 1), 7, 1.0), (2, 0, 1, datetime(2024, 1, 2), 7, 3.0), (3, 0, 1, datetime(2024, 1, 2), 7, 5.0), (4, 0, 1, datetime(2024, 1, 3), 7, 0.0)]
     df = spark.createDataFrame(rows, "match_id long, league int, season int, date timestamp, team long, gf double")
     got = {r.match_id: r.gf_strict_2 for r in win.strict_form(df, 2, ("gf",)).collect()}
     assert got == {1: None, 2: 1.0, 3: 1.0, 4: 4.0}
 
 
 def test_elo_draw_counts_a_third(spark):
-    df = spark.createDataFrame([(1, 0, 1, 2, pd.Timestamp("2024-01-01"), 1, 1), (2, 0, 1, 2, pd.Timestamp("2024-01-08"), 2, 0)], "match_id long, league int, home_team_id long, away_team_id long, date timestamp, home_goals int, away_goals int")
+    df = spark.createDataFrame([(1, 0, 1, 2, datetime(2024, 1, 1), 1, 1), (2, 0, 1, 2, datetime(2024, 1, 8), 2, 0)], "match_id long, league int, home_team_id long, away_team_id long, date timestamp, home_goals int, away_goals int")
     rows = {r.match_id: r for r in models.elo_ratings(df.withColumn("date", F.col("date").cast("timestamp_ntz"))).collect()}
     e = 1 / (1 + 10 ** (-50 / 400))
     assert abs(rows[2].home_elo - (1500 + 32 * (1 / 3 - e))) < 1e-9

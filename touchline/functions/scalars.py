@@ -75,9 +75,11 @@ def match_type(diff: Column, absolute: bool = True) -> Column:
 
 
 def parse_day(text: Column, clock: Column | None = None) -> Column:
-    """dd/MM/yyyy, dd/MM/yy or ISO; ``clock`` (HH:mm) is added. Unreadable text is null."""
+    """dd/MM/yyyy, dd/MM/yy (from 1970 on) or ISO; ``clock`` (HH:mm) is added. Unreadable text is null."""
     four = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(text, F.lit("d/M/yyyy")))
-    two = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_timestamp(text, F.lit("d/M/yy")))
+    century = F.when(F.substring(text, -2, 2) >= "70", "19").otherwise("20")
+    full = F.concat(F.regexp_replace(text, r"\d{2}$", ""), century, F.substring(text, -2, 2))
+    two = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_timestamp(full, F.lit("d/M/yyyy")))
     day = F.coalesce(four, two, F.when(~text.contains("/"), F.try_to_timestamp(text)))
     if clock is None:
         return day
