@@ -186,6 +186,29 @@ def test_repeats(spark):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_against_brute_force(spark, small):
+    said = " ".join(WORDS[k % len(WORDS)] for k in range(18)).capitalize() + ". "
+    mine = [(-3, said * 4), (-2, "Own words here. " + said + "More own words. " + said * 2), (-1, said), (-1, said)]
+    rows = mine + [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    found, seen = {}, {}
+    for k, (i, text) in enumerate(rows):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        for _, s, n, h in zip(*substring.spans(data, np.array([0, len(data)]), substring.MIN_WORDS), strict=True):
+            found.setdefault(k, []).append((h, s, n))
+            seen[h] = min(seen.get(h, (i, s)), (i, s))
+    want = []
+    for k, (i, text) in enumerate(rows):
+        gone = {x for h, s, n in found.get(k, []) if seen[h] != (i, s) for x in range(s, s + n)}
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        bounds = [*substring.sentence_bounds(data, np.array([0, len(data)]))[0], len(data)]
+        left = b"".join(data[a:b].tobytes() for x, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if x not in gone).decode()
+        want.append((i, None if text is None else left, len(gone)))
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0], r[1] or "", r[2])
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=key) == sorted(want, key=key)
+    assert sum(n for i, _, n in want if i == -3) == 3
+
+
 def test_language(spark, small):
     docs = spark.read.parquet(f"{small}/../sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]

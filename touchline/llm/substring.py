@@ -65,6 +65,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.nda
     return row[a], a - opens[a], b - a, sequence_hashes(value, a, b).view(np.int64)
 
 
+def gathered(ids: pa.Array, row: np.ndarray, number: np.ndarray, size: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """One row for each text and distinct span: h, doc_id, first place s, sentences n, and ``more`` places in rising order
+    (null for none). A passage that a text holds many times so counts once in the join."""
+    order = np.lexsort((number, size, value, row))
+    row, number, size, value = row[order], number[order].astype(np.int32), size[order].astype(np.int32), value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (size[1:] != size[:-1])
+    at = np.flatnonzero(new)
+    extra = np.diff(np.append(at, len(row))) - 1
+    ends = np.append(0, np.cumsum(extra)).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[~new]), mask=pa.array(extra == 0)) if len(at) else pa.array([], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(value[at]), ids.take(pa.array(row[at])), pa.array(number[at]), pa.array(size[at]), more], ["h", "doc_id", "s", "n", "more"])
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with text cut, and n_removed (sentences) and removed_words; all other columns stay.
 
@@ -74,15 +88,17 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, limit=STEP_BYTES):
-            row, number, size, value = spans(data, offsets, min_words)
-            yield pa.RecordBatch.from_arrays([pa.array(value), part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "doc_id", "s", "n"])
+            yield gathered(part.column("doc_id"), *spans(data, offsets, min_words))
 
-    made = texts_of(docs).mapInArrow(emit, "h long, doc_id long, s int, n int")
+    made = texts_of(docs).mapInArrow(emit, "h long, doc_id long, s int, n int, more array<int>")
     made = written(made, "spans")
     where = F.struct("doc_id", "s")
-    repeated = made.groupBy("h").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("h", "first")
-    again = made.join(repeated, "h").where(where != F.col("first")).select("doc_id", "s", "n")
-    cuts = again.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n")).alias("cut_at"))  # no more than twice a text's sentences
+    last = F.struct("doc_id", F.coalesce(F.element_at("more", -1), "s"))
+    # written, so that the join deals its own two sides: a small one is sent whole, a skewed one is split at run time
+    repeated = written(made.groupBy("h").agg(F.min(where).alias("first"), F.max(last).alias("last")).where("first < last").select("h", "first"), "repeated")
+    other = where != F.col("first")
+    again = made.join(repeated, "h").where(other | F.col("more").isNotNull()).select("doc_id", F.when(other, F.col("s")).alias("s"), "n", "more")
+    cuts = again.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n", "more")).alias("cut_at"))  # no more than twice a text's sentences
 
     rest = [c for c in docs.columns if c not in ("n_removed", "removed_words")]
     joined = docs.select(*rest).join(cuts.withColumnsRenamed({"doc_id": "cut_id"}), F.col("doc_id") == F.col("cut_id"), "left").drop("cut_id")
@@ -101,7 +117,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     continue
                 out = np.zeros(first[k + 1] - first[k], bool)
                 for span in gone:
-                    out[span["s"] : span["s"] + span["n"]] = True
+                    for s in (*([] if span["s"] is None else [span["s"]]), *(span["more"] or [])):
+                        out[s : s + span["n"]] = True
                 parts = [data[bounds[first[k] + i] : bounds[first[k] + i + 1]].tobytes() for i in range(len(out))]
                 texts[k] = b"".join(p for p, o in zip(parts, out, strict=True) if not o).decode()
                 removed.append(int(out.sum()))
