@@ -8,6 +8,7 @@ from touchline import functions as fn
 from touchline.operators import evaluation as ev
 from touchline.operators import feedback as fb
 from touchline.operators import joins, models
+from touchline.operators import settlement as st
 from touchline.operators import windows as win
 from touchline.sources import readers
 
@@ -82,3 +83,31 @@ def test_stream_windows_equal_batch(spark, small, tmp_path):
     q.awaitTermination(120)
     want = windowed_prices(batch.withColumn("ts", F.col("ts").cast("timestamp")))
     assert spark.table("windows").exceptAll(want).count() == 0 and spark.table("windows").count() == want.count()
+
+
+def test_coupon_leaves_unknown_markets_out(spark):
+    df = spark.createDataFrame([(1, 0.5, 0.3, 0.2, "H", 2, 1, 0.6, None)], "match_id long, p_h double, p_d double, p_a double, result string, home_goals int, away_goals int, over25 double, corners int")
+    lines = {"over25": (F.col("over25"), F.col("home_goals") + F.col("away_goals") > 2), "corners": (F.lit(0.7), F.col("corners") > 7)}
+    legs = st.settled_legs(df, lines)
+    assert {(r.market, r.pick, r.won) for r in legs.collect()} == {("1x2", "1", True), ("double_chance", "1X", True), ("over25", "yes", True)}
+    assert st.coupon_scores(legs).first().score == "3/3"
+    assert st.settled_legs(df.limit(0), lines).count() == 0
+
+
+def test_registry_refuses_skipped_states(spark):
+    log = [("m", "a", 1, "staging"), ("m", "a", 2, "production"), ("m", "b", 3, "production"), ("m", "c", 4, "staging"), ("m", "c", 5, "production"), ("m", "d", 6, "staging"), ("m", "a", 7, "production")]
+    df = spark.createDataFrame([(m, v, at, at, to) for m, v, at, to in log], "model_id string, version string, at long, event_id long, to_status string")
+    got = {r.version: r.status for r in st.registry_states(df).collect()}
+    assert got == {"a": "archived", "b": "candidate", "c": "production", "d": "staging"}
+
+
+def test_blend_falls_back(spark):
+    r = one(spark, st.blend(F.lit(1.0), F.lit(2.0)), st.blend(F.lit(0.0), F.lit(2.0)), st.blend(F.lit(1.0), F.lit(None).cast("double")))
+    assert abs(r[0] - 1.3) < 1e-9 and r[1] == 2.0 and r[2] == 1.0
+
+
+def test_flip_moves_weak_predictions(spark):
+    rows = [(i, 0.5, 0.2, 0.3, "A", "H", 0, 0.5) for i in range(60)] + [(60 + i, 0.3, 0.2, 0.5, "A", "A", 1, 0.5) for i in range(20)]
+    df = spark.createDataFrame(rows, "match_id long, p_h double, p_d double, p_a double, result string, predicted string, correct int, confidence double")
+    got = {r.match_id: r for r in st.flips(df, F.lit("all")).collect()}
+    assert got[0].flip == "A" and abs(got[0].p_a - 0.45) < 1e-9 and got[70].flip is None and abs(got[70].p_a - 0.5) < 1e-9

@@ -13,6 +13,7 @@ from touchline.operators import evaluation as ev
 from touchline.operators import feedback as fb
 from touchline.operators import joins as jn
 from touchline.operators import live, models
+from touchline.operators import settlement as st
 from touchline.operators import windows as win
 from touchline.plans.matches import SQL, matches, predictions
 from touchline.session import table
@@ -477,6 +478,85 @@ def event_windows(spark, d):
     return made.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def _lines():
+    h, a = F.col("home_goals"), F.col("away_goals")
+    known = F.when(F.col("home_corners") > 0, F.col("home_corners") + F.col("away_corners"))
+    return {"btts": (F.col("p_d") + 0.3, (h > 0) & (a > 0)), "over15": (F.col("p_h") + 0.3, h + a >= 2), "over25": (F.col("p_h") + 0.1, h + a >= 3), "over35": (F.col("p_h"), h + a >= 4), "corners45": (F.col("p_a") + 0.2, known >= 5), "home_over15": (F.col("p_h") + 0.05, h >= 2)}
+
+
+_LEGS = f""", base AS (SELECT *, CASE result WHEN 'H' THEN '1' WHEN 'D' THEN 'X' ELSE '2' END sign, CASE {_PICK} WHEN 'H' THEN '1' WHEN 'D' THEN 'X' ELSE '2' END pick1, greatest(p_h,p_d,p_a) top, greatest(p_h+p_a,p_h+p_d,p_d+p_a) top2, CASE WHEN home_corners>0 THEN home_corners+away_corners END kc FROM preds),
+ dc AS (SELECT *, CASE WHEN p_h+p_a=top2 THEN '12' WHEN p_h+p_d=top2 THEN '1X' ELSE 'X2' END pick2 FROM base),
+ yn AS (SELECT match_id, 'btts' market, p_d+0.3 p, home_goals>0 AND away_goals>0 t FROM dc UNION ALL SELECT match_id, 'over15', p_h+0.3, home_goals+away_goals>=2 FROM dc UNION ALL SELECT match_id, 'over25', p_h+0.1, home_goals+away_goals>=3 FROM dc
+  UNION ALL SELECT match_id, 'over35', p_h, home_goals+away_goals>=4 FROM dc UNION ALL SELECT match_id, 'corners45', p_a+0.2, kc>=5 FROM dc WHERE kc IS NOT NULL UNION ALL SELECT match_id, 'home_over15', p_h+0.05, home_goals>=2 FROM dc),
+ legs AS (SELECT match_id, '1x2' market, pick1 pick, top p, pick1=sign won FROM dc UNION ALL SELECT match_id, 'double_chance', pick2, top2, contains(pick2, sign) FROM dc UNION ALL SELECT match_id, market, CASE WHEN p>=0.5 THEN 'yes' ELSE 'no' END, greatest(p,1-p), (p>=0.5)=t FROM yn)"""
+
+
+@query(_LEGS + " SELECT match_id, market, pick, round(p,6) p, won FROM legs")
+def coupon_legs(spark, d):
+    return st.settled_legs(_preds(spark, d), _lines()).select("match_id", "market", "pick", *r6("p"), "won")
+
+
+@query(_LEGS + " SELECT match_id, CAST(sum(CAST(won AS INT)) AS BIGINT) won, count(*) markets, sum(CAST(won AS INT)) || '/' || count(*) score FROM legs GROUP BY 1")
+def coupon_scores(spark, d):
+    return st.coupon_scores(st.settled_legs(_preds(spark, d), _lines()))
+
+
+@query(", x AS (SELECT *, row_number() OVER (PARTITION BY home_team_id ORDER BY date DESC, match_id DESC) rn FROM matches) SELECT home_team_id, round(avg(CAST(home_goals AS DOUBLE)),6) gf, round(avg(CAST(away_goals AS DOUBLE)),6) ga, round(avg(CASE WHEN home_goals+away_goals>2 THEN 1.0e0 ELSE 0.0e0 END),6) o25 FROM x WHERE rn<=20 GROUP BY 1")
+def recent_side_means(spark, d):
+    h, a = F.col("home_goals"), F.col("away_goals")
+    return st.recent_means(matches(spark, d), "home_team_id", {"gf": h, "ga": a, "o25": (h + a > 2).cast("int")}).select("home_team_id", *r6("gf", "ga", "o25"))
+
+
+def _mean_sql(name, by, tag, parts):
+    cols = ", ".join(f"avg(CAST({e} AS DOUBLE)) {tag}_{k}" for k, e in parts.items())
+    return f"{name} AS (SELECT {by}, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY date DESC, match_id DESC) rn FROM matches) WHERE rn<=20 GROUP BY 1)"
+
+
+def _blend_sql(t, g):
+    return f"CASE WHEN {t}>0 AND {g}>0 THEN 0.7*({t})+0.3*({g}) WHEN {t}>0 THEN {t} ELSE {g} END"
+
+
+_BT, _OV = "CAST(home_goals>0 AND away_goals>0 AS INT)", "CAST(home_goals+away_goals>2 AS INT)"
+_CHECK = ", " + ", ".join([
+    _mean_sql("hs", "home_team_id", "h", {"gf": "home_goals", "b": _BT, "o": _OV, "c": "home_corners"}),
+    _mean_sql("aws", "away_team_id", "a", {"gf": "away_goals", "b": _BT, "o": _OV, "c": "away_corners"}),
+    _mean_sql("ls", "league", "l", {"hg": "home_goals", "ag": "away_goals", "b": _BT, "o": _OV, "c": "home_corners+away_corners"}),
+    f"q AS (SELECT p.match_id, p.p_h, p.p_d, p.p_a, p_d+0.3 btts, p_h+0.1 over25, p_a+0.2 over15, p_d+0.2 over35, 4+12*p_h ct, p_a+0.3 c75, p_a+0.2 c85, p_a+0.1 c95, {_blend_sql('h_gf', 'l_hg')} ehg, {_blend_sql('a_gf', 'l_ag')} eag, {_blend_sql('(h_b+a_b)/2', 'l_b')} eb, {_blend_sql('(h_o+a_o)/2', 'l_o')} eo, {_blend_sql('(h_c+a_c)', 'l_c')} ec FROM preds p JOIN hs USING (home_team_id) JOIN aws USING (away_team_id) JOIN ls ON ls.league=p.league)",
+    "s1 AS (SELECT match_id, p_h, p_d, p_a, over15, over35, c75, c85, c95, CASE WHEN eb>0 AND abs(btts-eb)>0.15 THEN (btts+eb)/2 ELSE btts END btts, CASE WHEN eo>0 AND abs(over25-eo)>0.15 THEN (over25+eo)/2 ELSE over25 END over25, CASE WHEN ec>0 AND abs(ct-ec)/nullif(ec,0)>0.2 THEN 0.4*ct+0.6*ec ELSE ct END ct, CASE WHEN ehg>0 AND eag>0 THEN ehg/eag END r FROM q)",
+    "s2 AS (SELECT *, CASE WHEN r>1.8 AND p_h<0.5 THEN least(0.08,(r-1.8)*0.05) ELSE 0 END up, CASE WHEN r<0.55 AND p_a<0.45 THEN least(0.08,(0.55-r)*0.05) ELSE 0 END dn FROM s1)",
+    "s3 AS (SELECT *, greatest(0.02,least(0.95,p_h+up-dn/2)) h, greatest(0.02,least(0.5,p_d-(up+dn)/2)) d, greatest(0.02,least(0.95,p_a+dn-up/2)) a FROM s2)",
+]) + """ SELECT match_id, round(btts,6) btts, round(over25,6) over25, round(CASE WHEN over15<over25 THEN least(over25*1.2,0.98) ELSE over15 END,6) over15, round(CASE WHEN over35>over25 THEN greatest(over25*0.6,0.02) ELSE over35 END,6) over35, round(ct,6) corner_total,
+ round(CASE WHEN ct<7.5 THEN least(0.3,c75*0.6) WHEN ct<9.5 THEN least(0.65,c75) ELSE greatest(0.6,c75) END,6) corner_over75, round(CASE WHEN ct<7.5 THEN least(0.2,c85*0.5) WHEN ct<9.5 THEN least(0.45,c85) ELSE greatest(0.4,c85) END,6) corner_over85, round(CASE WHEN ct<7.5 THEN least(0.1,c95*0.4) WHEN ct<9.5 THEN least(0.25,c95*0.7) ELSE greatest(0.25,c95) END,6) corner_over95,
+ round(h/(h+d+a),6) p_h, round(d/(h+d+a),6) p_d, round(a/(h+d+a),6) p_a FROM s3"""
+
+
+@query(_CHECK)
+def market_check(spark, d):
+    p = _preds(spark, d)
+    given = {"btts": F.col("p_d") + 0.3, "over25": F.col("p_h") + 0.1, "over15": F.col("p_a") + 0.2, "over35": F.col("p_d") + 0.2, "corner_total": 4 + 12 * F.col("p_h"), "corner_over75": F.col("p_a") + 0.3, "corner_over85": F.col("p_a") + 0.2, "corner_over95": F.col("p_a") + 0.1}
+    return st.check_markets(p.withColumns(given), matches(spark, d)).select("match_id", *r6(*given, "p_h", "p_d", "p_a"))
+
+
+@query(_RECS + """, k AS (SELECT *, CASE WHEN abs(odds_h-odds_a)*50<50 THEN 'close' WHEN abs(odds_h-odds_a)*50<100 THEN 'slight' WHEN abs(odds_h-odds_a)*50<200 THEN 'clear' ELSE 'strong' END AS kind FROM recs), g AS (SELECT kind, predicted pr, count(*) n, avg(correct) r FROM k GROUP BY 1,2),
+ f AS (SELECT k.*, o.n, o.r, CASE WHEN predicted='H' THEN -1 WHEN coalesce(h.n,0)>=10 THEN h.r ELSE p_h END ah, CASE WHEN predicted='D' THEN -1 WHEN coalesce(dd.n,0)>=10 THEN dd.r ELSE p_d END ad, CASE WHEN predicted='A' THEN -1 WHEN coalesce(aa.n,0)>=10 THEN aa.r ELSE p_a END aw FROM k JOIN g o ON o.kind=k.kind AND o.pr=predicted
+  LEFT JOIN g h ON h.kind=k.kind AND h.pr='H' LEFT JOIN g dd ON dd.kind=k.kind AND dd.pr='D' LEFT JOIN g aa ON aa.kind=k.kind AND aa.pr='A'),
+ z AS (SELECT *, CASE WHEN n>=50 AND r<0.4 AND confidence<=0.65 AND greatest(ah,ad,aw)-r>=0.1 THEN CASE WHEN ah=greatest(ah,ad,aw) THEN 'H' WHEN ad=greatest(ah,ad,aw) THEN 'D' ELSE 'A' END END flip FROM f),
+ m AS (SELECT match_id, flip, p_h + CASE WHEN flip IS NULL THEN 0 WHEN flip='H' THEN 0.15 ELSE -0.075 END h, p_d + CASE WHEN flip IS NULL THEN 0 WHEN flip='D' THEN 0.15 ELSE -0.075 END d, p_a + CASE WHEN flip IS NULL THEN 0 WHEN flip='A' THEN 0.15 ELSE -0.075 END a FROM z)
+ SELECT match_id, flip, round(h/(h+d+a),6) p_h, round(d/(h+d+a),6) p_d, round(a/(h+d+a),6) p_a FROM m""")
+def weak_flips(spark, d):
+    made = st.flips(_recs(spark, d), fn.match_type((F.col("odds_h") - F.col("odds_a")) * 50))
+    return made.select("match_id", "flip", *r6("p_h", "p_d", "p_a"))
+
+
+@query(""", log AS (SELECT user_id%10 model_id, CAST(event_id%50 AS BIGINT) AS version, ts, event_id, CASE WHEN value<20 THEN 'staging' WHEN value<40 THEN 'production' ELSE 'candidate' END s FROM events), s AS (SELECT model_id, version, min((ts, event_id)) f FROM log WHERE s='staging' GROUP BY 1,2),
+ u AS (SELECT l.model_id, l.version, min((l.ts, l.event_id)) up FROM log l JOIN s ON s.model_id=l.model_id AND s.version=l.version WHERE l.s='production' AND (l.ts, l.event_id) > s.f GROUP BY 1,2), k AS (SELECT DISTINCT model_id, version FROM log), t AS (SELECT model_id, max(up) m FROM u GROUP BY 1)
+ SELECT k.model_id, k.version, CASE WHEN u.up=t.m THEN 'production' WHEN u.up IS NOT NULL THEN 'archived' WHEN s.f IS NOT NULL THEN 'staging' ELSE 'candidate' END status FROM k LEFT JOIN s ON s.model_id=k.model_id AND s.version=k.version LEFT JOIN u ON u.model_id=k.model_id AND u.version=k.version LEFT JOIN t ON t.model_id=k.model_id""")
+def registry_states(spark, d):
+    v = F.col("value")
+    log = table(spark, d, "events").select((F.col("user_id") % 10).alias("model_id"), (F.col("event_id") % 50).cast("long").alias("version"), F.col("ts").alias("at"), "event_id", F.when(v < 20, "staging").when(v < 40, "production").otherwise("candidate").alias("to_status"))
+    return st.registry_states(log)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
