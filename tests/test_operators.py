@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline import functions as fn
 from touchline.operators import evaluation as ev
 from touchline.operators import feedback as fb
-from touchline.operators import joins, models
+from touchline.operators import fitted, joins, models
 from touchline.operators import settlement as st
 from touchline.operators import windows as win
 from touchline.sources import readers
@@ -111,3 +111,35 @@ def test_flip_moves_weak_predictions(spark):
     df = spark.createDataFrame(rows, "match_id long, p_h double, p_d double, p_a double, result string, predicted string, correct int, confidence double")
     got = {r.match_id: r for r in st.flips(df, F.lit("all")).collect()}
     assert got[0].flip == "A" and abs(got[0].p_a - 0.45) < 1e-9 and got[70].flip is None and abs(got[70].p_a - 0.5) < 1e-9
+
+
+def test_dixon_coles_finds_the_stronger_team(spark):
+    import numpy as np
+
+    rng, rows, rate = np.random.default_rng(3), [], {1: 2.4, 2: 1.2, 3: 0.6}
+    for i in range(300):
+        h, a = rng.choice([1, 2, 3], 2, replace=False)
+        rows.append((i, 0, int(h), int(a), datetime(2024, 1, 1), int(rng.poisson(rate[h] * 1.3)), int(rng.poisson(rate[a]))))
+    df = spark.createDataFrame(rows, "match_id long, league int, home_team_id long, away_team_id long, date timestamp, home_goals int, away_goals int")
+    made = fitted.dixon_coles(df)
+    got = {r.team: r for r in made.collect()}
+    assert got[1].attack > got[2].attack > got[3].attack and 0.1 < got[1].home < 0.45 and abs(got[1].attack - got[2].attack - np.log(2)) < 0.25
+    ask = spark.createDataFrame([(1, 0, 1, 3), (2, 0, 9, 3), (3, 5, 1, 3)], "match_id long, league int, home_team_id long, away_team_id long")
+    rates = {r.match_id: r for r in fitted.goal_rates(ask, made).collect()}
+    assert 2.3 < rates[1].lh < 4 and rates[2].lh < rates[1].lh and abs(rates[3].lh - 1.43) < 1e-9
+    assert fitted.dixon_coles(df.limit(5)).count() == 0
+
+
+def test_calibration_mends_scores(spark):
+    rows = [(i / 1000, int(((i * 37) % 100) / 100 < (i / 1000) ** 2)) for i in range(1, 1000)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    iso = [r.isotonic for r in fitted.isotonic(df, df, "y", "s").orderBy("s").collect()]
+    assert all(b >= a for a, b in zip(iso, iso[1:], strict=False))
+    per = {r.method: r for r in fitted.best_calibration(df, df, "y", "s").collect()}
+    assert not per["none"].chosen and sum(r.chosen for r in per.values()) == 1 and per["beta"].log_loss < per["none"].log_loss
+
+
+def test_boosted_trees_learn_a_step(spark):
+    df = spark.createDataFrame([(i, float(i % 10), int(i % 10 > 6)) for i in range(200)], "match_id long, f double, y int")
+    got = {r.f: r.probabilities[1] for r in fitted.result_model(df, df, ["f"], "y", "trees").collect()}
+    assert got[9.0] > 0.8 and got[1.0] < 0.2

@@ -12,7 +12,7 @@ from touchline.operators import aggregates as agg
 from touchline.operators import evaluation as ev
 from touchline.operators import feedback as fb
 from touchline.operators import joins as jn
-from touchline.operators import live, models
+from touchline.operators import fitted, live, models
 from touchline.operators import settlement as st
 from touchline.operators import windows as win
 from touchline.plans.matches import SQL, matches, predictions
@@ -557,6 +557,37 @@ def registry_states(spark, d):
     return st.registry_states(log)
 
 
+@query(", x AS (SELECT CAST(result='H' AS INT) y, least(greatest(floor((p_h-0.25)/0.05+1e-9),-1),10) k FROM preds), t AS (SELECT i, round(0.25+i*0.05,6) AS threshold FROM range(11) r(i)), g AS (SELECT CAST(threshold AS DOUBLE) threshold, CAST(sum(CASE WHEN k>=i THEN y ELSE 0 END) AS BIGINT) tp, CAST(sum(CASE WHEN k>=i THEN 1 ELSE 0 END) AS BIGINT) picks, sum(y) pos FROM x, t GROUP BY 1), f AS (SELECT *, round(2.0e0*tp/nullif(picks+pos,0),6) f1 FROM g) SELECT threshold, tp, picks, f1, row_number() OVER (ORDER BY f1 DESC, threshold)=1 best FROM f")
+def best_threshold(spark, d):
+    return fitted.best_threshold(_preds(spark, d).withColumn("y", (F.col("result") == "H").cast("int")), "y", "p_h")
+
+
+@query()
+def dixon_coles_strengths(spark, d):
+    made = fitted.dixon_coles(matches(spark, d))
+    return made.select("league", "team", *r6("attack", "defence", "base", "home", "rho"), "n")
+
+
+@query()
+def dixon_coles_rates(spark, d):
+    m = matches(spark, d)
+    early = m.where("season < 1997")
+    return fitted.goal_rates(m.where("season >= 1997"), fitted.dixon_coles(early)).select("match_id", *r6("lh", "la"))
+
+
+@query()
+def calibration_choice(spark, d):
+    p = _preds(spark, d).withColumn("y", (F.col("result") == "H").cast("int"))
+    return fitted.best_calibration(p.where("season < 1997"), p.where("season >= 1997"), "y", "p_h").select("method", *r6("log_loss"), "chosen")
+
+
+@query()
+def result_classes(spark, d):
+    p = _preds(spark, d).withColumn("y", F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).otherwise(2))
+    made = fitted.result_model(p.where("season < 1997"), p.where("season >= 1997"), ["odds_h", "odds_d", "odds_a"], "y")
+    return made.select("match_id", *[F.round(F.get("probabilities", F.lit(i)), 6).alias(f"p{i}") for i in range(3)])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
