@@ -525,16 +525,16 @@ _CHECK = ", " + ", ".join([
     "s1 AS (SELECT match_id, p_h, p_d, p_a, over15, over35, c75, c85, c95, CASE WHEN eb>0 AND abs(btts-eb)>0.15 THEN (btts+eb)/2 ELSE btts END btts, CASE WHEN eo>0 AND abs(over25-eo)>0.15 THEN (over25+eo)/2 ELSE over25 END over25, CASE WHEN ec>0 AND abs(ct-ec)/nullif(ec,0)>0.2 THEN 0.4*ct+0.6*ec ELSE ct END ct, CASE WHEN ehg>0 AND eag>0 THEN ehg/eag END r FROM q)",
     "s2 AS (SELECT *, CASE WHEN r>1.8 AND p_h<0.5 THEN least(0.08,(r-1.8)*0.05) ELSE 0 END up, CASE WHEN r<0.55 AND p_a<0.45 THEN least(0.08,(0.55-r)*0.05) ELSE 0 END dn FROM s1)",
     "s3 AS (SELECT *, greatest(0.02,least(0.95,p_h+up-dn/2)) h, greatest(0.02,least(0.5,p_d-(up+dn)/2)) d, greatest(0.02,least(0.95,p_a+dn-up/2)) a FROM s2)",
-]) + """ SELECT match_id, round(btts,6) btts, round(over25,6) over25, round(CASE WHEN over15<over25 THEN least(over25*1.2,0.98) ELSE over15 END,6) over15, round(CASE WHEN over35>over25 THEN greatest(over25*0.6,0.02) ELSE over35 END,6) over35, round(ct,6) corner_total,
- round(CASE WHEN ct<7.5 THEN least(0.3,c75*0.6) WHEN ct<9.5 THEN least(0.65,c75) ELSE greatest(0.6,c75) END,6) corner_over75, round(CASE WHEN ct<7.5 THEN least(0.2,c85*0.5) WHEN ct<9.5 THEN least(0.45,c85) ELSE greatest(0.4,c85) END,6) corner_over85, round(CASE WHEN ct<7.5 THEN least(0.1,c95*0.4) WHEN ct<9.5 THEN least(0.25,c95*0.7) ELSE greatest(0.25,c95) END,6) corner_over95,
- round(h/(h+d+a),6) p_h, round(d/(h+d+a),6) p_d, round(a/(h+d+a),6) p_a FROM s3"""
+]) + """ SELECT match_id, round(btts,9) btts, round(over25,9) over25, round(CASE WHEN over15<over25 THEN least(over25*1.2,0.98) ELSE over15 END,9) over15, round(CASE WHEN over35>over25 THEN greatest(over25*0.6,0.02) ELSE over35 END,9) over35, round(ct,9) corner_total,
+ round(CASE WHEN ct<7.5 THEN least(0.3,c75*0.6) WHEN ct<9.5 THEN least(0.65,c75) ELSE greatest(0.6,c75) END,9) corner_over75, round(CASE WHEN ct<7.5 THEN least(0.2,c85*0.5) WHEN ct<9.5 THEN least(0.45,c85) ELSE greatest(0.4,c85) END,9) corner_over85, round(CASE WHEN ct<7.5 THEN least(0.1,c95*0.4) WHEN ct<9.5 THEN least(0.25,c95*0.7) ELSE greatest(0.25,c95) END,9) corner_over95,
+ round(h/(h+d+a),9) p_h, round(d/(h+d+a),9) p_d, round(a/(h+d+a),9) p_a FROM s3"""
 
 
 @query(_CHECK)
 def market_check(spark, d):
     p = _preds(spark, d)
     given = {"btts": F.col("p_d") + 0.3, "over25": F.col("p_h") + 0.1, "over15": F.col("p_a") + 0.2, "over35": F.col("p_d") + 0.2, "corner_total": 4 + 12 * F.col("p_h"), "corner_over75": F.col("p_a") + 0.3, "corner_over85": F.col("p_a") + 0.2, "corner_over95": F.col("p_a") + 0.1}
-    return st.check_markets(p.withColumns(given), matches(spark, d)).select("match_id", *r6(*given, "p_h", "p_d", "p_a"))
+    return st.check_markets(p.withColumns(given), matches(spark, d)).select("match_id", *[F.round(c, 9).alias(c) for c in (*given, "p_h", "p_d", "p_a")])
 
 
 @query(_RECS + """, k AS (SELECT *, CASE WHEN abs(odds_h-odds_a)*50<50 THEN 'close' WHEN abs(odds_h-odds_a)*50<100 THEN 'slight' WHEN abs(odds_h-odds_a)*50<200 THEN 'clear' ELSE 'strong' END AS kind FROM recs), g AS (SELECT kind, predicted pr, count(*) n, avg(correct) r FROM k GROUP BY 1,2),
