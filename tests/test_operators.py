@@ -143,3 +143,28 @@ def test_boosted_trees_learn_a_step(spark):
     df = spark.createDataFrame([(i, float(i % 10), int(i % 10 > 6)) for i in range(200)], "match_id long, f double, y int")
     got = {r.f: r.probabilities[1] for r in fitted.result_model(df, df, ["f"], "y", "trees").collect()}
     assert got[9.0] > 0.8 and got[1.0] < 0.2
+
+
+def test_binomial_tail_is_exact_at_every_size(spark):
+    from math import exp, lgamma, log
+
+    term = lambda i, n, p: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p))
+    cases = [(120, 201, 0.55), (825, 1250, 0.6), (3, 250, 0.5), (249, 250, 0.5), (250, 250, 0.5), (1, 5, 0.3), (601_500, 1_000_000, 0.6)]
+    got = one(spark, *[fb.binomial_tail(F.lit(k), F.lit(n), F.lit(p)) for k, n, p in cases])
+    for value, (k, n, p) in zip(got, cases, strict=True):
+        want = sum(term(i, n, p) for i in range(k, n + 1))
+        assert abs(value - want) < 1e-6 * want
+    assert list(one(spark, fb.binomial_tail(F.lit(0), F.lit(9), F.lit(0.5)), fb.binomial_tail(F.lit(10), F.lit(9), F.lit(0.5)), fb.binomial_tail(F.lit(2), F.lit(9), F.lit(0.0)))) == [1.0, 0.0, 0.0]
+
+
+def test_patterns_of_every_kind(spark):
+    rows = []
+    for i in range(400):  # team 7 errs at home and away, in April and over four goals; sure picks err too
+        bad = i % 4 == 0
+        home, away = ((7, 100 + i) if i % 8 else (100 + i, 7)) if bad else (500 + i, 1000 + i)
+        rows.append((home, away, int(bad), "D" if bad else "H", 5 if bad else 1, 1, 0.75 if bad else 0.6, datetime(2024, 4 if bad else 5, 1), 0 if bad else int(i % 10 > 0)))
+    df = spark.createDataFrame(rows, "home_team_id long, away_team_id long, league int, result string, home_goals int, away_goals int, confidence double, date timestamp, correct int")
+    got = {(r.kind, r.value): r for r in fb.patterns(df).collect()}
+    assert set(got) == {("league", "1"), ("team", "7"), ("result", "D"), ("goals", "4+"), ("confidence", "0.7-0.9"), ("month", "4")}
+    assert got["team", "7"].n == 100 and got["team", "7"].errors == 100 and got["team", "7"].severity == 1.0
+    assert fb.patterns(df.limit(0)).count() == 0

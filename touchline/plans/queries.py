@@ -439,11 +439,7 @@ def error_memory(spark, d):
 
 @query()
 def error_patterns(spark, d):
-    recs = _recs(spark, d)
-    made = fb.patterns(recs, F.col("league"), "league", 1.02)
-    for key, kind in ((F.col("home_team_id"), "team"), (F.col("result"), "result"), (F.month("date"), "month")):
-        made = made.union(fb.patterns(recs, key, kind, 1.05))
-    return made
+    return fb.patterns(_recs(spark, d))
 
 
 @query(_RECS + ", g AS (SELECT CASE WHEN abs(odds_h-odds_a)*50<50 THEN 'close' WHEN abs(odds_h-odds_a)*50<100 THEN 'slight' WHEN abs(odds_h-odds_a)*50<200 THEN 'clear' ELSE 'strong' END AS type, predicted, count(*) n, avg(correct) h, avg(confidence) c FROM recs GROUP BY 1,2), z AS (SELECT *, (h-c)/nullif(sqrt(c*(1-c)/n),0) zz FROM g) SELECT type, predicted, n, round(zz,6) z, round(CASE WHEN abs(zz)>1.96 AND n>=30 THEN greatest(-0.04,least(0.04,0.3*(h-c))) ELSE 0 END,6) AS shift FROM z")
