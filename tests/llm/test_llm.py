@@ -139,6 +139,25 @@ def test_media(docs, rows):
     assert len(tensors) > 1 and all(len(t.mel) == media.FRAMES * media.MELS and t.end_s > t.start_s for t in tensors)
 
 
+def test_media_segments_cross_blocks(spark):
+    tone = lambda level, n: [128 + round(128 * level * (1 if k % 16 < 8 else -1)) for k in range(n)]
+    step = media.HOP * media.DOWN
+    clips = {
+        1: (tone(0.4, 2 * step) + tone(0.1, 38 * step), 1),  # starts loud and is held on a quiet level over two block edges
+        2: (tone(0.1, 40 * step), 0),  # never loud
+        3: (tone(0.4, 2 * step) + tone(0.1, 20 * step) + tone(0, 20 * step) + tone(0.4, 12 * step), 2),
+    }
+    df = spark.createDataFrame([(k, bytearray(media.to_wav(bytes(v)))) for k, (v, _) in clips.items()], "doc_id long, media binary")
+    made = media.audio_features(df).collect()
+    for k, (samples, segments) in clips.items():
+        loud = np.concatenate([part[:n] for _, part, n in media.blocks(bytes(samples), media.RATE)])
+        want = [(a * step / media.RATE, b * step / media.RATE) for a, b in media.active(loud)]
+        got = [(s.from_s, s.to_s) for r in sorted((r for r in made if r.doc_id == k), key=lambda r: r.block) for s in r.active]
+        assert len(want) == segments and np.allclose(np.array(got).ravel(), np.array(want).ravel())
+        busy = sum(b - a for a, b in media.active(loud))
+        assert f"segments={segments};active={busy};" in media.summary(bytes(samples), media.RATE)
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "x<|im_end|>\\\n<\\."), (1, 0, "user", None), (2, 0, "assistant", "first"), (3, None, None, ""), (None, 0, "user", "n"), (4, 0, "user\n", "a\n"), *[(5, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(200)]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("valid", F.lit(1))

@@ -71,11 +71,15 @@ def filters(rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return phases, np.hanning(WINDOW).astype(np.float32), np.array(bank, np.float32).T.copy()
 
 
+def frames_of(samples: bytes) -> int:
+    return max(1, -(-(-(-len(samples) // DOWN) - WINDOW) // HOP) + 1)
+
+
 def blocks(samples: bytes, rate: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Log-mel energies (FRAMES x MELS), each frame's loudness, and how many frames are within the clip."""
     phases, window, bank = filters(rate)
     raw = np.frombuffer(samples, np.uint8)
-    frames = max(1, -(-(-(-len(raw) // DOWN) - WINDOW) // HOP) + 1)
+    frames = frames_of(samples)
     need = (FRAMES - 1) * HOP + WINDOW  # resampled samples of a block
     for first in range(0, frames, FRAMES):
         lo = first * HOP * DOWN - TAPS * DOWN // 2
@@ -91,11 +95,11 @@ def blocks(samples: bytes, rate: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield np.log(power.astype(np.float32) @ bank + 1e-6), np.sqrt((cut * cut).mean(axis=1)), min(FRAMES, frames - first)
 
 
-def active(loud: np.ndarray) -> list[tuple[int, int]]:
-    """Frame ranges that start at LOUD and go on down to QUIET."""
+def active(loud: np.ndarray, on: bool = False) -> list[tuple[int, int]]:
+    """Frame ranges that start at LOUD and go on down to QUIET; ``on`` is the state before the first frame."""
     state = np.where(loud >= LOUD, 1, np.where(loud < QUIET, 0, -1))
     known = np.maximum.accumulate(np.where(state >= 0, np.arange(len(state)), -1))
-    on = np.append(0, (known >= 0) & (state[np.maximum(known, 0)] == 1))
+    on = np.append(0, np.where(known >= 0, state[np.maximum(known, 0)] == 1, on))
     edge = np.flatnonzero(np.diff(np.append(on, 0)))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
@@ -103,7 +107,9 @@ def active(loud: np.ndarray) -> list[tuple[int, int]]:
 def audio_features(clips: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """A row for each block of each clip: key, block, mel (FRAMES * MELS floats), shape, start_s, end_s, active segments.
 
-    Null clips have no row. A block's frames behind the clip's end are silence and lie outside its time span.
+    Null clips have no row. A block's frames behind the clip's end are silence and lie outside its time span. A segment
+    is whole and stands once: in the block where it is found to end (the one behind it, if it ends at a block's edge),
+    or in the clip's last one.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +118,14 @@ def audio_features(clips: DataFrame, key: str = "doc_id", column: str = "media")
                 if clip is None:
                     continue
                 samples, rate = from_wav(clip)
-                step = HOP * DOWN / rate
+                step, total, begun = HOP * DOWN / rate, frames_of(samples), None  # begun: first frame of a segment still open
                 for number, (mel, loud, n) in enumerate(blocks(samples, rate)):
-                    at = number * FRAMES * step
-                    spans = [{"from_s": at + a * step, "to_s": at + b * step} for a, b in active(loud[:n])]
+                    first, found = number * FRAMES, active(loud[:n], begun is not None)
+                    at, ends = first * step, [(first + a, first + b) for a, b in found]
+                    if begun is not None:
+                        ends = [(begun, ends[0][1]), *ends[1:]] if found and found[0][0] == 0 else [(begun, first), *ends]
+                    begun = ends.pop()[0] if found and found[-1][1] == n and first + n < total else None
+                    spans = [{"from_s": a * step, "to_s": b * step} for a, b in ends]
                     yield pa.RecordBatch.from_pylist([{key: name, "block": number, "mel": mel.ravel().tolist(), "shape": [FRAMES, MELS], "start_s": at, "end_s": at + n * step, "active": spans}], schema=schema)
 
     item = pa.struct([("from_s", pa.float64()), ("to_s", pa.float64())])
@@ -139,7 +149,7 @@ def summary(samples: bytes, rate: int) -> str:
     total, frames, segments, busy, open_ = 0.0, 0, 0, 0, False
     for mel, loud, n in blocks(samples, rate):
         total += float(np.round(mel[:n] * 16).sum())
-        found = active(loud[:n])
+        found = active(loud[:n], open_)
         segments += len(found) - (open_ and bool(found) and found[0][0] == 0)
         busy += sum(b - a for a, b in found)
         open_ = bool(found) and found[-1][1] == n
