@@ -37,3 +37,9 @@ def test_query_equals_sql(spark, small, oracle, name):
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_query_has_rows(spark, small, name):
     assert plans.queries()[name](spark, small).count() >= 0
+
+
+def test_every_match_is_a_request_of_results_near_all(spark, small):
+    made, m = plans.queries()["results_near_all"](spark, small), plans.matches(spark, small)
+    assert made.select("request_id").exceptAll(m.select("match_id")).count() == 0 and made.count() == m.count()
+    assert made.join(m.where("season = 1995"), made.request_id == m.match_id).count() < made.count()

@@ -46,6 +46,12 @@ def _recs(spark, d):
     return fb.records(_preds(spark, d))
 
 
+def _near(m, asked_for):
+    asked = m.where(asked_for).select(F.col("match_id").alias("request_id"), F.col("home_team_id").alias("home"), F.col("away_team_id").alias("away"), F.col("date").alias("day"))
+    known = m.select(F.col("home_team_id").alias("home"), F.col("away_team_id").alias("away"), F.col("date").alias("day"), "home_goals", "away_goals", (F.col("match_id") % 3).cast("int").alias("priority"))
+    return jn.results_near(asked, known).select("request_id", F.col("home_goals").alias("hg"), F.col("away_goals").alias("ag"), F.col("swapped").alias("sw"))
+
+
 def r6(*names: str) -> list:
     return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
 
@@ -265,10 +271,14 @@ def surrogate_ids(spark, d):
 @query(""", q AS (SELECT match_id request_id, home_team_id home, away_team_id away, date FROM matches WHERE season=1995), r AS (SELECT home_team_id home, away_team_id away, date rd, home_goals hg, away_goals ag, CAST(match_id%3 AS INT) p, false sw FROM matches UNION ALL SELECT away_team_id, home_team_id, date, away_goals, home_goals, CAST(match_id%3 AS INT), true FROM matches),
  f AS (SELECT q.request_id, r.hg, r.ag, r.sw, row_number() OVER (PARTITION BY request_id ORDER BY p, abs(date_diff('day', CAST(q.date AS DATE), CAST(rd AS DATE))), sw, rd, hg, ag) rn FROM q JOIN r ON q.home=r.home AND q.away=r.away AND abs(date_diff('day', CAST(q.date AS DATE), CAST(rd AS DATE)))<=7) SELECT request_id, hg, ag, sw FROM f WHERE rn=1""")
 def results_near(spark, d):
-    m = matches(spark, d)
-    asked = m.where("season = 1995").select(F.col("match_id").alias("request_id"), F.col("home_team_id").alias("home"), F.col("away_team_id").alias("away"), F.col("date").alias("day"))
-    known = m.select(F.col("home_team_id").alias("home"), F.col("away_team_id").alias("away"), F.col("date").alias("day"), "home_goals", "away_goals", (F.col("match_id") % 3).cast("int").alias("priority"))
-    return jn.results_near(asked, known).select("request_id", F.col("home_goals").alias("hg"), F.col("away_goals").alias("ag"), F.col("swapped").alias("sw"))
+    return _near(matches(spark, d), "season = 1995")
+
+
+@query(""", q AS (SELECT match_id request_id, home_team_id home, away_team_id away, date FROM matches), r AS (SELECT home_team_id home, away_team_id away, date rd, home_goals hg, away_goals ag, CAST(match_id%3 AS INT) p, false sw FROM matches UNION ALL SELECT away_team_id, home_team_id, date, away_goals, home_goals, CAST(match_id%3 AS INT), true FROM matches),
+ f AS (SELECT q.request_id, r.hg, r.ag, r.sw, row_number() OVER (PARTITION BY request_id ORDER BY p, abs(date_diff('day', CAST(q.date AS DATE), CAST(rd AS DATE))), sw, rd, hg, ag) rn FROM q JOIN r ON q.home=r.home AND q.away=r.away AND abs(date_diff('day', CAST(q.date AS DATE), CAST(rd AS DATE)))<=7) SELECT request_id, hg, ag, sw FROM f WHERE rn=1""")
+def results_near_all(spark, d):
+    """Every match is a request; results_near asks for one season, as its SQL does."""
+    return _near(matches(spark, d), "true")
 
 
 @query(", u AS (SELECT match_id, max(home_corners+1) nc FROM matches WHERE match_id%2=0 GROUP BY 1) SELECT m.match_id, CASE WHEN home_corners<>0 THEN home_corners WHEN nc IS NOT NULL AND nc<>0 THEN nc ELSE home_corners END home_corners FROM matches m LEFT JOIN u ON u.match_id=m.match_id")
