@@ -168,3 +168,25 @@ def test_patterns_of_every_kind(spark):
     assert set(got) == {("league", "1"), ("team", "7"), ("result", "D"), ("goals", "4+"), ("confidence", "0.7-0.9"), ("month", "4")}
     assert got["team", "7"].n == 100 and got["team", "7"].errors == 100 and got["team", "7"].severity == 1.0
     assert fb.patterns(df.limit(0)).count() == 0
+
+
+def test_rates_are_refitted_each_year(spark):
+    from datetime import timedelta
+
+    import numpy as np
+
+    rng, rows, first = np.random.default_rng(5), [], datetime(2020, 1, 1)
+    for i in range(1200):  # team 1 scores much in the first year only; team 9 comes in the second
+        h, a = rng.choice([1, 2, 3] if i < 400 else [1, 2, 9], 2, replace=False)
+        goals = lambda t, i=i: int(rng.poisson(4.0 if t == 1 and i < 400 else 2.5 if t == 9 else 0.6))
+        rows.append((i, 0, int(h), int(a), first + timedelta(days=i), goals(h), goals(a)))
+    df = spark.createDataFrame(rows, "match_id long, league int, home_team_id long, away_team_id long, date timestamp, home_goals int, away_goals int")
+    asked = df.where("match_id >= 400")  # periods from day 400, 765 and 1130 on
+    got = {r.match_id: r for r in fitted.rolling_rates(df, asked).collect()}
+    assert len(got) == 800
+    of = lambda team, a, b: np.mean([got[i].lh for i, _, h, *_ in rows if h == team and a <= i < b])
+    assert of(1, 400, 765) > 2.5 > 1.6 > of(1, 1130, 1200)
+    assert of(9, 765, 1200) > of(1, 1130, 1200) + 0.7
+    for lo, hi in ((400, 765), (765, 1130), (1130, 1200)):  # each period by brute force
+        want = {r.match_id: r for r in fitted.goal_rates(df.where(f"match_id >= {lo} and match_id < {hi}"), fitted.dixon_coles(df.where(f"match_id < {lo}"))).collect()}
+        assert all(abs(got[k].lh - r.lh) < 1e-9 and abs(got[k].la - r.la) < 1e-9 for k, r in want.items())

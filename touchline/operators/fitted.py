@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -51,6 +54,23 @@ def low_score_rho(rate_h: np.ndarray, rate_a: np.ndarray, hg: np.ndarray, ag: np
     return float(max(np.round(np.linspace(-0.2, 0.2, 41), 2), key=lambda r: (round(gain(r), 9), -abs(r))))
 
 
+def _fitted(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Strengths of one group's matches; none below ``least``."""
+    if len(pdf) < least:
+        return pd.DataFrame(columns=[c.split()[0] for c in STRENGTHS.split(", ")])
+    pdf = pdf.sort_values("match_id")
+    names, ids = np.unique(np.concatenate([pdf.home_team_id, pdf.away_team_id]), return_inverse=True)
+    h, a, hg, ag = ids[: len(pdf)], ids[len(pdf) :], pdf.home_goals.to_numpy(), pdf.away_goals.to_numpy()
+    beta, k = poisson_strengths(h, a, hg, ag, len(names)), len(names)
+    attack, defence = beta[2 : 2 + k], beta[2 + k :]
+    rho = low_score_rho(np.exp(beta[0] + beta[1] + attack[h] - defence[a]), np.exp(beta[0] + attack[a] - defence[h]), hg, ag)
+    return pd.DataFrame({"league": int(pdf.league.iloc[0]), "team": names, "attack": attack, "defence": defence, "base": beta[0], "home": beta[1], "rho": rho, "n": len(pdf)})
+
+
+def _numbers() -> list[Column]:
+    return [F.col("league").cast("int").alias("league"), "match_id", *[F.col(c).cast("long").alias(c) for c in ("home_team_id", "away_team_id", "home_goals", "away_goals")]]
+
+
 def dixon_coles(matches: DataFrame, last: int = 600, least: int = 20) -> DataFrame:
     """Team strengths of each league from its last ``last`` matches: rates first, then the low-score correction.
 
@@ -58,30 +78,40 @@ def dixon_coles(matches: DataFrame, last: int = 600, least: int = 20) -> DataFra
     no task holds more than that of one league."""
     w = W.partitionBy("league").orderBy(F.desc("date"), F.desc("match_id"))
     kept = matches.where("home_goals is not null and away_goals is not null").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= last)
+    return kept.select(*_numbers()).groupBy("league").applyInPandas(lambda pdf: _fitted(pdf, least), STRENGTHS)
+
+
+def rolling_rates(matches: DataFrame, fixtures: DataFrame, days: int = 365, last: int = 600, least: int = 20) -> DataFrame:
+    """``fixtures`` with lh and la by strengths that are refitted each ``days`` days from a league's first fixture on.
+
+    A period's fit takes the last ``last`` matches of the league before the period's first day. Of each earlier period no
+    more than the last ``last`` matches are candidates, so rows grow with the square of the number of periods only."""
+    begin = fixtures.groupBy("league").agg(F.to_date(F.min("date")).alias("_begin"))
+    placed = lambda df: df.join(F.broadcast(begin), "league").withColumn("_period", F.floor(F.datediff(F.to_date("date"), "_begin") / days).cast("int")).drop("_begin")
+    asked = placed(fixtures)
+    recent = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("date"), F.desc("match_id")))
+    known = placed(matches.where("home_goals is not null and away_goals is not null")).select(*_numbers(), "date", F.col("_period").alias("_own"))
+    known = known.withColumn("_rn", recent("league", "_own")).where(F.col("_rn") <= last)
+    periods = asked.select(F.col("league").cast("int").alias("league"), "_period").distinct()
+    taken = known.join(F.broadcast(periods), "league").where(F.col("_own") < F.col("_period")).withColumn("_rn", recent("league", "_period")).where(F.col("_rn") <= last)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame(columns=[c.split()[0] for c in STRENGTHS.split(", ")])
-        pdf = pdf.sort_values("match_id")
-        names, ids = np.unique(np.concatenate([pdf.home_team_id, pdf.away_team_id]), return_inverse=True)
-        h, a, hg, ag = ids[: len(pdf)], ids[len(pdf) :], pdf.home_goals.to_numpy(), pdf.away_goals.to_numpy()
-        beta, k = poisson_strengths(h, a, hg, ag, len(names)), len(names)
-        attack, defence = beta[2 : 2 + k], beta[2 + k :]
-        rho = low_score_rho(np.exp(beta[0] + beta[1] + attack[h] - defence[a]), np.exp(beta[0] + attack[a] - defence[h]), hg, ag)
-        return pd.DataFrame({"league": int(pdf.league.iloc[0]), "team": names, "attack": attack, "defence": defence, "base": beta[0], "home": beta[1], "rho": rho, "n": len(pdf)})
+        return _fitted(pdf, least).assign(_period=pdf._period.iloc[0])
 
-    cols = [F.col("league").cast("int").alias("league"), "match_id", *[F.col(c).cast("long").alias(c) for c in ("home_team_id", "away_team_id", "home_goals", "away_goals")]]
-    return kept.select(*cols).groupBy("league").applyInPandas(fit, STRENGTHS)
+    made = taken.select(*[c for c in known.columns if c[0] != "_" and c != "date"], "_period").groupBy("league", "_period").applyInPandas(fit, STRENGTHS + ", _period int")
+    return goal_rates(asked, made, by=("league", "_period")).drop("_period")
 
 
-def goal_rates(fixtures: DataFrame, strengths: DataFrame, default_total: float = 2.6) -> DataFrame:
+def goal_rates(fixtures: DataFrame, strengths: DataFrame, default_total: float = 2.6, by: tuple[str, ...] = ("league",)) -> DataFrame:
     """``fixtures`` (match_id, league, home_team_id, away_team_id, ...) with expected goals lh and la. A team that is not
-    known counts as average; a league without a fit gets half of ``default_total`` each, times 1.1 at home and 0.9 away."""
-    per = strengths.groupBy(F.col("league").alias("_l")).agg(F.first("base").alias("_b"), F.first("home").alias("_h"))
-    side = lambda s: strengths.select(F.col("league").alias(f"_l{s}"), F.col("team").alias(f"_t{s}"), F.col("attack").alias(f"_a{s}"), F.col("defence").alias(f"_d{s}"))
-    df = fixtures.join(per, F.col("league") == F.col("_l"), "left")
+    known counts as average; a league (or other ``by``) without a fit gets half of ``default_total`` each, times 1.1 at home and 0.9 away."""
+    keys = lambda s: [F.col(k).alias(f"_k{s}{i}") for i, k in enumerate(by)]
+    same = lambda s: reduce(and_, [F.col(k) == F.col(f"_k{s}{i}") for i, k in enumerate(by)])
+    per = strengths.groupBy(*keys("")).agg(F.first("base").alias("_b"), F.first("home").alias("_h"))
+    side = lambda s: strengths.select(*keys(s), F.col("team").alias(f"_t{s}"), F.col("attack").alias(f"_a{s}"), F.col("defence").alias(f"_d{s}"))
+    df = fixtures.join(per, same(""), "left")
     for s, team in (("h", "home_team_id"), ("a", "away_team_id")):
-        df = df.join(side(s), (F.col("league") == F.col(f"_l{s}")) & (F.col(team) == F.col(f"_t{s}")), "left")
+        df = df.join(side(s), same(s) & (F.col(team) == F.col(f"_t{s}")), "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     lh = F.coalesce(F.exp(F.col("_b") + F.col("_h") + z("_ah") - z("_da")), F.lit(default_total / 2 * 1.1))
     la = F.coalesce(F.exp(F.col("_b") + z("_aa") - z("_dh")), F.lit(default_total / 2 * 0.9))

@@ -577,8 +577,7 @@ def dixon_coles_strengths(spark, d):
 @query()
 def dixon_coles_rates(spark, d):
     m = matches(spark, d)
-    early = m.where("season < 1997")
-    return fitted.goal_rates(m.where("season >= 1997"), fitted.dixon_coles(early)).select("match_id", *r6("lh", "la"))
+    return fitted.rolling_rates(m, m.where("season >= 1997")).select("match_id", *r6("lh", "la"))
 
 
 @query()
