@@ -228,6 +228,28 @@ def test_repeats_against_brute_force(spark, small):
     assert sum(n for i, _, n in want if i == -3) == 3
 
 
+def test_repeats_in_other_scripts(spark):
+    rng = np.random.default_rng(8)
+    made = lambda lo, hi, n: "".join(chr(c) for c in rng.integers(lo, hi, n))
+    chinese = lambda n: "".join(made(0x4E00, 0x9000, 20) + "\u3002" for _ in range(n))
+    thai = lambda n: " ".join(made(0x0E01, 0x0E2E, 30) for _ in range(n)) + " "
+    quoted = lambda n: " ".join('He said "' + " ".join(rng.choice(WORDS, 9)) + '."' for _ in range(n)) + " "
+    rows, want, key = [], {}, 0
+    for some in (chinese, thai, quoted):
+        passage, own = some(6), [some(3) for _ in range(4)]
+        for text, left in ((own[0] + passage + own[1], None), (own[2] + passage + own[3], own[2] + own[3])):
+            rows.append((key, text))
+            want[key] = left or text
+            key += 1
+    rows += [(100, "\u4f60\u597d\u3002" * 3), (101, "\u4f60\u597d\u3002" * 3)]  # short repeated lines stay
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in want.items():
+        assert got[k].text == text, k
+    assert all(got[k].n_removed == 6 for k in (1, 3, 5)) and got[1].removed_words == 6 * 7 and got[5].removed_words == 6 * 11 and got[101].n_removed == 0
+    text = np.frombuffer(b"Ends. next", np.uint8)  # a row's sentences do not depend on the row before it
+    assert (substring.sentence_bounds(text, np.array([0, 5, 10]))[0] == [0, 5]).all()
+
+
 def test_language(spark, small):
     docs = spark.read.parquet(f"{small}/../sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]

@@ -18,33 +18,114 @@ from pyspark.sql import functions as F
 from touchline.llm.common import STEP_BYTES, run_hashes, runs, sequence_hashes, slices, texts_of, written
 
 MIN_WORDS = 16
+CHARS = 3  # characters that count as one word where a script parts no words
+CLOSERS = "\u201d\u2019\u00bb\u203a\uff09\u300d\u300f\u3011\u3009\u300b"
+#: Full-width, Arabic, Devanagari, Armenian, Ethiopic, Khmer, Burmese and Tibetan stops end a sentence without white space.
+WIDE_STOPS = "\u3002\uff01\uff1f\uff61\uff0e\u061f\u06d4\u0964\u0965\u0589\u1362\u17d4\u104b\u0f0d"
+#: Thai, Lao, Burmese, Khmer: white space stands between sentences or clauses, not words.
+SPACED_BY_SENTENCE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF))
+#: These, Tibetan, kana, Bopomofo and Chinese characters; not Hangul, which parts its words.
+UNSPACED = (*SPACED_BY_SENTENCE, (0x0F00, 0x0FFF), (0x3005, 0x3007), (0x3041, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+def _marks(data: np.ndarray, chars: str) -> np.ndarray:
+    """Where the bytes of these characters lie; no continuation byte starts one."""
+    found = np.zeros(len(data), bool)
+    for char in chars:
+        code = char.encode()
+        at = np.flatnonzero(data == code[0])
+        for k, byte in enumerate(code[1:], 1):
+            at = at[at + k < len(data)]
+            at = at[data[at + k] == byte]
+        for k in range(len(code)):
+            found[at + k] = True
+    return found
+
+
+def _within(data: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the characters of three or four bytes in these ranges of code points."""
+    at = np.flatnonzero(data >= 0xE0)
+    size = np.where(data[at] >= 0xF0, 4, 3)
+    if not len(at):
+        return at, size
+    d = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+    point = ((d[at] & 15) << 12) | ((d[at + 1] & 63) << 6) | (d[at + 2] & 63)
+    wide = ((d[at] & 7) << 18) | ((d[at + 1] & 63) << 12) | ((d[at + 2] & 63) << 6) | (d[at + 3] & 63)
+    point = np.where(size == 4, wide, point)
+    own = np.zeros(len(at), bool)
+    for lo, hi in ranges:
+        own |= (point >= lo) & (point <= hi)
+    return at[own], size[own]
 
 
 def sentence_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each sentence in ``data`` and its row. A sentence ends behind ``.!?`` before white space, or at a
-    line feed, and takes the white space behind it; the sentences of a text make it up whole."""
+    """Start of each sentence in ``data`` and its row; the sentences of a text make it up whole.
+
+    A sentence ends at white space with a line feed, behind a stop (``.!?`` and those of other scripts) and closing quotes
+    or brackets before white space, behind the stops that need no white space, and at white space behind Thai and other
+    scripts that part sentences by it alone. It takes the closing marks and the white space behind it."""
     n = len(data)
     white = (data == 32) | ((data >= 9) & (data <= 13))
     starts = np.zeros(n, bool)
     if n:
+        other = bool((data >= 128).any())
         stop = (data == 46) | (data == 33) | (data == 63)
-        gap_starts, gap_ends, _ = runs(white, offsets)
+        close = (data == 34) | (data == 39) | (data == 41) | (data == 93) | (data == 125)
+        if other:
+            close |= _marks(data, CLOSERS)
+            wide = _marks(data, WIDE_STOPS)
+            stop |= wide
+            passed = close | stop
+            at, size = _within(data, SPACED_BY_SENTENCE)
+            for k in range(3):
+                stop[at + k] = True
+        gap_starts, gap_ends, gap_row = runs(white, offsets)
         feeds = np.concatenate([[0], np.cumsum(data == 10)])
-        before = np.maximum(gap_starts - 1, 0)
-        new = stop[before] | (feeds[gap_ends] > feeds[gap_starts])
+        own = np.maximum.accumulate(np.where(close, -1, np.arange(n)))  # the last byte up to here that closes nothing
+        before = own[np.maximum(gap_starts - 1, 0)]
+        new = (stop[before] & (before >= offsets[gap_row]) & (before < gap_starts)) | (feeds[gap_ends] > feeds[gap_starts])
         starts[gap_ends[new & (gap_ends < n)]] = True
+        if other and wide.any():
+            ends = np.append(np.flatnonzero(wide[:-1] & ~wide[1:]) + 1, n if wide[-1] else n + 1)
+            ends = ends[ends < n]
+            row_end = offsets[np.searchsorted(offsets, ends - 1, side="right")]
+            after = lambda mask: np.minimum.accumulate(np.append(np.where(mask, n, np.arange(n)), n)[::-1])[::-1]
+            begin = after(white)[after(passed)[ends]]
+            starts[begin[begin < row_end]] = True
         starts[offsets[:-1][np.diff(offsets) > 0]] = True
     at = np.flatnonzero(starts)
     return at, np.searchsorted(offsets, at, side="right") - 1
 
 
+def words(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words: parted by white space and by sentence starts ``at``; of scripts that part no words, each
+    CHARS characters in a row count as one."""
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    starts, ends, _ = runs(~white, offsets)
+    char, size = _within(data, UNSPACED) if (data >= 0xE0).any() else (starts[:0], starts[:0])
+    if not len(char) and not len(np.setdiff1d(at[~white[at]], starts, assume_unique=True)):
+        return starts, ends
+    first = np.zeros(len(data), bool)
+    first[at] = True
+    new = np.ones(len(char), bool)
+    new[1:] = (char[1:] != char[:-1] + size[:-1]) | first[char[1:]]
+    place = np.arange(len(char)) - np.maximum.accumulate(np.where(new, np.arange(len(char)), 0)) if len(char) else char
+    begin = np.zeros(len(data) + 1, bool)
+    begin[starts] = True
+    begin[at[~white[at]]] = True
+    begin[char[place % CHARS == 0]] = True
+    begins = np.flatnonzero(begin)
+    return begins, np.minimum(np.append(begins[1:], len(data)), ends[np.searchsorted(starts, begins, side="right") - 1])
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, number of the first sentence in its text, number of sentences, and hash of each span."""
     at, row = sentence_bounds(data, offsets)
     none = np.zeros(0, np.int64)
-    white = (data == 32) | ((data >= 9) & (data <= 13))
-    word_at, word_end, _ = runs(~white, offsets)
-    if not len(at) or not len(word_at):
+    if not len(at):
+        return none, none, none, none
+    word_at, word_end = words(data, offsets, at)
+    if not len(word_at):
         return none, none, none, none
     first = np.searchsorted(word_at, at)
     last = np.append(first[1:], len(word_at))
@@ -109,11 +190,13 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             at, row = sentence_bounds(data, offsets)
             bounds = np.append(at, len(data))
             first = np.searchsorted(row, np.arange(part.num_rows + 1))
-            texts, removed, words = part.column("text").to_pylist(), [], []
+            word_at = words(data, offsets, at)[0] if len(at) else at
+            count = np.diff(np.searchsorted(word_at, bounds))  # words of each sentence
+            texts, removed, gone_words = part.column("text").to_pylist(), [], []
             for k, gone in enumerate(part.column("cut_at").to_pylist()):
                 if not gone:
                     removed.append(0)
-                    words.append(0)
+                    gone_words.append(0)
                     continue
                 out = np.zeros(first[k + 1] - first[k], bool)
                 for span in gone:
@@ -122,10 +205,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 parts = [data[bounds[first[k] + i] : bounds[first[k] + i + 1]].tobytes() for i in range(len(out))]
                 texts[k] = b"".join(p for p, o in zip(parts, out, strict=True) if not o).decode()
                 removed.append(int(out.sum()))
-                words.append(sum(len(p.split()) for p, o in zip(parts, out, strict=True) if o))
+                gone_words.append(int(count[first[k] : first[k + 1]][out].sum()))
             columns = [part.column(c) for c in rest]
             columns[place] = pa.array(texts, part.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(words, pa.int64())], [*rest, "n_removed", "removed_words"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(gone_words, pa.int64())], [*rest, "n_removed", "removed_words"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
     return joined.mapInArrow(cut, f"{kinds}, n_removed long, removed_words long")
