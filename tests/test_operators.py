@@ -190,3 +190,30 @@ def test_rates_are_refitted_each_year(spark):
     for lo, hi in ((400, 765), (765, 1130), (1130, 1200)):  # each period by brute force
         want = {r.match_id: r for r in fitted.goal_rates(df.where(f"match_id >= {lo} and match_id < {hi}"), fitted.dixon_coles(df.where(f"match_id < {lo}"))).collect()}
         assert all(abs(got[k].lh - r.lh) < 1e-9 and abs(got[k].la - r.la) < 1e-9 for k, r in want.items())
+
+
+def test_elo_streams_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(600):
+        h, a = rng.choice(6, 2, replace=False)
+        rows.append((i, i % 3, int(h), int(a), datetime(2024, 1, 1 + i // 30), int(rng.integers(4)), int(rng.integers(4))))
+    df = spark.createDataFrame(rows, "match_id long, league int, home_team_id long, away_team_id long, date timestamp_ntz, home_goals int, away_goals int").repartition(5)
+    made = models.elo_ratings(df)
+    assert "MapInArrow" in made._jdf.queryExecution().toString() and "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    want, rating = {}, {}
+    for i, league, h, a, _, hg, ag in rows:
+        x, y = rating.get((league, h), 1500.0), rating.get((league, a), 1500.0)
+        want[i] = (x, y)
+        e = 1 / (1 + 10 ** (-(x - y + 50) / 400))
+        s, t = (1, 0) if hg > ag else (1 / 3, 1 / 3) if hg == ag else (0, 1)
+        rating[league, h], rating[league, a] = x + 32 * (s - e), y + 32 * (t - (1 - e))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # batches end within and across leagues
+    try:
+        got = {r.match_id: (r.home_elo, r.away_elo) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == 600 and all(np.allclose(got[i], want[i]) for i in want)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,31 +19,34 @@ def elo_ratings(matches: DataFrame, k: float = 32.0, edge: float = 50.0, draw: f
     """Ratings before each match: overall, attack and defence.
 
     A rating depends on all earlier matches of both teams, so a league is one fold in (date, match_id) order. Leagues
-    fold in parallel; a fold's memory is a league's matches in six numeric columns. Conceding lowers the defence rating.
+    fold in parallel. Spark sorts them (and spills); the fold streams batches and keeps three numbers for each team of one
+    league. Conceding lowers the defence rating.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "match_id"], kind="stable")
-        rating, attack, defence = {}, {}, {}
-        out = np.empty((len(pdf), 6))
-        rows = zip(pdf.home_team_id.to_numpy(), pdf.away_team_id.to_numpy(), pdf.home_goals.to_numpy(), pdf.away_goals.to_numpy(), strict=True)
-        for i, (h, a, hg, ag) in enumerate(rows):
-            rh, ra = rating.get(h, first), rating.get(a, first)
-            ah, dh, aa, da = attack.get(h, first), defence.get(h, first), attack.get(a, first), defence.get(a, first)
-            out[i] = rh, ra, ah, dh, aa, da
-            e = 1 / (1 + 10 ** (-(rh - ra + edge) / 400))
-            s = 1.0 if hg > ag else draw if hg == ag else 0.0
-            t = 0.0 if hg > ag else draw if hg == ag else 1.0
-            rating[h], rating[a] = rh + k * (s - e), ra + k * (t - (1 - e))
-            eh, ea = 1 / (1 + 10 ** (-(ah - da + edge) / 400)), 1 / (1 + 10 ** (-(aa - dh - edge) / 400))
-            gh, ga = min(hg / 3, 1.0), min(ag / 3, 1.0)
-            attack[h], attack[a] = ah + k * (gh - eh), aa + k * (ga - ea)
-            defence[h], defence[a] = dh - k * (ga - ea), da - k * (gh - eh)
-        made = pdf[["match_id", "league", "home_team_id", "away_team_id", "date"]].reset_index(drop=True)
-        return pd.concat([made, pd.DataFrame(out, columns=["home_elo", "away_elo", "home_att", "home_def", "away_att", "away_def"])], axis=1)
-
-    own = matches.select("match_id", F.col("league").cast("int").alias("league"), F.col("home_team_id").cast("long").alias("home_team_id"), F.col("away_team_id").cast("long").alias("away_team_id"), "date", "home_goals", "away_goals")
-    return own.groupBy("league").applyInPandas(fold, RATINGS)
+    names = [f.split()[0] for f in RATINGS.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        league, rating, attack, defence = None, {}, {}, {}
+        for batch in batches:
+            out = np.empty((batch.num_rows, 6))
+            rows = zip(*[batch.column(c).to_pylist() for c in ("league", "home_team_id", "away_team_id", "home_goals", "away_goals")], strict=True)
+            for i, (own, h, a, hg, ag) in enumerate(rows):
+                if own != league:
+                    league, rating, attack, defence = own, {}, {}, {}
+                rh, ra = rating.get(h, first), rating.get(a, first)
+                ah, dh, aa, da = attack.get(h, first), defence.get(h, first), attack.get(a, first), defence.get(a, first)
+                out[i] = rh, ra, ah, dh, aa, da
+                e = 1 / (1 + 10 ** (-(rh - ra + edge) / 400))
+                s = 1.0 if hg > ag else draw if hg == ag else 0.0
+                t = 0.0 if hg > ag else draw if hg == ag else 1.0
+                rating[h], rating[a] = rh + k * (s - e), ra + k * (t - (1 - e))
+                eh, ea = 1 / (1 + 10 ** (-(ah - da + edge) / 400)), 1 / (1 + 10 ** (-(aa - dh - edge) / 400))
+                gh, ga = min(hg / 3, 1.0), min(ag / 3, 1.0)
+                attack[h], attack[a] = ah + k * (gh - eh), aa + k * (ga - ea)
+                defence[h], defence[a] = dh - k * (ga - ea), da - k * (gh - eh)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], *[pa.array(c) for c in out.T.copy()]], names)
+
+    own = matches.select("match_id", F.col("league").cast("int").alias("league"), F.col("home_team_id").cast("long").alias("home_team_id"), F.col("away_team_id").cast("long").alias("away_team_id"), F.col("date").cast("timestamp_ntz").alias("date"), "home_goals", "away_goals")
+    return own.withColumn("match_id", F.col("match_id").cast("long")).repartition("league").sortWithinPartitions("league", "date", "match_id").mapInArrow(fold, RATINGS)
 
 
 def opponent_strength(ratings: DataFrame, n: int = 10) -> DataFrame:
