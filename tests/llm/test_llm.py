@@ -267,6 +267,20 @@ def test_quality(spark, small):
     assert quality.classify(docs.limit(3), labels.limit(0)).where("score between 0 and 1").count() == 3
 
 
+def test_quality_with_few_labels(spark, small, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{small}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    few = labels.where("quality = 1").orderBy("doc_id").limit(6).union(labels.where("quality = 0").orderBy("doc_id").limit(6))
+    model = quality.train(docs, few)
+    assert model.net is not None and quality.scored(docs, model).agg(F.countDistinct("score")).first()[0] > 100
+    assert quality.train(docs, labels.where("quality = 1").limit(1).union(labels.where("quality = 0").limit(1))).net is not None
+    for some in (labels.limit(0), labels.where("quality = 1"), labels.where("quality = 0")):
+        assert quality.classify(docs.limit(5), some).where("predicted = 1").count() == 5
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 

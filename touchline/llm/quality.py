@@ -134,6 +134,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Net:
     random = np.random.default_rng(seed)
     order = random.permutation(len(y))
     held, own = order[: len(y) // 5], order[len(y) // 5 :]
+    if not 0 < y[own].mean() < 1:  # the rest must show both kinds; only a few rows can miss one
+        held, own = order[:0], order
     net = Net(x[own].mean(axis=0), x[own].std(axis=0) + 1e-3, random.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), random.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), 0.0)
     names = ("w1", "b1", "w2", "b2")
     m, v, t = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
@@ -160,7 +162,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Net:
 @dataclass(frozen=True)
 class Model:
     vectors: np.ndarray
-    net: Net | None  # None without labels of either kind
+    net: Net | None  # None unless there are labels of both kinds
     prior: float
 
 
@@ -183,12 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = sorted(pairs.mapInArrow(work, "doc_id long, y double, x array<float>").collect(), key=lambda r: (r.doc_id, r.x))
     y = np.array([r.y for r in rows])
     prior = float(y.mean()) if len(y) else 0.5
-    net = fit(np.array([r.x for r in rows]), y) if len(y) >= 20 and 0 < prior < 1 else None
+    net = fit(np.array([r.x for r in rows]), y) if len(y) and 0 < prior < 1 else None
     return Model(vectors, net, prior)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and score (0 to 1). Null and empty texts have no words and get what the network gives for none."""
+    """All columns of ``docs`` and score (0 to 1). Null and empty texts have no words and get what the network gives for none.
+    Without labels of both kinds there is no network and no evidence, so every text scores 1 and none is rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != "score"]
 
@@ -196,7 +199,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         model = sent.value
         for part, data, offsets in slices(batches, limit=STEP_BYTES // 2):
             x = pooled(data, offsets, model.vectors)
-            value = model.net.score(x) if model.net else np.full(len(x), model.prior)
+            value = model.net.score(x) if model.net else np.ones(len(x))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(value.astype(np.float64))], [*rest, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
