@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import slices, texts_of, written
-from touchline.llm.segments import byte_bpe, tokenizer_path
+from touchline.llm.common import slices, texts_of, tokenizer_path, written
+from touchline.llm.segments import byte_bpe
 
 MODEL, CAPACITY, GROUP = "byte_bpe_50k.json", 2048, 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

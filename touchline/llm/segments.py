@@ -1,6 +1,6 @@
 """Exact tokenization by independent segments.
 
-Both tokenizers cut a text at places that depend only on a few neighbouring bytes, and no token
+The byte-level tokenizer cuts a text at places that depend only on a few neighbouring bytes, and no token
 crosses such a place. So a segment's ids are the same in every text, and the library is asked once
 for each distinct segment of a task; texts for which the cuts are not proven go to it whole.
 """
@@ -19,13 +19,6 @@ from touchline.llm.common import encoded
 KNOWN = 700_000
 
 
-def tokenizer_path(name: str) -> str:
-    """Where a public tokenizer file lies on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def byte_bpe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pre-tokens of the byte-level pattern surely begin: a bool for each byte.
 
@@ -133,63 +126,8 @@ class ByteBpe:
         return ids, ends[np.searchsorted(cuts, offsets)]
 
 
-class PieceCounts:
-    """Token counts by the sentencepiece library: a transducer over segments, each labelled with what it emits.
-
-    A segment begins at a space after another character, at a line feed, and after one. The model
-    has no piece with a space mark behind another character and none with a line feed, which
-    ``__init__`` verifies; else, and for texts with the space mark itself, the whole text is one segment.
-    """
-
-    MARK = "▁"
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        plain = [p for p in map(self.library.id_to_piece, range(self.library.get_piece_size())) if not re.fullmatch(r"<0x..>", p)]
-        self.by_space = not any(self.MARK in p.lstrip(self.MARK) for p in plain) and self.library.encode("a  b") != self.library.encode("a b")
-        feed = self.library.encode("\n", out_type=str)
-        self.by_feed = self.by_space and not any("\n" in p for p in plain) and feed == [self.MARK, "<0x0A>"]
-        self.known: dict[bytes, int] = {b" ": 1}
-
-    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where segments begin, a bool for each byte and the end; ``offsets`` are the texts' places."""
-        n = len(data)
-        cut = np.zeros(n + 1, bool)
-        if n > 1 and self.by_space:
-            cut[1:n] |= (data[1:] == 32) & (data[:-1] != 32)
-            if self.by_feed:
-                cut[1:n] |= (data[1:] == 10) | (data[:-1] == 10)
-            mark = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if n > 2 else []
-            for at in mark:
-                row = int(np.searchsorted(offsets, at, side="right")) - 1
-                cut[offsets[row] + 1 : offsets[row + 1]] = False
-        cut[offsets] = True
-        return cut
-
-    def emitted(self, segments: list[bytes]) -> np.ndarray:
-        """Tokens that each segment emits. A leading space stands for the one the library puts before a text;
-        a segment without one follows a line feed, whose two tokens (mark and byte) are taken off again.
-        A space alone is one token, which ``counts`` leaves out for an empty text."""
-        new = [x for x in segments if x not in self.known]
-        if new:
-            if len(self.known) > KNOWN:
-                self.known = {b" ": 1}
-                new = [x for x in segments if x != b" "]
-            spaced = [x[:1] == b" " for x in new]
-            made = self.library.encode([(x[1:] if s else b"\n" + x).decode() for x, s in zip(new, spaced, strict=True)], num_threads=1)
-            self.known.update((x, len(m) - 2 * (not s)) for x, m, s in zip(new, made, spaced, strict=True))
-        return np.fromiter((self.known[x] for x in segments), np.int64, len(segments))
-
-
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One tokenizer for all tasks of a worker process."""
     return ByteBpe(path)
 
-
-@lru_cache(maxsize=2)
-def piece_counts(path: str) -> PieceCounts:
-    """One transducer for all tasks of a worker process."""
-    return PieceCounts(path)

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.llm.common import shared_dir, slices, texts_of
-from touchline.llm.segments import byte_bpe, tokenizer_path
+from touchline.llm.common import shared_dir, slices, texts_of, tokenizer_path
+from touchline.llm.segments import byte_bpe
 
 MODEL = "byte_bpe_50k.json"
 MAGIC, HEAD, BLOCK_HEAD = b"PFR1", struct.Struct("<4sQI"), struct.Struct("<IBHH")
