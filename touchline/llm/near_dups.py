@@ -2,10 +2,10 @@
 
 Each text's set of word shingles gets m registers, the exponentially spaced (base b) and truncated
 logarithms of minima of exponential variables; equal sets have equal registers and a union's
-registers are the larger of the two. Registers are banded; members of a bucket are compared with its
-smallest member first, so a bucket of g texts gives g - 1 pairs. Pairs are estimated by the joint
-likelihood of the two sketches, and those within reach of the threshold are confirmed on full sets.
-What star comparison cannot settle, pairs across components in one bucket, goes through an exact prefix filter.
+registers are the larger of the two. Registers are banded; members of a bucket are compared with its smallest member and
+one chosen by hash, then, where components stay apart, with its most linked one, so a bucket of g texts gives fewer than
+3 g pairs. Pairs are estimated by the joint likelihood of the two sketches, and those within reach of the threshold are
+confirmed on full sets. What stars cannot settle, pairs across components in one bucket, goes through an exact prefix filter.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ class Plan:
         return self.bands * self.rows
 
 
+#: Partners of a text that one copy of it is compared with.
+MEMBERS = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,22 +172,32 @@ def estimated(pairs: DataFrame, sk: DataFrame, plan: Plan) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Those of the pairs whose full shingle sets reach the threshold."""
+    """Those of the pairs (a, b) whose full shingle sets reach the threshold.
+
+    A text a is sent once for MEMBERS of its partners b at most, which follow it as rows of a sorted partition."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "ta", STEP_BYTES):
-            sets = []
-            for _, d, o in ((0, data, offsets), *slices(iter([part]), "tb", 1 << 62)):
-                row, value = shingles(d, o, plan.words)
-                sets.append(np.split(value, np.cumsum(np.bincount(row, minlength=part.num_rows))[:-1]))
+        own = np.zeros(0, np.uint64)
+        for part, data, offsets in slices(batches, limit=STEP_BYTES):
+            row, value = shingles(data, offsets, plan.words)
+            ends = np.searchsorted(row, np.arange(part.num_rows + 1))
             good = []
-            for x, y in zip(*sets, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= plan.percent * (len(x) + len(y) - both))
+            for k, b in enumerate(part.column("b").to_pylist()):
+                mine = value[ends[k] : ends[k + 1]]
+                if b is None:
+                    own = mine
+                    good.append(False)
+                    continue
+                both = len(np.intersect1d(own, mine, assume_unique=True))
+                good.append(100 * both >= plan.percent * (len(own) + len(mine) - both))
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    texts = docs.select(F.col("doc_id").alias("key"), "text")
+    heads = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("key")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    members = dealt.join(texts, F.col("b") == F.col("key")).select("a", "part", "b", "text")
+    return heads.union(members).repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(work, "a long, b long")
 
 
 def ranked(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -204,15 +216,30 @@ def ranked(docs: DataFrame, plan: Plan) -> DataFrame:
     return shared.select("doc_id", "h", (place + F.coalesce("alone", F.lit(0))).alias("rank"))
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair of two different texts once, the smaller one as a."""
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def hubs(buckets: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of each bucket's most linked member with the members of other components: a second star, no square."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+    known = buckets.select("key", "doc_id").join(degree, "doc_id", "left").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    known = written(known.select("key", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("root", "doc_id").alias("root")), "known")
+    best = F.struct("degree", F.xxhash64("key", "doc_id").alias("x"), "doc_id", "root")
+    hub = known.groupBy("key").agg(F.max(best).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return ordered(known.join(hub, "key").where("root <> hub.root").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")))
+
+
 def undecided(buckets: DataFrame, roots: DataFrame, texts: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) that star comparison left open and that may reach the threshold.
 
-    Open are two members of a bucket, neither its pivot, in different components. Members outside a bucket's most
+    Open are two members of a bucket in different components, neither a centre of its stars. Members outside a bucket's most
     frequent component are looked up by prefix filtering, which is exact: ranked from rare to common, two sets that
     reach the threshold share one of their first shingles, and so near the front that enough can follow.
     """
     p = plan.percent
-    known = buckets.where("doc_id > pivot").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    known = buckets.where("doc_id not in (pivot, other)").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     per = known.groupBy("key", "root").agg(F.count("*").alias("n"))
     mains = per.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     mixed = known.join(mains, "key").groupBy("doc_id").agg(F.first("root").alias("root"), F.max((F.col("root") != F.col("main")).cast("int")).alias("minor"))
@@ -257,7 +284,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     Null, empty and all-white texts have no shingle, are linked with nothing and are kept. Texts with equal
-    sets form a class, whose smallest doc_id stands for all. doc_id identifies a row: rows that repeat a doc_id
+    sets (equal in size and in two sums of 64-bit hashes, some 128 bits) form a class, whose smallest doc_id stands for all. doc_id identifies a row: rows that repeat a doc_id
     with one text are one document to the links and each gets its result. Other columns are ignored.
     """
     docs = texts_of(docs)
@@ -268,18 +295,22 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     reps = written(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "registers"), "reps")
 
     keys = reps.select("doc_id", F.explode(F.array(*[band_key(k, plan) for k in range(plan.bands)])).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("top > pivot").select("key", "pivot")
+    pick = F.min_by("doc_id", F.xxhash64("doc_id", "key"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), pick.alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(keys.join(shared, "key"), "buckets")
-    stars = buckets.where("doc_id > pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     # the texts that any comparison may ask for leave the corpus once
     asked = docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = written(asked.dropDuplicates(["doc_id"]), "texts")
-    first = written(confirmed(written(estimated(stars, reps, plan), "estimates"), texts, plan), "links")
-    roots = components(first)
+    sizes = reps.select("doc_id", F.col("n_shingles").alias("n"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return written(confirmed(written(estimated(pairs, reps, plan), "estimates"), texts, plan), "links")
 
-    rest = undecided(buckets, roots, texts, reps.select("doc_id", F.col("n_shingles").alias("n")), plan)
-    second = confirmed(written(estimated(rest, reps, plan), "estimates"), texts, plan)
-    roots = components(first.union(second))
+    links = linked(ordered(buckets.select(F.explode(F.array("pivot", "other")).alias("a"), F.col("doc_id").alias("b"))))
+    links = links.union(linked(hubs(buckets, links, components(links))))
+    roots = components(links)
+    links = links.union(linked(undecided(buckets, roots, texts, sizes, plan)))
+    roots = components(links)
 
     found = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     empty = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
