@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import touchline
@@ -25,11 +25,13 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests), a local one is set."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a local master (tests) gets a local one and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-touchline-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/touchline-{uuid.uuid4().hex}"
@@ -63,7 +65,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def texts_of(docs: DataFrame, *more: str) -> DataFrame:
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or one with underscores behind it that no column of ``taken`` has."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def texts_of(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id as long, text with null as empty, and the columns named; other columns go."""
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)

@@ -1,9 +1,9 @@
 """Operator 9: repeated passages removed by sliding spans of sentences.
 
-A span is a run of several consecutive sentences, as many as it takes to hold ``min_words`` words; one sentence of so many
-words is a span by itself. Spans are taken forward from every sentence and backward from every sentence, so that a
-repeated passage is covered to its last sentence. They join globally by hash: the first (smallest doc_id, place)
-stays, and the sentences of all others are removed. Short repeated lines stay.
+A span is a run of several consecutive sentences: two, or as many more as it takes to hold ``min_words`` words. Spans are
+taken forward from every sentence and backward from every sentence, so that a repeated passage is covered to its last
+sentence. They join globally by two hashes, 96 bits together: the first (smallest doc_id, place) stays, and the sentences of
+all others are removed. Short repeated lines and sentences that repeat alone stay.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import STEP_BYTES, run_hashes, runs, sequence_hashes, slices, texts_of, written
+from touchline.llm.common import STEP_BYTES, fresh, mix, run_hashes, runs, sequence_hashes, slices, texts_of, written
 
 MIN_WORDS = 16
+_SECOND = np.uint64(0xA0761D6478BD642F)
 CHARS = 3  # characters that count as one word where a script parts no words
 CLOSERS = "\u201d\u2019\u00bb\u203a\uff09\u300d\u300f\u3011\u3009\u300b"
 #: Full-width, Arabic, Devanagari, Armenian, Ethiopic, Khmer, Burmese and Tibetan stops end a sentence without white space.
@@ -118,15 +119,15 @@ def words(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return begins, np.minimum(np.append(begins[1:], len(data)), ends[np.searchsorted(starts, begins, side="right") - 1])
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number of the first sentence in its text, number of sentences, and hash of each span."""
+def spans(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the first sentence in its text, number of sentences, and two hashes (64 and 32 bits) of each span."""
     at, row = sentence_bounds(data, offsets)
     none = np.zeros(0, np.int64)
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, none.astype(np.int32)
     word_at, word_end = words(data, offsets, at)
     if not len(word_at):
-        return none, none, none, none
+        return none, none, none, none, none.astype(np.int32)
     first = np.searchsorted(word_at, at)
     last = np.append(first[1:], len(word_at))
     some = last > first
@@ -136,53 +137,61 @@ def spans(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.nda
     total = np.append(first, len(word_at))  # words before each sentence
     opens, closes = np.searchsorted(row, row), np.searchsorted(row, row, side="right")
     here = np.arange(len(at))
-    to = np.searchsorted(total, total[:-1] + min_words)  # forward from each sentence
+    to = np.maximum(np.searchsorted(total, total[:-1] + min_words), here + 2)  # forward from each sentence
     ahead = to <= closes
-    back = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # backward from each sentence
+    back = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, here - 1)  # backward from each sentence
     behind = back >= opens
     pairs = np.concatenate([here[ahead] * (len(at) + 1) + to[ahead], back[behind] * (len(at) + 1) + here[behind] + 1])
     pairs = np.unique(pairs)
     a, b = pairs // (len(at) + 1), pairs % (len(at) + 1)
-    return row[a], a - opens[a], b - a, sequence_hashes(value, a, b).view(np.int64)
+    other = (sequence_hashes(mix(value ^ _SECOND), a, b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return row[a], a - opens[a], b - a, sequence_hashes(value, a, b).view(np.int64), other
 
 
-def gathered(ids: pa.Array, row: np.ndarray, number: np.ndarray, size: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """One row for each text and distinct span: h, doc_id, first place s, sentences n, and ``more`` places in rising order
-    (null for none). A passage that a text holds many times so counts once in the join."""
-    order = np.lexsort((number, size, value, row))
-    row, number, size, value = row[order], number[order].astype(np.int32), size[order].astype(np.int32), value[order]
+def gathered(ids: pa.Array, texts: pa.Array, row: np.ndarray, number: np.ndarray, size: np.ndarray, value: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    """One row for each text and distinct span: its hashes h and g, doc_id, text hash t, first place s, sentences n, and
+    ``more`` places in rising order (null for none). A passage that a text holds many times so counts once in the join."""
+    order = np.lexsort((number, size, other, value, row))
+    row, number, size, value, other = row[order], number[order].astype(np.int32), size[order].astype(np.int32), value[order], other[order]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (size[1:] != size[:-1])
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (other[1:] != other[:-1]) | (size[1:] != size[:-1])
     at = np.flatnonzero(new)
     extra = np.diff(np.append(at, len(row))) - 1
     ends = np.append(0, np.cumsum(extra)).astype(np.int32)
     more = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[~new]), mask=pa.array(extra == 0)) if len(at) else pa.array([], pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(value[at]), ids.take(pa.array(row[at])), pa.array(number[at]), pa.array(size[at]), more], ["h", "doc_id", "s", "n", "more"])
+    own = pa.array(row[at])
+    return pa.RecordBatch.from_arrays([pa.array(value[at]), pa.array(other[at]), ids.take(own), texts.take(own), pa.array(number[at]), pa.array(size[at]), more], ["h", "g", "doc_id", "t", "s", "n", "more"])
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with text cut, and n_removed (sentences) and removed_words; all other columns stay.
+    """``docs`` with text cut, and n_removed (sentences) and removed_words; all other columns stay, whatever their names.
 
-    Null stays null and empty stays empty, with 0 removed. Rows that repeat a doc_id count as one document for
-    the choice of the first span and are cut alike. Columns of docs named n_removed or removed_words are replaced.
+    Null stays null and empty stays empty, with 0 removed. Rows that repeat a doc_id and a text count as one document for
+    the choice of the first span and are cut alike; rows of one doc_id with different texts are documents of their own. A null
+    doc_id comes before all others. Texts of any length are taken whole; an empty table gives an empty result. Columns of
+    docs named n_removed or removed_words are replaced.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, limit=STEP_BYTES):
-            yield gathered(part.column("doc_id"), *spans(data, offsets, min_words))
+            yield gathered(part.column("doc_id"), part.column("t"), *spans(data, offsets, min_words))
 
-    made = texts_of(docs).mapInArrow(emit, "h long, doc_id long, s int, n int, more array<int>")
+    text_hash = F.hash("text")
+    made = texts_of(docs, text_hash.alias("t")).mapInArrow(emit, "h long, g int, doc_id long, t int, s int, n int, more array<int>")
     made = written(made, "spans")
-    where = F.struct("doc_id", "s")
-    last = F.struct("doc_id", F.coalesce(F.element_at("more", -1), "s"))
+    where = F.struct("doc_id", "t", "s")
+    last = F.struct("doc_id", "t", F.coalesce(F.element_at("more", -1), "s"))
     # written, so that the join deals its own two sides: a small one is sent whole, a skewed one is split at run time
-    repeated = written(made.groupBy("h").agg(F.min(where).alias("first"), F.max(last).alias("last")).where("first < last").select("h", "first"), "repeated")
-    other = where != F.col("first")
-    again = made.join(repeated, "h").where(other | F.col("more").isNotNull()).select("doc_id", F.when(other, F.col("s")).alias("s"), "n", "more")
-    cuts = again.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n", "more")).alias("cut_at"))  # no more than twice a text's sentences
+    repeated = written(made.groupBy("h", "g").agg(F.min(where).alias("first"), F.max(last).alias("last")).where("first < last").select("h", "g", "first"), "repeated")
+    other = ~where.eqNullSafe(F.col("first"))
+    again = made.join(repeated, ["h", "g"]).where(other | F.col("more").isNotNull()).select("doc_id", "t", F.when(other, F.col("s")).alias("s"), "n", "more")
+    cuts = again.groupBy("doc_id", "t").agg(F.collect_set(F.struct("s", "n", "more")).alias("cut_at"))  # no more than twice a text's sentences
 
     rest = [c for c in docs.columns if c not in ("n_removed", "removed_words")]
-    joined = docs.select(*rest).join(cuts.withColumnsRenamed({"doc_id": "cut_id"}), F.col("doc_id") == F.col("cut_id"), "left").drop("cut_id")
+    cut_at, cut_id, cut_text = (fresh(c, rest) for c in ("cut_at", "cut_id", "cut_text"))
+    cuts = cuts.select(F.col("doc_id").alias(cut_id), F.col("t").alias(cut_text), F.col("cut_at").alias(cut_at))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(cut_id)) & (text_hash == F.col(cut_text))
+    joined = docs.select(*[F.col(f"`{c}`") for c in rest]).join(cuts, same, "left").drop(cut_id, cut_text)
     place = rest.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +202,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             word_at = words(data, offsets, at)[0] if len(at) else at
             count = np.diff(np.searchsorted(word_at, bounds))  # words of each sentence
             texts, removed, gone_words = part.column("text").to_pylist(), [], []
-            for k, gone in enumerate(part.column("cut_at").to_pylist()):
+            for k, gone in enumerate(part.column(cut_at).to_pylist()):
                 if not gone:
                     removed.append(0)
                     gone_words.append(0)
@@ -210,5 +219,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             columns[place] = pa.array(texts, part.schema.field("text").type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(gone_words, pa.int64())], [*rest, "n_removed", "removed_words"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in rest]).schema)
     return joined.mapInArrow(cut, f"{kinds}, n_removed long, removed_words long")
