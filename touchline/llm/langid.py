@@ -13,12 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.llm.common import LETTER, lowered, slices, texts_of
 
-#: Rows of each language in the training sample and of all together, landmarks likewise, the most languages learned, and the ridge.
-PER_LANG, SAMPLE, LANDMARKS, ALL_LANDMARKS, MOST_LANGS, RIDGE = 600, 4000, 24, 400, 200, 0.05
+#: Rows of each language in the training sample and of all together (but one of each language), landmarks likewise, and the ridge.
+PER_LANG, SAMPLE, LANDMARKS, ALL_LANDMARKS, RIDGE = 600, 4000, 24, 400, 0.05
 SPACE = 1 << 16  # one region of presence bits for pairs of bytes, one for hashed triples
 ROWS = 128
 
@@ -59,14 +60,14 @@ def unpacked(packed: np.ndarray) -> np.ndarray:
 
 
 def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """The model of a sample (packed presence bits) in a given order; its first rows of each language are the landmarks.
-    Bits are unpacked ROWS at a time."""
+    """The model of a sample (packed presence bits) in a given order; its first rows of each language are the landmarks, ALL_LANDMARKS
+    at most. Bits are unpacked ROWS at a time."""
     names = sorted(set(langs))
     if not names:
         return None
-    label = np.array([names.index(x) for x in langs])
+    label = np.searchsorted(names, langs)
     each = max(1, min(landmarks, ALL_LANDMARKS // len(names)))
-    chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))])
+    chosen = np.sort(np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))]))[:ALL_LANDMARKS]
     own = unpacked(packed[chosen])
     grams = np.flatnonzero(own.any(axis=0))
     size = np.maximum(np.count_nonzero(own, axis=1), 1)
@@ -85,25 +86,27 @@ def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge:
     return Model(names, grams, rough.landmarks, rough.roots, (to @ w).astype(np.float32), (centre - mean @ w).astype(np.float32))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """Fits on about ``per_lang`` rows of each language, chosen by a hash of doc_id; presence bits come to the driver."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
+    """Fits on ``per_lang`` rows of each language, or as many fewer as keep all languages within ``sample``, one at least: those
+    of the smallest hash of doc_id. Every language is learned. Rows that repeat count once. Presence bits come to the driver."""
     labelled = docs.where("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
-    if not counts:
+    langs = labelled.agg(F.countDistinct("lang")).first()[0]
+    if not langs:
         return None
-    per_lang = min(per_lang, max(1, SAMPLE // len(counts)))
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, per_lang / n))])
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003.0
-    sample = labelled.where(part < share[F.col("lang")]).select("doc_id", "text", "lang")
+    place = F.xxhash64(F.col("doc_id").cast("string"))
+    slim = labelled.select(F.col("doc_id").cast("long").alias("id"), "lang", place.alias("place")).withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("place", "id")))
+    chosen = slim.where(F.col("rn") <= min(per_lang, max(1, sample // langs))).select("id", F.col("lang").alias("own"), "place").distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in parts(batches):
             bits = np.packbits(presence(data, offsets), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["doc_id", "lang", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["place", "lang", "bits"])
 
-    rows = sorted(texts_of(sample, "lang").mapInArrow(work, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.lang, bytes(r.bits)))
-    if not rows:
-        return None
+    # ``chosen`` holds max(sample, languages) rows of two numbers and a name at most
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("own"))
+    picked = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), same).dropDuplicates(["id", "lang"])
+    made = texts_of(picked, "lang", "place").mapInArrow(work, "place long, lang string, bits binary")
+    rows = sorted(made.collect(), key=lambda r: (r.place, r.lang, bytes(r.bits)))
     return fit(np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1), [r.lang for r in rows])
 
 
@@ -138,7 +141,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def identify(docs: DataFrame, held_out_of: int = 3, held_out: int = 1, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score. Rows with crc32(doc_id as text) mod ``held_out_of`` equal ``held_out`` teach nothing.
 
-    Null and letterless texts are ``und``; rows that repeat get equal results; an empty table gives an empty result.
+    Null, empty and letterless texts are ``und`` with score 0; texts of any length count whole; rows that repeat get equal
+    results; an empty table gives an empty result. Columns other than doc_id, text and lang are ignored.
     """
     is_held = F.crc32(F.col("doc_id").cast("string")) % held_out_of == held_out
     model = train(docs.where(~is_held), per_lang)
