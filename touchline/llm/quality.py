@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import STEP_BYTES, mix, run_hashes, runs, slices, texts_of
 
 #: Word buckets (by hash), vector length, neighbours to each side, and the most labelled rows that the network sees.
-BUCKETS, DIM, REACH, SAMPLE = 8192, 32, 2, 20_000
+BUCKETS, DIM, REACH, SAMPLE = 1 << 16, 32, 2, 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 THRESHOLD = 0.7
 
@@ -47,7 +47,7 @@ def bucket_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     end = np.append(at[1:], n)
     word = kind[at] > 0
     at, end = at[word], end[word]
-    return (run_hashes(data, at, end) % np.uint64(BUCKETS)).astype(np.uint16), np.searchsorted(offsets, at, side="right") - 1
+    return (run_hashes(data, at, end) % np.uint64(BUCKETS)).astype(np.int32), np.searchsorted(offsets, at, side="right") - 1
 
 
 def index_vectors() -> np.ndarray:
@@ -85,9 +85,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     made = texts_of(docs).mapInArrow(work, "bucket long, sums array<long>")
     summed = made.groupBy("bucket").agg(*[F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(DIM)])
-    out = np.zeros((BUCKETS, DIM))
-    for r in summed.collect():
-        out[r[0]] = r[1:]
+    out, table = np.zeros((BUCKETS, DIM)), summed.toArrow()
+    out[table.column("bucket").to_numpy()] = np.array([table.column(f"s{k}").to_numpy() for k in range(DIM)]).T.reshape(-1, DIM)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.maximum(length, 1)).astype(np.float32)
 
@@ -189,21 +188,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(vectors, net, prior)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and score (0 to 1). Null and empty texts have no words and get what the network gives for none.
+def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``out`` (0 to 1, six digits: the last bits of a float product depend on its batch), which
+    replaces a column of that name. Null and empty texts have no words and get what the network gives for none.
     Without labels of both kinds there is no network and no evidence, so every text scores 1 and none is rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "score"]
+    rest = [c for c in docs.columns if c != out]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for part, data, offsets in slices(batches, limit=STEP_BYTES // 2):
             x = pooled(data, offsets, model.vectors)
             value = model.net.score(x) if model.net else np.ones(len(x))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(value.astype(np.float64))], [*rest, "score"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(np.round(value.astype(np.float64), 6))], [*rest, out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    return docs.select(*rest).mapInArrow(work, f"{kinds}, score double")
+    own = docs.select(*[F.col(f"`{c}`") for c in rest])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return own.mapInArrow(work, f"{kinds}, `{out}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out_of: int = 4, held_out: int = 2, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
