@@ -44,11 +44,11 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = 0
             columns = [batch.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first, first + length, strict=True)], pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                columns.append(pa.array([made[a:b].astype(np.int64) for a, b in zip(first, first + length, strict=True)], pa.list_(pa.int64())))
+                columns.append(pa.array([made[a:b].astype(np.int32) for a, b in zip(first, first + length, strict=True)], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts_of(docs).mapInArrow(work, PIECES + (", ids array<long>" if with_ids else ""))
+    return texts_of(docs).mapInArrow(work, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +125,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
     return dealt.mapInArrow(work, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = 0, model: str = MODEL, group: int = GROUP) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = 0, model: str = MODEL, group: int = GROUP, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset for every piece of every document.
 
     Null and empty texts give one piece with the end id alone. Repeated rows are packed each by
     itself, other columns are ignored, and an empty table gives an empty result.
     """
-    return pack_pieces(written(cut_pieces(docs, capacity, end_id, model), "pieces"), capacity, group)
+    return pack_pieces(written(cut_pieces(docs, capacity, end_id, model, with_ids), "pieces"), capacity, group)
