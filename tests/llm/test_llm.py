@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.llm import chat, decontam, langid, media, near_dups, packing, quality, substring, token_ids, tokens
-from touchline.llm.segments import tokenizer_path
+from touchline.llm.common import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, score string, n string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -71,7 +71,7 @@ def test_near_dups_second_round_finds_what_stars_miss(spark, docs, rows):
     own = docs.where("doc_id >= 18").select("doc_id", "text")
     ids = [r[0] for r in rows if r[0] >= 18]
     texts = dict((r[0], r[1]) for r in rows)
-    keys = spark.createDataFrame([(1, 0, i) for i in ids], "key long, pivot long, doc_id long").where("doc_id > pivot")
+    keys = spark.createDataFrame([(1, 0, 1, i) for i in ids], "key long, pivot long, other long, doc_id long")
     sizes = spark.createDataFrame([(i, len(shingles(texts[i], 3))) for i in ids], "doc_id long, n long")
     none = spark.createDataFrame([], "node long, root long")
     got = {(r.a, r.b) for r in near_dups.undecided(keys, none, own, sizes, plan).collect()}
@@ -112,14 +112,46 @@ def test_tokens_ids_packing(spark, docs, rows):
 
 
 def test_chunk_maps_compose():
-    from touchline.llm.segments import PieceCounts
+    import sentencepiece
 
-    machine = PieceCounts(tokenizer_path(tokens.MODEL))
-    text = "Ab  c\n\nd e▁f" * 3 + "\n x yé 日本"
-    data = np.frombuffer(text.encode(), np.uint8)
-    for part in (text, text.replace("▁", "_")):
-        data = np.frombuffer(part.encode(), np.uint8)
-        assert tokens.counts(machine, data, np.array([0, len(data)]), chunk=4)[0] == len(machine.library.encode(part))
+    from touchline.llm.transducer import transducer
+
+    machine = transducer(tokenizer_path(tokens.MODEL))
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(tokens.MODEL))
+    rng = np.random.default_rng(4)
+    letters = list("abcdetinosr  \u2581\n.,'\u00e9\u65e5\u0444\U0001f600\0\tABC123____===---   ")
+    pieces = [library.id_to_piece(int(k)).replace("\u2581", " ") for k in rng.integers(259, 32000, 3000)]
+    texts = ["", "Ab  c\n\nd e\u2581f" * 3 + "\n x y\u00e9 \u65e5\u672c", "<s> </s> <unk> <0x0A>", " " * 70 + "a", "=" * 90, "a" * 3000]
+    texts += ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(1500)]
+    texts += ["".join(rng.choice(pieces, rng.integers(1, 12))) for _ in range(1500)]
+    want = [len(library.encode(t)) for t in texts]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for chunk in (3, 64, tokens.CHUNK):
+        assert tokens.counts(machine, data, offsets, chunk=chunk).tolist() == want
+    # a chunk's map does not depend on how chunks are grouped, and from every state it ends where its symbols lead
+    one = np.frombuffer(texts[1].encode(), np.uint8)
+    symbol, places = tokens.symbols_of(machine, one, np.array([0, len(one)]))
+    state, total = 0, 0
+    for x, y in zip([0, *symbol[:-1]], symbol, strict=True):
+        if not machine.near[x, y]:
+            state = 0
+        what, made = machine.step(state, int(y))
+        state, total = machine._state(what), total + made
+    assert total == want[1]
+
+
+def test_transducer_starts_anew_when_full():
+    from touchline.llm.transducer import Transducer, transducer
+
+    whole = transducer(tokenizer_path(tokens.MODEL))
+    small = Transducer(whole.score, slots=1 << 12)
+    rng = np.random.default_rng(2)
+    for _ in range(3):
+        raw = [" ".join("".join(rng.choice(list("aeinrst"), 5)) for _ in range(60)).encode()]
+        data, offsets = np.frombuffer(raw[0], np.uint8), np.array([0, len(raw[0])])
+        assert tokens.counts(small, data, offsets) == tokens.counts(whole, data, offsets)
+    assert small.held < 1 << 12
 
 
 def test_packed_blocks():
@@ -134,28 +166,68 @@ def test_media(docs, rows):
         raw = (text or "").encode()
         pad = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert got[i].payload_sha256 == hashlib.sha256(pad).hexdigest() and got[i].tail_crc32 == zlib.crc32(pad[-16:]) and got[i].n_bytes == len(raw)
+        assert got[i].media_sha256 == hashlib.sha256(media.to_wav(pad)).hexdigest()
     assert got[6].feature == got[12].feature and media.from_wav(media.to_wav(b"abc"))[0] == b"abc"
-    tensors = media.audio_features(media.store(docs)).where("doc_id = 17").collect()
-    assert len(tensors) > 1 and all(len(t.mel) == media.FRAMES * media.MELS and t.end_s > t.start_s for t in tensors)
-
-
-def test_media_segments_cross_blocks(spark):
-    tone = lambda level, n: [128 + round(128 * level * (1 if k % 16 < 8 else -1)) for k in range(n)]
+    assert media.media_digests(docs.limit(0)).count() == 0
+    twice = media.media_digests(docs.where("doc_id = 7").union(docs.where("doc_id = 7"))).collect()
+    assert len(twice) == 2 and twice[0] == twice[1] == got[7]
+
+
+def plain_features(samples: bytes):
+    """Resampled clip, log-mel energies of each frame and its active frames, by the definitions, one number at a time where cheap."""
+    x = (np.frombuffer(samples, np.uint8) - np.float64(np.frombuffer(samples, np.uint8).mean())) / 128
+    n, taps, down = len(x), media.TAPS * media.DOWN, media.DOWN
+    t = np.arange(taps) - (taps - 1) / 2
+    low = np.sinc(t / down) * np.hamming(taps) / down
+    low /= low.sum()
+    frames = max(1, -(-(-(-n // down) - media.WINDOW) // media.HOP) + 1)
+    total = (frames - 1) * media.HOP + media.WINDOW
+    y = np.zeros(total)
+    for m in range(total):
+        at = m * down - taps // 2 + np.arange(taps)
+        ok = (at >= 0) & (at < n)
+        y[m] = (low[::-1][ok] * x[at[ok]]).sum()  # the filter is symmetric
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = 700 * (10 ** (np.linspace(0, mel(media.RATE / down / 2), media.MELS + 2) / 2595) - 1)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.WINDOW // 2 + 1), np.arange(media.WINDOW)) / media.WINDOW)
+    out, loud = [], []
+    for k in range(frames):
+        cut = y[k * media.HOP : k * media.HOP + media.WINDOW]
+        power = np.abs(turn @ (cut * np.hanning(media.WINDOW))) ** 2
+        row = []
+        for a, b, c in zip(edges, edges[1:], edges[2:], strict=False):
+            f = np.arange(len(power)) * (media.RATE / down) / media.WINDOW
+            rise, fall = (f - a) / (b - a), (c - f) / (c - b)
+            row.append(np.log(sum(p * max(0, min(r, s)) for p, r, s in zip(power, rise, fall, strict=True)) + 1e-6))
+        out.append(row)
+        loud.append(np.sqrt((cut**2).mean()))
+    level, on, busy = np.sqrt((np.array(loud) ** 2).mean()), False, []
+    for v in loud:
+        on = level >= media.SILENT and (v >= media.LOUD * level or (on and v >= media.QUIET * level))
+        busy.append(on)
+    return np.array(out), busy
+
+
+def test_media_features_against_a_plain_version(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    tone = lambda level, n: bytes(128 + round(128 * level * np.sin(k / 3)) for k in range(n))
     step = media.HOP * media.DOWN
-    clips = {
-        1: (tone(0.4, 2 * step) + tone(0.1, 38 * step), 1),  # starts loud and is held on a quiet level over two block edges
-        2: (tone(0.1, 40 * step), 0),  # never loud
-        3: (tone(0.4, 2 * step) + tone(0.1, 20 * step) + tone(0, 20 * step) + tone(0.4, 12 * step), 2),
-    }
-    df = spark.createDataFrame([(k, bytearray(media.to_wav(bytes(v)))) for k, (v, _) in clips.items()], "doc_id long, media binary")
-    made = media.audio_features(df).collect()
-    for k, (samples, segments) in clips.items():
-        loud = np.concatenate([part[:n] for _, part, n in media.blocks(bytes(samples), media.RATE)])
-        want = [(a * step / media.RATE, b * step / media.RATE) for a, b in media.active(loud)]
-        got = [(s.from_s, s.to_s) for r in sorted((r for r in made if r.doc_id == k), key=lambda r: r.block) for s in r.active]
-        assert len(want) == segments and np.allclose(np.array(got).ravel(), np.array(want).ravel())
-        busy = sum(b - a for a, b in media.active(loud))
-        assert f"segments={segments};active={busy};" in media.summary(bytes(samples), media.RATE)
+    clips = {1: bytes(rng.integers(0, 256, 900, dtype=np.uint8)), 2: tone(0.5, 3 * step) + tone(0.28, 20 * step) + tone(0.05, 20 * step) + tone(0.5, 2 * step), 3: b"so few words " * 50, 4: b" " * 192}
+    frame = spark.createDataFrame([(k, len(v), bytearray(media.to_wav(v))) for k, v in clips.items()] + [(9, 0, None)], media.CLIPS)
+    media.write_features(frame, str(tmp_path / "features"))
+    made = media.read_features(spark, str(tmp_path / "features")).collect()
+    assert {r.doc_id for r in made} == set(clips)
+    seconds = step / media.RATE
+    for k, samples in clips.items():
+        own = sorted((r for r in made if r.doc_id == k), key=lambda r: r.block)
+        assert all(r.shape == [media.FRAMES, media.MELS] and len(r.mel) == media.FRAMES * media.MELS for r in own)
+        sizes = [round((r.end_s - r.start_s) / seconds) for r in own]
+        mel = np.concatenate([np.array(r.mel).reshape(media.FRAMES, media.MELS)[:n] for r, n in zip(own, sizes, strict=True)])
+        want, busy = plain_features(samples)
+        assert mel.shape == want.shape and np.abs(mel - want).max() < 2e-2
+        on = [any(s.from_s <= i * seconds + 1e-9 and (i + 1) * seconds <= s.to_s + 1e-9 for s in own[0].active) for i in range(len(busy))]
+        assert on == busy
+    assert sum(a != b for a, b in zip([False, *plain_features(clips[2])[1]], plain_features(clips[2])[1], strict=False)) >= 3
 
 
 def test_chat(spark):
@@ -212,9 +284,9 @@ def test_repeats_against_brute_force(spark, small):
     found, seen = {}, {}
     for k, (i, text) in enumerate(rows):
         data = np.frombuffer((text or "").encode(), np.uint8)
-        for _, s, n, h in zip(*substring.spans(data, np.array([0, len(data)]), substring.MIN_WORDS), strict=True):
-            found.setdefault(k, []).append((h, s, n))
-            seen[h] = min(seen.get(h, (i, s)), (i, s))
+        for _, s, n, h, g in zip(*substring.spans(data, np.array([0, len(data)]), substring.MIN_WORDS), strict=True):
+            found.setdefault(k, []).append(((h, g), s, n))
+            seen[h, g] = min(seen.get((h, g), (i, s)), (i, s))
     want = []
     for k, (i, text) in enumerate(rows):
         gone = {x for h, s, n in found.get(k, []) if seen[h] != (i, s) for x in range(s, s + n)}

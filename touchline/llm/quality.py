@@ -124,7 +124,8 @@ class Net:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.heat, -30, 30)))
+        """The logit counts to nine digits: the last bits of a float product depend on the size of its batch."""
+        return 1 / (1 + np.exp(-np.clip(np.round(self.logit(x) / self.heat, 9), -30, 30)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Net:
@@ -189,8 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``out`` (0 to 1, six digits: the last bits of a float product depend on its batch), which
-    replaces a column of that name. Null and empty texts have no words and get what the network gives for none.
+    """All columns of ``docs`` and ``out`` (0 to 1), which replaces a column of that name. Null and empty texts have no words and get what the network gives for none.
     Without labels of both kinds there is no network and no evidence, so every text scores 1 and none is rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != out]
@@ -200,7 +200,7 @@ def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
         for part, data, offsets in slices(batches, limit=STEP_BYTES // 2):
             x = pooled(data, offsets, model.vectors)
             value = model.net.score(x) if model.net else np.ones(len(x))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(np.round(value.astype(np.float64), 6))], [*rest, out])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(value.astype(np.float64))], [*rest, out])
 
     own = docs.select(*[F.col(f"`{c}`") for c in rest])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
