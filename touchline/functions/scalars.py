@@ -10,7 +10,7 @@ STATUS = {
     "NS": "NS", "TBD": "NS",
     "1H": "LIVE", "HT": "LIVE", "2H": "LIVE", "ET": "LIVE", "BT": "LIVE", "P": "LIVE", "LIVE": "LIVE",
     "FT": "FT", "AET": "FT", "PEN": "FT",
-    "SUSP": "SUSP", "INT": "SUSP", "ABD": "ABD", "CANC": "ABD", "PST": "POST",
+    "SUSP": "SUSP", "INT": "SUSP", "ABD": "ABD", "CANC": "ABD", "PST": "NS", "POST": "POST",
 }
 
 

@@ -20,10 +20,10 @@ def unify(frames: list[DataFrame], min_year: int | None = None) -> DataFrame:
     return made.where(F.year("date") >= min_year) if min_year else made
 
 
-def dedup_by_priority(df: DataFrame, values: list[str]) -> DataFrame:
-    """One row per day and (lower, trimmed) teams: best source, then most complete (xG counts twice), then match_id."""
+def dedup_by_priority(df: DataFrame, values: list[str], xg: str | None = None) -> DataFrame:
+    """One row per day and (lower, trimmed) teams: best source, then most complete (``xg`` counts two more), then match_id."""
     rank = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
-    filled = sum((F.col(c).isNotNull().cast("int") for c in values), F.lit(0))
+    filled = sum((F.col(c).isNotNull().cast("int") for c in values), F.lit(0)) + (2 * F.col(xg).isNotNull().cast("int") if xg else F.lit(0))
     key = [F.to_date("date"), F.lower(F.trim("home_team")), F.lower(F.trim("away_team"))]
     w = W.partitionBy(*key).orderBy(F.coalesce(rank[F.col("source")], F.lit(9)), filled.desc(), "match_id")
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -67,7 +67,7 @@ def elo_1x2(df: DataFrame, draw_rate: float | Column = 0.26, edge: float = 50.0)
 
 
 def score_grid(home: Column, away: Column, most: int, rho: float | None = None) -> Column:
-    """Normalised score probabilities as an array of (h, a, p), with the low-score correction if ``rho`` is given."""
+    """Score probabilities, not normalised, as an array of (h, a, p), with the low-score correction if ``rho`` is given."""
     tau = lambda h, a: F.when((h == 0) & (a == 0), 1 - home * away * rho).when((h == 0) & (a == 1), 1 + home * rho).when((h == 1) & (a == 0), 1 + away * rho).when((h == 1) & (a == 1), F.lit(1 - rho)).otherwise(1.0)
     ph, pa = poisson_pmf(home, most), poisson_pmf(away, most)
     ks = F.sequence(F.lit(0), F.lit(most))
@@ -75,25 +75,38 @@ def score_grid(home: Column, away: Column, most: int, rho: float | None = None)
     return F.flatten(F.transform(ks, lambda h: F.transform(ks, lambda a: cell(h, a))))
 
 
-def score_rows(df: DataFrame, home: str, away: str, most: int = 10, rho: float | None = None) -> DataFrame:
-    """A row per score: h, a, p before normalisation. The pmf arrays are made once per row and the grid comes from two explodes."""
-    made = df.withColumns({"_ph": poisson_pmf(F.col(home), most), "_pa": poisson_pmf(F.col(away), most)})
-    made = made.select(*df.columns, F.posexplode("_ph").alias("h", "_p"), "_pa").select(*df.columns, "h", "_p", F.posexplode("_pa").alias("a", "_q"))
-    p = F.col("_p") * F.col("_q")
-    if rho is not None:
-        h, a, x, y = F.col("h"), F.col("a"), F.col(home), F.col(away)
-        p = p * F.when((h == 0) & (a == 0), 1 - x * y * rho).when((h == 0) & (a == 1), 1 + x * rho).when((h == 1) & (a == 0), 1 + y * rho).when((h == 1) & (a == 1), 1 - rho).otherwise(1.0)
-    return made.withColumn("p", p).drop("_p", "_q")
-
-
 def markets(df: DataFrame, key: str, home: str, away: str, most: int = 10, rho: float | None = None) -> DataFrame:
-    """1X2, both-score, over 2.5 and the three likeliest scores from the grid."""
-    rows = score_rows(df.select(key, home, away), home, away, most, rho)
-    h, a, p = F.col("h"), F.col("a"), F.col("p")
-    part = lambda cond: F.sum(F.when(cond, p).otherwise(0.0)) / F.sum(p)
-    best = F.slice(F.sort_array(F.collect_list(F.struct(F.round("p", 12).alias("p"), (-h).alias("h"), (-a).alias("a"))), asc=False), 1, 3)
-    made = rows.groupBy(key).agg(part(h > a).alias("p_h"), part(h == a).alias("p_d"), part(h < a).alias("p_a"), part((h > 0) & (a > 0)).alias("btts"), part(h + a > 2).alias("over25"), best.alias("best"))
-    return made.withColumn("top3", F.array_join(F.transform("best", lambda x: F.concat((-x["h"]).cast("string"), F.lit("-"), (-x["a"]).cast("string"))), ",")).drop("best")
+    """key, 1X2, both-score and over 2.5, all within the row: a home score's share of wins is the running sum of away scores.
+
+    The low-score correction touches four cells, which are added up apart."""
+    x, y = F.col(home), F.col(away)
+    made = df.select(key, x.alias("_x"), y.alias("_y"), poisson_pmf(x, most).alias("_ph"), poisson_pmf(y, most).alias("_pa"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    step = lambda acc, p: F.struct((acc["below"] + p[1]).alias("below"), (acc["win"] + p[0] * acc["below"]).alias("win"), (acc["draw"] + p[0] * p[1]).alias("draw"))
+    pairs = F.zip_with("_ph", "_pa", lambda p, q: F.array(p, q))
+    start = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("win"), F.lit(0.0).alias("draw"))
+    made = made.select("*", F.aggregate(pairs, start, step).alias("_w"), total("_ph").alias("_th"), total("_pa").alias("_ta"))
+    ph, pa = (lambda k: F.get("_ph", F.lit(k))), (lambda k: F.get("_pa", F.lit(k)))
+    cell = lambda i, j: ph(i) * pa(j)
+    r = F.lit(rho or 0.0)
+    more = {(0, 0): -F.col("_x") * F.col("_y") * r * cell(0, 0), (0, 1): F.col("_x") * r * cell(0, 1), (1, 0): F.col("_y") * r * cell(1, 0), (1, 1): -r * cell(1, 1)}
+    all_ = F.col("_th") * F.col("_ta") + sum(more.values(), F.lit(0.0))
+    win, draw = F.col("_w.win") + more[1, 0], F.col("_w.draw") + more[0, 0] + more[1, 1]
+    low = sum((cell(i, j) for i in range(3) for j in range(3 - i)), F.lit(0.0)) + sum(more.values(), F.lit(0.0))
+    none = ph(0) * F.col("_ta") + pa(0) * F.col("_th") - cell(0, 0) + more[0, 0] + more[0, 1] + more[1, 0]
+    return made.select(key, (win / all_).alias("p_h"), (draw / all_).alias("p_d"), (1 - (win + draw) / all_).alias("p_a"), (1 - none / all_).alias("btts"), (1 - low / all_).alias("over25"))
+
+
+def top_scores(df: DataFrame, key: str, home: str, away: str, most: int = 10, rho: float | None = None, n: int = 3) -> DataFrame:
+    """key and the ``n`` likeliest scores as text; ties go to fewer home goals, then fewer away goals."""
+    grid = df.select(key, score_grid(F.col(home), F.col(away), most, rho).alias("_g"))
+    ranked = F.slice(F.array_sort(F.transform("_g", lambda c: F.struct((-F.round(c["p"], 12)).alias("p"), c["h"].alias("h"), c["a"].alias("a")))), 1, n)
+    return grid.select(key, F.array_join(F.transform(ranked, lambda c: F.concat(c["h"].cast("string"), F.lit("-"), c["a"].cast("string"))), ",").alias("top"))
+
+
+def closed_form_totals(home: Column, away: Column) -> dict[str, Column]:
+    """Overs of one Poisson with the summed rate, and P(both score) of two."""
+    return {**total_overs(home + away), "btts": 1 - F.exp(-home) - F.exp(-away) + F.exp(-home - away)}
 
 
 def total_overs(total: Column, lines: tuple[int, ...] = (1, 2, 3)) -> dict[str, Column]:

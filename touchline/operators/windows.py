@@ -37,21 +37,13 @@ def form(long: DataFrame, n: int, columns: tuple[str, ...] = ("gf", "ga", "pts")
 
 
 def strict_form(long: DataFrame, n: int, columns: tuple[str, ...] = ("gf", "ga", "pts")) -> DataFrame:
-    """As ``form``, with rows of the same kickoff left out exactly.
-
-    Rows are first summed per kickoff, which is a range that a tie cannot split; the last ``n`` rows strictly before a
-    kickoff are the running sums at the kickoff before, less those ``n`` rows earlier, so nothing is collected in lists.
-    """
-    place = long.withColumn("_rn", F.row_number().over(team())).withColumn("_first", F.min("_rn").over(W.partitionBy("league", "team", "date")))
-    w = W.partitionBy("league", "team").orderBy("_rn").rangeBetween(W.unboundedPreceding, -1)
-    sums = place.withColumns({f"_s_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in columns})
-    at = sums.select(F.col("league").alias("_l"), F.col("team").alias("_t"), F.col("_rn").alias("_at"), *[F.col(f"_s_{c}").alias(f"_b_{c}") for c in columns])
-    top = at.select("_l", "_t", F.col("_at").alias("_top"), *[F.col(f"_b_{c}").alias(f"_e_{c}") for c in columns])
-    joined = sums.withColumn("_from", F.greatest(F.col("_first") - n, F.lit(1)))
-    joined = joined.join(top, (F.col("league") == F.col("_l")) & (F.col("team") == F.col("_t")) & (F.col("_first") == F.col("_top"))).drop("_l", "_t")
-    joined = joined.join(at, (F.col("league") == F.col("_l")) & (F.col("team") == F.col("_t")) & (F.col("_from") == F.col("_at"))).drop("_l", "_t")
-    count = F.nullif(F.col("_first") - F.col("_from"), F.lit(0))
-    return joined.select(*long.columns, *[((F.col(f"_e_{c}") - F.col(f"_b_{c}")) / count).alias(f"{c}_strict_{n}") for c in columns])
+    """As ``form``, with rows of the same kickoff left out exactly; missing values are skipped.
+
+    A kickoff's first row has only earlier kickoffs before it, so its frame holds for all rows of that kickoff. Both
+    windows share one shuffle and one sort."""
+    kickoff = W.partitionBy("league", "team", "date").orderBy("match_id")
+    made = form(long, n, columns)
+    return made.select(*long.columns, *[F.first(f"{c}_{n}").over(kickoff).alias(f"{c}_strict_{n}") for c in columns])
 
 
 def momentum(long: DataFrame) -> DataFrame:
@@ -120,18 +112,37 @@ def head_to_head(matches: DataFrame, n: int = 5) -> DataFrame:
     return made.withColumn("h2h_home", own).drop("lo", "hi", "_lo")
 
 
+def running(df: DataFrame, by: str, values: dict[str, Column]) -> DataFrame:
+    """``df`` with _n and _s_<name>: rows of its group before the row in (date, match_id) order, and sums over them.
+
+    Sums per day are run over days, and a day's rows over themselves, so no task sorts a whole group."""
+    day = F.to_date("date").alias("_day")
+    per = df.groupBy(by, day).agg(F.count("*").alias("_n"), *[F.sum(v).alias(f"_s_{k}") for k, v in values.items()])
+    past = W.partitionBy(by).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)  # a row for each day
+    names = ["_n", *[f"_s_{k}" for k in values]]
+    base = per.select(F.col(by).alias("_by"), F.col("_day").alias("_on"), *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"_b{c}") for c in names])
+    joined = df.withColumn("_day", day).join(base, F.col(by).eqNullSafe(F.col("_by")) & F.col("_day").eqNullSafe(F.col("_on")))
+    own = W.partitionBy(by, "_day").orderBy("date", "match_id").rowsBetween(W.unboundedPreceding, -1)
+    within = {"_n": F.count(F.lit(1)).over(own), **{f"_s_{k}": F.coalesce(F.sum(v).over(own), F.lit(0)) for k, v in values.items()}}
+    return joined.select(*df.columns, *[(F.col(f"_b{c}") + w).alias(c) for c, w in within.items()])
+
+
 def league_baseline(matches: DataFrame, window: int | None = None, least: int = 0, with_current: bool = False) -> DataFrame:
     """Running rates of a league over earlier rows; ``window`` limits them, ``with_current`` adds the row itself (as published, it leaks)."""
-    end = 0 if with_current else -1
-    start = W.unboundedPreceding if window is None else (-window if not with_current else 1 - window)
-    w = W.partitionBy("league").orderBy("date", "match_id").rowsBetween(start, end)
     h, a = F.col("home_goals"), F.col("away_goals")
+    flags = {"lg_home": h > a, "lg_draw": h == a, "lg_goals": h + a, "lg_btts": (h > 0) & (a > 0), "lg_over25": h + a > 2}
+    if window is None and not with_current:
+        made = running(matches, "league", {k: c.cast("long") for k, c in flags.items()})
+        value = lambda k: F.coalesce(F.col(f"_s_{k}") / F.nullif("_n", F.lit(0)), F.lit(None if least else 0.0))
+        return made.select(*matches.columns, *[(F.when(F.col("_n") >= least, value(k)) if least else value(k)).alias(k) for k in flags])
+    start = W.unboundedPreceding if window is None else (-window if not with_current else 1 - window)
+    w = W.partitionBy("league").orderBy("date", "match_id").rowsBetween(start, 0 if with_current else -1)
     rate = lambda c: F.when(F.count("*").over(w) >= least, F.avg(c.cast("double")).over(w)) if least else F.coalesce(F.avg(c.cast("double")).over(w), F.lit(0.0))
-    return matches.withColumns({"lg_home": rate(h > a), "lg_draw": rate(h == a), "lg_goals": rate(h + a), "lg_btts": rate((h > 0) & (a > 0)), "lg_over25": rate(h + a > 2)})
+    return matches.withColumns({k: rate(c) for k, c in flags.items()})
 
 
 def streaks(long: DataFrame) -> DataFrame:
-    """Per team: longest winning and unbeaten runs, by gaps and islands."""
+    """Per team: longest winning and unbeaten runs, by gaps and islands; ``current_streak`` has the run that goes on."""
     def longest(flag: Column, name: str) -> DataFrame:
         rows = long.withColumn("_f", flag.cast("int")).withColumn("_g", F.sum(1 - F.col("_f")).over(team()))
         return rows.groupBy("league", "team", "_g").agg(F.sum("_f").alias("n")).groupBy("league", "team").agg(F.max("n").alias(name))
@@ -143,3 +154,44 @@ def latest(long: DataFrame) -> DataFrame:
     """The newest row of each team."""
     w = W.partitionBy("league", "team").orderBy(F.desc("date"), F.desc("match_id"))
     return long.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def current_streak(long: DataFrame) -> DataFrame:
+    """Per team the result (W, D, L) of its newest row and how many rows in a row ended so."""
+    mark = F.when(F.col("gf") > F.col("ga"), "W").when(F.col("gf") == F.col("ga"), "D").otherwise("L")
+    newest = W.partitionBy("league", "team").orderBy(F.desc("date"), F.desc("match_id"))
+    rows = long.withColumn("_m", mark).withColumn("_rn", F.row_number().over(newest)).withColumn("_now", F.first("_m").over(newest))
+    rows = rows.groupBy("league", "team").agg(F.first("_now").alias("result"), F.min(F.when(F.col("_m") != F.col("_now"), F.col("_rn"))).alias("_stop"), F.count("*").alias("_all"))
+    return rows.select("league", "team", "result", (F.coalesce(F.col("_stop") - 1, "_all")).cast("long").alias("length"))
+
+
+def current_form(long: DataFrame, n: int = 5, columns: tuple[str, ...] = ("gf", "ga")) -> DataFrame:
+    """Means over the last ``n`` rows of a team at its venue, the row itself among them (as published, it knows the match)."""
+    w = team("is_home").rowsBetween(1 - n, 0)
+    return long.withColumns({f"{c}_now_{n}": F.avg(c).over(w) for c in columns})
+
+
+def both_sides(matches: DataFrame, long: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``matches`` with home_<c> and away_<c> of its two rows of ``long``: one grouping by match, then one join."""
+    of = lambda c, side: F.max(F.when(F.col("is_home") == side, F.col(c)))
+    pairs = long.groupBy("match_id").agg(*[of(c, side).alias(f"{name}_{c}") for name, side in (("home", 1), ("away", 0)) for c in columns])
+    return matches.join(pairs, "match_id", "left")
+
+
+def league_factors(matches: DataFrame) -> DataFrame:
+    """Strength (goals a match), home advantage, draw rate and goals of a league over its earlier matches; 0 before the first."""
+    h, a = F.col("home_goals"), F.col("away_goals")
+    made = running(matches, "league", {"h": h.cast("long"), "a": a.cast("long"), "d": (h == a).cast("long")})
+    n, s = F.greatest(F.col("_n"), F.lit(1)), {k: F.col(f"_s_{k}") for k in "had"}
+    return made.select(*matches.columns, (s["h"] / n + s["a"] / n).alias("lg_strength"), (s["h"] / n - s["a"] / n).alias("lg_home_adv"), (s["d"] / n).alias("lg_draw_rate"), ((s["h"] + s["a"]) / n).alias("lg_total_goals"))
+
+
+def head_to_head_last20(matches: DataFrame) -> DataFrame:
+    """Rates of a pair's last 20 meetings as seen by this match's home side; 0.45, 0.25, 0.30, 2.5 and 0.5 without any."""
+    made = head_to_head(matches, 20)
+    h, a = F.col("home_team_id"), F.col("away_team_id")
+    w = W.partitionBy("league", F.least(h, a), F.greatest(h, a)).orderBy("date", "match_id").rowsBetween(-20, -1)
+    both = F.avg(((F.col("home_goals") > 0) & (F.col("away_goals") > 0)).cast("int")).over(w)
+    lost = 1 - F.col("h2h_home") - F.col("h2h_draw")
+    parts = {"h2h20_home": (F.col("h2h_home"), 0.45), "h2h20_draw": (F.col("h2h_draw"), 0.25), "h2h20_away": (lost, 0.30), "h2h20_goals": (F.col("h2h_goals"), 2.5), "h2h20_btts": (both, 0.5)}
+    return made.select(*matches.columns, *[F.coalesce(c, F.lit(d)).alias(k) for k, (c, d) in parts.items()])

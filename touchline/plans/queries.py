@@ -155,9 +155,10 @@ def head_to_head(spark, d):
 _LG = ", ".join(f"{{0}}avg(CASE WHEN {c} THEN 1.0e0 ELSE 0.0e0 END) OVER w{{1}} {n}" for n, c in (("lg_home", "home_goals>away_goals"), ("lg_draw", "home_goals=away_goals"), ("lg_btts", "home_goals>0 AND away_goals>0"), ("lg_over25", "home_goals+away_goals>2")))
 
 
-@query("SELECT match_id, " + _LG.format("round(coalesce(", ",0),6)") + " FROM matches WINDOW w AS (PARTITION BY league ORDER BY date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query("SELECT match_id, " + _LG.format("round(coalesce(", ",0),12)") + " FROM matches WINDOW w AS (PARTITION BY league ORDER BY date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def league_baseline(spark, d):
-    return win.league_baseline(matches(spark, d)).select("match_id", *r6("lg_home", "lg_draw", "lg_btts", "lg_over25"))
+    names = ("lg_home", "lg_draw", "lg_btts", "lg_over25")  # twelve digits: the engines round exact ties at the seventh differently
+    return win.league_baseline(matches(spark, d)).select("match_id", *[F.round(c, 12).alias(c) for c in names])
 
 
 @query("SELECT match_id, " + _LG.format("CASE WHEN count(*) OVER w>=50 THEN round(", ",6) END") + " FROM matches WINDOW w AS (PARTITION BY league ORDER BY date, match_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)")
