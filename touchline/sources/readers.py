@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +11,12 @@ from touchline.functions import parse_day, season_code
 ENVELOPE = "fetched_at string, source string, endpoint string, params struct<league: string, season: string>, response string"
 NESTED = "name string, matches array<struct<date: string, time: string, team1: string, team2: string, score: struct<ft: array<int>, ht: array<int>>>>"
 #: Columns of the result files and their canonical names.
-COLUMNS = {"HomeTeam": "home_team", "AwayTeam": "away_team", "FTHG": "home_goals", "FTAG": "away_goals", "HTHG": "ht_home_goals", "HTAG": "ht_away_goals", "AvgH": "avg_home_odds", "AvgD": "avg_draw_odds", "AvgA": "avg_away_odds"}
+COLUMNS = {
+    "HomeTeam": "home_team", "AwayTeam": "away_team", "FTHG": "home_goals", "FTAG": "away_goals", "HTHG": "ht_home_goals", "HTAG": "ht_away_goals", "Referee": "referee",
+    "HS": "home_shots", "AS": "away_shots", "HST": "home_sot", "AST": "away_sot", "HC": "home_corners", "AC": "away_corners", "HF": "home_fouls", "AF": "away_fouls", "HY": "home_yellow", "AY": "away_yellow", "HR": "home_red", "AR": "away_red",
+    "AvgH": "avg_home_odds", "AvgD": "avg_draw_odds", "AvgA": "avg_away_odds", "B365H": "b365_home_odds", "B365D": "b365_draw_odds", "B365A": "b365_away_odds", "Avg>2.5": "avg_over25_odds", "Avg<2.5": "avg_under25_odds",
+    "AvgCH": "avg_close_home_odds", "AvgCD": "avg_close_draw_odds", "AvgCA": "avg_close_away_odds", "AvgC>2.5": "avg_close_over25_odds", "AvgC<2.5": "avg_close_under25_odds",
+}
 REQUIRED = ("Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG")
 
 
@@ -21,7 +26,7 @@ def canonical_csv(df: DataFrame) -> DataFrame:
     if lost := [c for c in REQUIRED if c not in names]:
         raise ValueError(f"missing columns: {lost}")
     cell = lambda raw, kind: (F.trim(F.col(f"`{names[raw]}`")).try_cast(kind) if raw in names else F.lit(None).cast(kind))
-    kinds = {"home_team": "string", "away_team": "string"}
+    kinds = {"home_team": "string", "away_team": "string", "referee": "string"}
     made = df.select(parse_day(F.col(f"`{names['Date']}`")).alias("date"), *[cell(r, kinds.get(c, "double" if "odds" in c else "int")).alias(c) for r, c in COLUMNS.items()], *([F.col("_file")] if "_file" in df.columns else []))
     return made.where("home_team is not null and away_team is not null and home_goals is not null and away_goals is not null")
 
@@ -40,14 +45,26 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def csv_cells(line: Column) -> Column:
+    """The cells of one line of CSV; a cell in double quotes may hold commas, and doubled quotes for one."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1)
+    plain = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), plain(c)).otherwise(c))
+
+
 def staged_rows(envelopes: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """CSV text in envelopes to rows keyed by (source_file, row_index), without those that exist."""
+    """CSV text in envelopes to rows (source_file, row_index, cells by header name), without those that exist.
+
+    Short lines are filled with nulls, cells beyond the header go, and of repeated header names the first counts. Files that
+    lack a required column are left out."""
     key = F.concat_ws("_", "params.league", "params.season").alias("source_file")
-    lines = envelopes.select(key, F.posexplode(F.split(F.regexp_replace("response", "﻿", ""), r"\r?\n")).alias("row_index", "line")).where("trim(line) <> ''")
-    head = lines.where("row_index = 0").select("source_file", F.split("line", ",").alias("names"))
-    cells = lines.where("row_index > 0").join(head, "source_file")
-    mapped = F.map_from_arrays(F.array_distinct(F.transform("names", lambda x: F.trim(x))), F.slice(F.split("line", ","), 1, F.size(F.array_distinct("names"))))
-    made = cells.select("source_file", "row_index", mapped.alias("cells")).dropDuplicates(["source_file", "row_index"])
+    lines = envelopes.select(key, F.posexplode(F.split(F.regexp_replace("response", "\ufeff", ""), r"\r?\n")).alias("row_index", "line")).where("trim(line) <> ''")
+    head = lines.where("row_index = 0").select("source_file", F.transform(csv_cells(F.col("line")), lambda x: F.trim(x)).alias("names"))
+    head = head.where(F.size(F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), "names")) == 0).dropDuplicates(["source_file"])
+    found = lines.where("row_index > 0").join(head, "source_file").withColumn("raw", csv_cells(F.col("line")))
+    items = F.transform("names", lambda x, i: F.struct(x.alias("key"), F.get("raw", i).alias("value"), (F.array_position("names", x) == i + 1).alias("first")))
+    mapped = F.map_from_entries(F.transform(F.filter(items, lambda e: e["first"]), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    made = found.select("source_file", "row_index", mapped.alias("cells")).dropDuplicates(["source_file", "row_index"])
     return made.join(existing, ["source_file", "row_index"], "left_anti") if existing is not None else made
 
 
