@@ -188,3 +188,28 @@ def best_threshold(df: DataFrame, label: str, score: str, lo: float = 0.25, step
     per = per.withColumn("f1", F.round(2 * F.col("tp") / F.nullif(F.col("picks") + F.max("total").over(W.partitionBy(F.lit(1))), F.lit(0)), 6))
     top = F.first("threshold").over(W.orderBy(F.desc_nulls_last("f1"), "threshold"))
     return per.select("threshold", "tp", "picks", "f1", (F.col("threshold") == top).alias("best"))
+
+
+def global_strengths(matches: DataFrame, top: int = 300, last: int = 20_000, least: int = 20) -> DataFrame:
+    """One fit for all leagues: the ``top`` teams by matches, all others as one team -1, on the newest ``last`` matches, which is the
+    documented bound of what the one fit sees. Strengths as of a league 0."""
+    sides = matches.select(F.explode(F.array("home_team_id", "away_team_id")).alias("team")).groupBy("team").agg(F.count("*").alias("n"))
+    known = sides.orderBy(F.desc("n"), "team").limit(top).select("team")
+    named = lambda df, c: df.join(F.broadcast(known.select(F.col("team").alias(f"_{c}"))), F.col(c) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_{c}", F.lit(-1))).drop(f"_{c}")
+    newest = matches.where("home_goals is not null and away_goals is not null").orderBy(F.desc("date"), F.desc("match_id")).limit(last)
+    shaped = named(named(newest, "home_team_id"), "away_team_id").withColumn("league", F.lit(0))
+    return shaped.select(*_numbers()).groupBy("league").applyInPandas(lambda pdf: _fitted(pdf, least), STRENGTHS)
+
+
+def closed_form_1x2(home: Column, away: Column, rho: Column, most: int = 10) -> dict[str, Column]:
+    """Result probabilities of the corrected scores, normalised; the correction moves mass between the four low scores only."""
+    from touchline.functions import poisson_pmf
+
+    step = lambda acc, p: F.struct((acc["below"] + p[1]).alias("below"), (acc["win"] + p[0] * acc["below"]).alias("win"), (acc["draw"] + p[0] * p[1]).alias("draw"), (acc["h"] + p[0]).alias("h"))
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("below", "win", "draw", "h")])
+    ph, pa = poisson_pmf(home, most), poisson_pmf(away, most)
+    w = F.aggregate(F.zip_with(ph, pa, lambda p, q: F.array(p, q)), zero, step)
+    base = F.exp(-home - away)
+    draw = w["draw"] - base * home * away * rho * 2  # both corrected draws lose the same: p(0,0) h a rho, and p(1,1) rho = p(0,0) h a rho
+    win, total = w["win"] + base * home * away * rho, w["h"] * w["below"]
+    return {"p_h": win / total, "p_d": draw / total, "p_a": 1 - (win + draw) / total}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,38 +16,87 @@ from touchline.functions import elo_expected, poisson_pmf
 RATINGS = "match_id long, league int, home_team_id long, away_team_id long, date timestamp_ntz, home_elo double, away_elo double, home_att double, home_def double, away_att double, away_def double"
 
 
-def elo_ratings(matches: DataFrame, k: float = 32.0, edge: float = 50.0, draw: float = 1 / 3, first: float = 1500.0) -> DataFrame:
-    """Ratings before each match: overall, attack and defence.
+STATE = "league int, team long, elo double, att double, def double"
 
-    A rating depends on all earlier matches of both teams, so a league is one fold in (date, match_id) order. Leagues
-    fold in parallel. Spark sorts them (and spills); the fold streams batches and keeps three numbers for each team of one
-    league. Conceding lowers the defence rating.
-    """
-    names = [f.split()[0] for f in RATINGS.split(", ")]
+
+@dataclass(frozen=True)
+class Elo:
+    """How ratings move: ``k`` a match, the home side's ``edge``, what a draw scores, where a team starts. ``winner_edge`` gives the edge to
+    the winner instead, and a negative ``edge`` turns it round, as published variants do; ``digits`` rounds new ratings."""
+
+    k: float = 32.0
+    edge: float = 50.0
+    draw: float = 1 / 3
+    first: float = 1500.0
+    winner_edge: bool = False
+    digits: int | None = None
+
+
+def _folded(matches: DataFrame, rule: Elo, seeds: DataFrame | None, states: bool) -> DataFrame:
+    """The fold of each league in (date, match_id) order, from ``seeds`` if given. Spark sorts leagues (and spills); the fold streams batches
+    and keeps three numbers for each team of one league. ``states`` gives the ratings at the end instead of those before each match."""
+    names = [f.split()[0] for f in (STATE if states else RATINGS).split(", ")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         league, rating, attack, defence = None, {}, {}, {}
+        expect = lambda gap: 1 / (1 + 10 ** (-gap / 400))
+        keep = (lambda x: round(x, rule.digits)) if rule.digits is not None else (lambda x: x)
+
+        def ended() -> pa.RecordBatch:
+            teams = sorted(rating)
+            columns = [[league] * len(teams), teams, *[[d.get(t, rule.first) for t in teams] for d in (rating, attack, defence)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), *[pa.float64()] * 3), strict=True)], names)
+
         for batch in batches:
-            out = np.empty((batch.num_rows, 6))
-            rows = zip(*[batch.column(c).to_pylist() for c in ("league", "home_team_id", "away_team_id", "home_goals", "away_goals")], strict=True)
-            for i, (own, h, a, hg, ag) in enumerate(rows):
+            out, shown = np.empty((batch.num_rows, 6)), np.zeros(batch.num_rows, bool)
+            columns = [batch.column(c).to_pylist() for c in ("league", "kind", "home_team_id", "away_team_id", "home_goals", "away_goals", "r0", "r1", "r2")]
+            for i, (own, kind, h, a, hg, ag, *seed) in enumerate(zip(*columns, strict=True)):
                 if own != league:
+                    if states and rating:
+                        yield ended()
                     league, rating, attack, defence = own, {}, {}, {}
-                rh, ra = rating.get(h, first), rating.get(a, first)
-                ah, dh, aa, da = attack.get(h, first), defence.get(h, first), attack.get(a, first), defence.get(a, first)
-                out[i] = rh, ra, ah, dh, aa, da
-                e = 1 / (1 + 10 ** (-(rh - ra + edge) / 400))
-                s = 1.0 if hg > ag else draw if hg == ag else 0.0
-                t = 0.0 if hg > ag else draw if hg == ag else 1.0
-                rating[h], rating[a] = rh + k * (s - e), ra + k * (t - (1 - e))
-                eh, ea = 1 / (1 + 10 ** (-(ah - da + edge) / 400)), 1 / (1 + 10 ** (-(aa - dh - edge) / 400))
+                if kind == 0:
+                    rating[h], attack[h], defence[h] = seed
+                    continue
+                rh, ra = rating.get(h, rule.first), rating.get(a, rule.first)
+                ah, dh, aa, da = attack.get(h, rule.first), defence.get(h, rule.first), attack.get(a, rule.first), defence.get(a, rule.first)
+                out[i], shown[i] = (rh, ra, ah, dh, aa, da), True
+                edge = -rule.edge if rule.winner_edge and ag > hg else rule.edge
+                e = expect(rh - ra + edge)
+                s, t = (1.0, 0.0) if hg > ag else (rule.draw, rule.draw) if hg == ag else (0.0, 1.0)
+                rating[h], rating[a] = keep(rh + rule.k * (s - e)), keep(ra + rule.k * (t - (1 - e)))
+                eh, ea = expect(ah - da + rule.edge), expect(aa - dh - rule.edge)
                 gh, ga = min(hg / 3, 1.0), min(ag / 3, 1.0)
-                attack[h], attack[a] = ah + k * (gh - eh), aa + k * (ga - ea)
-                defence[h], defence[a] = dh - k * (ga - ea), da - k * (gh - eh)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], *[pa.array(c) for c in out.T.copy()]], names)
+                attack[h], attack[a] = keep(ah + rule.k * (gh - eh)), keep(aa + rule.k * (ga - ea))
+                defence[h], defence[a] = keep(dh - rule.k * (ga - ea)), keep(da - rule.k * (gh - eh))
+            if not states:
+                made = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], *[pa.array(c) for c in out.T.copy()]], names)
+                yield made.filter(pa.array(shown))
+        if states and rating:
+            yield ended()
+
+    number = lambda *cs: [F.col(c).cast("double").alias(c) for c in cs]
+    ids = [F.col(c).cast("long").alias(c) for c in ("match_id", "home_team_id", "away_team_id")]
+    none = lambda *cs: [F.lit(None).cast("double").alias(c) for c in cs]
+    known = matches.where("home_goals is not null and away_goals is not null")
+    rows = known.select(F.col("league").cast("int").alias("league"), F.lit(1).alias("kind"), F.col("date").cast("timestamp_ntz").alias("date"), *ids, *number("home_goals", "away_goals"), *none("r0", "r1", "r2"))
+    if seeds is not None:
+        start = seeds.select("league", F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("date"), F.lit(None).cast("long").alias("match_id"), F.col("team").alias("home_team_id"), F.lit(None).cast("long").alias("away_team_id"), *none("home_goals", "away_goals"), F.col("elo").alias("r0"), F.col("att").alias("r1"), F.col("def").alias("r2"))
+        rows = rows.union(start)
+    return rows.repartition("league").sortWithinPartitions("league", "kind", "date", "match_id").mapInArrow(fold, STATE if states else RATINGS)
+
+
+def elo_ratings(matches: DataFrame, rule: Elo = Elo(), seeds: DataFrame | None = None) -> DataFrame:
+    """Ratings before each match: overall, attack and defence, from ``seeds`` (the ``elo_state`` of earlier matches) if given.
+
+    A rating depends on all earlier matches of both teams, so a league is one fold in (date, match_id) order. Leagues
+    fold in parallel. Conceding lowers the defence rating. Matches without a score are left out."""
+    return _folded(matches, rule, seeds, False)
 
-    own = matches.select("match_id", F.col("league").cast("int").alias("league"), F.col("home_team_id").cast("long").alias("home_team_id"), F.col("away_team_id").cast("long").alias("away_team_id"), F.col("date").cast("timestamp_ntz").alias("date"), "home_goals", "away_goals")
-    return own.withColumn("match_id", F.col("match_id").cast("long")).repartition("league").sortWithinPartitions("league", "date", "match_id").mapInArrow(fold, RATINGS)
+
+def elo_state(matches: DataFrame, rule: Elo = Elo(), seeds: DataFrame | None = None) -> DataFrame:
+    """league, team and its ratings after all ``matches``: a snapshot from which later ones go on, so a season's chain need not be run again."""
+    return _folded(matches, rule, seeds, True)
 
 
 def opponent_strength(ratings: DataFrame, n: int = 10) -> DataFrame:
@@ -66,6 +116,11 @@ def elo_1x2(df: DataFrame, draw_rate: float | Column = 0.26, edge: float = 50.0)
     return df.withColumns({"p_d": d, "p_h": (1 - d) * share, "p_a": (1 - d) * (1 - share)})
 
 
+def fitted_draw_rate(matches: DataFrame) -> float:
+    """The share of draws, which ``elo_1x2`` keeps between 0.18 and 0.34; one number comes to the driver."""
+    return matches.agg(F.avg((F.col("home_goals") == F.col("away_goals")).cast("double"))).first()[0] or 0.26
+
+
 def score_grid(home: Column, away: Column, most: int, rho: float | None = None) -> Column:
     """Score probabilities, not normalised, as an array of (h, a, p), with the low-score correction if ``rho`` is given."""
     tau = lambda h, a: F.when((h == 0) & (a == 0), 1 - home * away * rho).when((h == 0) & (a == 1), 1 + home * rho).when((h == 1) & (a == 0), 1 + away * rho).when((h == 1) & (a == 1), F.lit(1 - rho)).otherwise(1.0)

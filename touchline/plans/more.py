@@ -512,3 +512,40 @@ def confusion_published(spark, d):
 def calibration_published(spark, d):
     p = _preds(spark, d).select((F.col("result") == "H").cast("int").alias("y"), (F.floor(F.col("p_h") * 10) / 10).alias("p"))
     return ev.calibration_error(p, "y", "p", compat=True)
+
+
+@query()
+def elo_variants(spark, d):
+    """Draws at a half, slower moves, the edge turned round with whole numbers, and the edge with the winner."""
+    m = matches(spark, d)
+    rules = {"half_draw": models.Elo(draw=0.5), "slow": models.Elo(k=20.0, draw=0.5), "reversed": models.Elo(edge=-50.0, draw=0.5, digits=0), "winner": models.Elo(winner_edge=True, draw=0.5)}
+    made = [models.elo_ratings(m, r).select(F.lit(k).alias("rule"), "match_id", *r9("home_elo", "away_elo")) for k, r in rules.items()]
+    return made[0].union(made[1]).union(made[2]).union(made[3])
+
+
+@query()
+def elo_incremental(spark, d):
+    """Ratings of matches from 1998 on, from the snapshot after 1997: the same as those of the whole chain."""
+    m = matches(spark, d)
+    made = models.elo_ratings(m.where("season >= 1998"), seeds=models.elo_state(m.where("season < 1998")))
+    return made.select("match_id", *r9("home_elo", "away_elo", "home_att", "away_def"))
+
+
+@query()
+def elo_1x2_fitted(spark, d):
+    m = matches(spark, d)
+    return models.elo_1x2(models.elo_ratings(m), models.fitted_draw_rate(m)).select("match_id", *r9("p_h", "p_d", "p_a"))
+
+
+@query()
+def global_dixon_coles(spark, d):
+    from touchline.operators import fitted
+
+    return fitted.global_strengths(matches(spark, d), top=60).select("team", *r9("attack", "defence", "base", "home", "rho"), "n")
+
+
+@query()
+def correction_plans(spark, d):
+    """Actions for groups that err more than their share; planted, as the tables hold few such groups."""
+    recs = _recs(spark, d).withColumn("correct", F.when(F.col("league") == 1, F.lit(0)).otherwise(F.col("correct")))
+    return dec.correction_plan(fb.patterns(recs))
