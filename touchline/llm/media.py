@@ -25,6 +25,8 @@ UNIT, RATE, DOWN, TAPS = 192, 16_000, 2, 16
 WINDOW, HOP, MELS, FRAMES = 256, 128, 32, 16
 #: Hysteresis on a frame's root mean square over that of the whole clip; a clip below SILENT (full scale is 1) has no segment.
 LOUD, QUIET, SILENT = 1.05, 0.95, 1e-4
+#: Log-mel energies are kept to steps of 1 / FINE, about a hundredth of a decibel, which halves what a stored tensor takes.
+FINE = 256
 TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
 #: Bytes of tensors after which a shard is closed.
 SHARD_BYTES = 4 << 20
@@ -98,7 +100,8 @@ def blocks(samples: bytes, rate: int) -> Iterator[tuple[np.ndarray, np.ndarray,
             y += np.convolve(x[k::DOWN][: need + TAPS - 1], phases[k, ::-1], "valid")
         cut = np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::HOP]
         power = np.abs(np.fft.rfft(cut * window, axis=1)) ** 2
-        yield np.log(power.astype(np.float32) @ bank + 1e-6), np.sqrt((cut * cut).mean(axis=1)), min(FRAMES, frames - first)
+        mel = np.log(power.astype(np.float32) @ bank + 1e-6)
+        yield np.rint(mel * FINE) / np.float32(FINE), np.sqrt((cut * cut).mean(axis=1)), min(FRAMES, frames - first)
 
 
 def active(loud: np.ndarray) -> list[tuple[int, int]]:
