@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import slices, texts_of, tokenizer_path, written
+from touchline.llm.common import STEP_BYTES, slices, texts_of, tokenizer_path, written
 from touchline.llm.segments import byte_bpe
 
 MODEL, CAPACITY, GROUP = "byte_bpe_50k.json", 2048, 60_000
@@ -28,7 +28,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = byte_bpe(tokenizer_path(model))
-        for batch, data, offsets in slices(batches):
+        for batch, data, offsets in slices(batches, limit=STEP_BYTES):
             made, at = tokenizer.encode(data, offsets)
             if end_id is not None:
                 made, at = np.insert(made, at[1:], end_id), at + np.arange(len(at))
@@ -131,4 +131,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None
     Null and empty texts give one piece with the end id alone. Repeated rows are packed each by
     itself, other columns are ignored, and an empty table gives an empty result.
     """
-    return pack_pieces(written(cut_pieces(docs, capacity, end_id, model, with_ids), "pieces"), capacity, group)
+    if not with_ids:
+        return pack_pieces(written(cut_pieces(docs, capacity, end_id, model), "pieces"), capacity, group)
+    # packing holds a group's pieces at once, so their ids stay behind and join them afterwards
+    made = written(cut_pieces(docs, capacity, end_id, model, True).withColumn("piece_row", F.monotonically_increasing_id()), "pieces")
+    packed = pack_pieces(made.drop("ids"), capacity, group).join(made.select("piece_row", "ids"), "piece_row")
+    return packed.select(*[f.split()[0] for f in PIECES.split(", ")], "ids", "sequence_id", "offset")

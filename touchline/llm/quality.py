@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import STEP_BYTES, mix, run_hashes, runs, slices, texts_of
 
 #: Word buckets (by hash), vector length, neighbours to each side, and the most labelled rows that the network sees.
-BUCKETS, DIM, REACH, SAMPLE = 1 << 16, 32, 2, 20_000
+BUCKETS, DIM, REACH, SAMPLE = 1 << 15, 32, 2, 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 THRESHOLD = 0.7
 
@@ -80,8 +80,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             total[ordered[first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
             seen += np.bincount(word, minlength=BUCKETS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.FixedSizeListArray.from_arrays(pa.array(total[at].ravel()), DIM).cast(pa.list_(pa.int64()))], ["bucket", "sums"])
+        some = np.flatnonzero(seen)
+        for k in range(0, len(some), 2048):
+            at = some[k : k + 2048]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.FixedSizeListArray.from_arrays(pa.array(total[at].ravel()), DIM).cast(pa.list_(pa.int64()))], ["bucket", "sums"])
 
     made = texts_of(docs).mapInArrow(work, "bucket long, sums array<long>")
     summed = made.groupBy("bucket").agg(*[F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(DIM)])

@@ -16,7 +16,7 @@ import numpy as np
 from touchline.llm.common import encoded
 
 #: Entries that a task's table of known segments holds before it starts anew.
-KNOWN = 700_000
+KNOWN = 400_000
 
 
 def byte_bpe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
