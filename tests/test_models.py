@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.functions import poisson_pmf
+from touchline.functions import bound, poisson_pmf
 from touchline.operators import decisions, features, feedback, fitted, matching, models
 from touchline.operators import windows as win
 from touchline.plans.matches import matches, predictions
@@ -169,3 +169,10 @@ def test_shrink_moves_confident_doubtful_predictions(spark):
     errors = spark.createDataFrame([(1, 0.8), (2, 0.6), (3, 0.1), (4, 0.2)], "team long, error_rate double")
     got = {r.home_team_id: r for r in decisions.shrunk(p, errors).collect()}
     assert (got[1].p_h, got[1].p_d, got[1].p_a) == pytest.approx((0.84, 0.09, 0.07)) and got[3].p_h == pytest.approx(0.9) and got[1].confidence_factor == pytest.approx(0.3)
+
+
+def test_bound_values_inside_nested_lambdas(spark):
+    pairs = lambda s: F.transform(s["a"], lambda x: F.transform(s["b"], lambda y: x * y))
+    made = spark.sql("select array(1, 2) x, array(3, 4) y union all select array(5), cast(null as array<int>)")
+    got = [r[0] for r in made.select(bound(pairs, a=F.col("x"), b=F.col("y"))).collect()]
+    assert len(got) == 2 and [[3, 4], [6, 8]] in got and [None] in got

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,3 +105,9 @@ def poisson_pmf(rate: Column, most: int) -> Column:
     """P(0) to P(most) as an array, by the recurrence P(k) = P(k-1) * rate / k."""
     step = lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) * rate / k))
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.exp(-rate)), step)
+
+
+def bound(use: Callable[[Column], Column], **values: Column) -> Column:
+    """``use`` of a struct of ``values``, each worked out once a row, also where nested lambdas of ``use`` ask for it again and again."""
+    held = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(held, use), F.lit(0))

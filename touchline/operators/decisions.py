@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.functions import poisson_pmf
+from touchline.functions import bound, poisson_pmf
 from touchline.operators.evaluation import EPS, picked
 
 
@@ -22,7 +22,8 @@ def negative_binomial_pmf(mean: Column, spread: float, most: int) -> Column:
 def convolved(a: Column, b: Column, most: int) -> Column:
     """Distribution of the sum of two counts, from 0 to ``most``."""
     at = lambda c, i: F.coalesce(F.get(c, i), F.lit(0.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda n: F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda s, i: s + at(a, i) * at(b, n - i)))
+    sums = lambda v: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda n: F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda s, i: s + at(v["a"], i) * at(v["b"], n - i)))
+    return bound(sums, a=a, b=b)
 
 
 def count_overs(df: DataFrame, home: str, away: str, lines: tuple[int, ...], most: int = 20, spread: float | None = None) -> DataFrame:

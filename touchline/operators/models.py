@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.functions import elo_expected, poisson_pmf
+from touchline.functions import bound, elo_expected, poisson_pmf
 
 RATINGS = "match_id long, league int, home_team_id long, away_team_id long, date timestamp_ntz, home_elo double, away_elo double, home_att double, home_def double, away_att double, away_def double"
 
@@ -124,10 +124,10 @@ def fitted_draw_rate(matches: DataFrame) -> float:
 def score_grid(home: Column, away: Column, most: int, rho: float | None = None) -> Column:
     """Score probabilities, not normalised, as an array of (h, a, p), with the low-score correction if ``rho`` is given."""
     tau = lambda h, a: F.when((h == 0) & (a == 0), 1 - home * away * rho).when((h == 0) & (a == 1), 1 + home * rho).when((h == 1) & (a == 0), 1 + away * rho).when((h == 1) & (a == 1), F.lit(1 - rho)).otherwise(1.0)
-    ph, pa = poisson_pmf(home, most), poisson_pmf(away, most)
     ks = F.sequence(F.lit(0), F.lit(most))
-    cell = lambda h, a: F.struct(h.alias("h"), a.alias("a"), (F.get(ph, h) * F.get(pa, a) * (tau(h, a) if rho is not None else F.lit(1.0))).alias("p"))
-    return F.flatten(F.transform(ks, lambda h: F.transform(ks, lambda a: cell(h, a))))
+    cell = lambda s, h, a: F.struct(h.alias("h"), a.alias("a"), (F.get(s["ph"], h) * F.get(s["pa"], a) * (tau(h, a) if rho is not None else F.lit(1.0))).alias("p"))
+    grid = lambda s: F.flatten(F.transform(ks, lambda h: F.transform(ks, lambda a: cell(s, h, a))))
+    return bound(grid, ph=poisson_pmf(home, most), pa=poisson_pmf(away, most))
 
 
 def markets(df: DataFrame, key: str, home: str, away: str, most: int = 10, rho: float | None = None) -> DataFrame:
@@ -155,7 +155,7 @@ def markets(df: DataFrame, key: str, home: str, away: str, most: int = 10, rho:
 def top_scores(df: DataFrame, key: str, home: str, away: str, most: int = 10, rho: float | None = None, n: int = 3) -> DataFrame:
     """key and the ``n`` likeliest scores as text; ties go to fewer home goals, then fewer away goals."""
     grid = df.select(key, score_grid(F.col(home), F.col(away), most, rho).alias("_g"))
-    ranked = F.slice(F.array_sort(F.transform("_g", lambda c: F.struct((-F.round(c["p"], 12)).alias("p"), c["h"].alias("h"), c["a"].alias("a")))), 1, n)
+    ranked = F.slice(F.sort_array(F.transform("_g", lambda c: F.struct((-F.round(c["p"], 12)).alias("p"), c["h"].alias("h"), c["a"].alias("a")))), 1, n)
     return grid.select(key, F.array_join(F.transform(ranked, lambda c: F.concat(c["h"].cast("string"), F.lit("-"), c["a"].cast("string"))), ",").alias("top"))
 
 
