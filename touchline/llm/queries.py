@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontam, langid, media, near_dups, packing, quality, substring, token_ids, tokens
+from touchline.llm import chat, crossalign, decontam, langid, media, near_dups, packing, pagetext, quality, substring, token_ids, tokens, turnrepair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(_table(spark, sf_dir, "pages"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossalign.alignment(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_chat_format, op2_media_columns, op3_token_counts, op4_near_dups, op5_token_ids, op6_packing, op7_language_id, op8_decontamination, op9_substring_dedup, op10_quality, pipeline]
+    own = [op1_chat_format, op2_media_columns, op3_token_counts, op4_near_dups, op5_token_ids, op6_packing, op7_language_id, op8_decontamination, op9_substring_dedup, op10_quality, op11_html_extraction, op12_turn_repair, op13_token_alignment, pipeline]
     return {f.__name__: f for f in own}
 
 
