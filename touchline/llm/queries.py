@@ -107,4 +107,30 @@ n AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i
 items AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) item FROM hit) GROUP BY 1)
 SELECT d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op12_turn_repair": r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) t FROM range(256) r(i)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') AS text,
+  list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) k FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce([4294967295] || k, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 k FROM keyed, crc),
+damage AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END r, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END x FROM kinds, range(CASE WHEN k = 3 THEN 2 ELSE 1 END) WHERE k <> 0),
+placed AS (SELECT *, left(r, 1) i, row_number() OVER w p, lag(left(r, 1)) OVER w b FROM damage WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x)),
+flags AS (SELECT *, NOT regexp_matches(x, '[^\x20\x09-\x0D]') blank, again > 1 AND regexp_matches(x, '[^\x20\x09-\x0D]') dup,
+  again = 1 AND regexp_matches(x, '[^\x20\x09-\x0D]') AND NOT regexp_matches(x, '[.!?][\x20\x09-\x0D]*\z') cut, coalesce(b || i NOT IN ('su', 'ua', 'au'), false) unlike FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, r, x ORDER BY p) again FROM placed) q),
+fold(conv_id, p, z, s, u, a) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {c: CAST(0 AS BIGINT), a: '', o: ''}, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) FROM conversations
+  UNION ALL
+  SELECT conv_id, p, gone[1], list_min(list_filter([gone[2], CASE WHEN stays AND i = 's' AND z.c IS NOT NULL THEN {c: z.c + pen, a: z.a || 'K', o: z.o || CASE WHEN z.o = '' THEN '' ELSE chr(10) END || r || ':' || x} END], lambda y: y.c IS NOT NULL)),
+    list_min(list_filter([gone[3]] || CASE WHEN stays THEN list_transform([z, s, a2], lambda y: CASE WHEN y.c IS NOT NULL THEN {c: y.c + pen + CASE WHEN i = 'u' THEN 0 ELSE 3 END, a: y.a || CASE WHEN i = 'u' THEN 'K' ELSE 'R' END, o: y.o || CASE WHEN y.o = '' THEN '' ELSE chr(10) END || CASE WHEN i = 'u' THEN r ELSE 'user' END || ':' || x} END) ELSE [] END, lambda y: y.c IS NOT NULL)),
+    list_min(list_filter([gone[4]] || CASE WHEN stays AND u2.c IS NOT NULL THEN [{c: u2.c + pen + CASE WHEN i = 'a' THEN 0 ELSE 3 END, a: u2.a || CASE WHEN i = 'a' THEN 'K' ELSE 'R' END, o: u2.o || CASE WHEN u2.o = '' THEN '' ELSE chr(10) END || CASE WHEN i = 'a' THEN r ELSE 'assistant' END || ':' || x}] ELSE [] END, lambda y: y.c IS NOT NULL))
+  FROM (SELECT *, list_transform([z, s, u2, a2], lambda y: CASE WHEN y.c IS NOT NULL THEN {c: y.c + 4, a: y.a || 'D', o: y.o} END) gone, NOT blank AND NOT dup stays, CASE WHEN cut THEN 3 ELSE 0 END pen
+    FROM (SELECT *, list_min(list_filter([a, CASE WHEN u2.c IS NOT NULL THEN {c: u2.c + 3, a: u2.a || 'I', o: u2.o || chr(10) || 'assistant:'} END], lambda y: y.c IS NOT NULL)) a2
+      FROM (SELECT f.conv_id, g.p, z, s, a, i, r, x, blank, dup, cut,
+          list_min(list_filter([u] || list_transform([z, s, a], lambda y: CASE WHEN y.c IS NOT NULL THEN {c: y.c + 3, a: y.a || 'I', o: y.o || CASE WHEN y.o = '' THEN '' ELSE chr(10) END || 'user:'} END), lambda y: y.c IS NOT NULL)) u2
+        FROM fold f JOIN flags g ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND g.p = f.p + 1) q) q) q),
+done AS (SELECT conv_id, list_min(list_filter([z, a, CASE WHEN u2.c IS NOT NULL THEN {c: u2.c + 3, a: u2.a || 'I', o: u2.o || chr(10) || 'assistant:'} END], lambda y: y.c IS NOT NULL)) e
+  FROM (SELECT *, list_min(list_filter([u] || list_transform([z, s, a], lambda y: CASE WHEN y.c IS NOT NULL THEN {c: y.c + 3, a: y.a || 'I', o: y.o || CASE WHEN y.o = '' THEN '' ELSE chr(10) END || 'user:'} END), lambda y: y.c IS NOT NULL)) u2 FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1) q) q),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count_if(blank) blank, count_if(dup) duplicate, count_if(cut) truncated, count_if(unlike) illegal FROM flags GROUP BY conv_id)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) gaps, CAST(coalesce(blank, 0) AS BIGINT) blank, CAST(coalesce(duplicate, 0) AS BIGINT) duplicate, CAST(coalesce(truncated, 0) AS BIGINT) truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) illegal, e.c AS cost, e.a AS audit, sha256(e.o) repaired_sha256
+FROM done d LEFT JOIN sums s ON d.conv_id IS NOT DISTINCT FROM s.conv_id""",
 }
