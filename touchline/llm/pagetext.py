@@ -172,9 +172,20 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, ...]]]:
     return made, paths
 
 
-@lru_cache(maxsize=1 << 16)
-def _bucket(word: str, buckets: int) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass")) % buckets
+class Buckets(dict):
+    """Buckets of names by hash, remembered up to a bound; every number is the same word."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[name] = k = crc32(b"0" if name[0].isdigit() else name.encode("utf-8", "surrogatepass")) % self.n
+        return k
+
+
+PATH_BUCKETS, WORD_BUCKETS = Buckets(PATHS), Buckets(WORDS)
 
 
 @dataclass
@@ -204,17 +215,16 @@ def numbered(pages: list[tuple[list[Block], list[tuple[int, tuple[str, ...]]]]])
                     if depth < 24 or paths[up][0] <= 0:
                         names += paths[up][1]
                     up, depth = paths[up][0], depth + 1
-                bags[b.path] = [_bucket(x, PATHS) for x in dict.fromkeys(names)] or [0]
+                bags[b.path] = [PATH_BUCKETS[x] for x in dict.fromkeys(names)] or [0]
             bag = bags[b.path]
             path += bag
             path_of += [k] * len(bag)
-            said = _WORD.findall(b.text)
-            own = [_bucket(x.lower() if x.isalpha() else "0" if x[0].isdigit() else x, WORDS) for x in said] or [0]
+            own = [WORD_BUCKETS[x] for x in _WORD.findall(b.text.lower())] or [0]
             word += own
             word_of += [k] * len(own)
             size = len(b.text)
             stops = sum(map(b.text.count, ".,;!?"))
-            rows.append((np.log1p(size) / 6, np.log1p(len(said)) / 5, min(b.linked / size, 1), stops / len(own), at / n, np.log1p(n) / 5, size > 120, b.text[-1] in ".!?"))
+            rows.append((np.log1p(size) / 6, np.log1p(len(own)) / 5, min(b.linked / size, 1), stops / len(own), at / n, np.log1p(n) / 5, size > 120, b.text[-1] in ".!?"))
             k += 1
         first.append(k)
     kinds = [np.array(x, np.int64) for x in (path, path_of, word, word_of)]
@@ -402,7 +412,7 @@ def label_blocks(pages: DataFrame, model: Labeller | None = None, threshold: flo
                 read = [blocks(x or "") for x in texts.slice(at, to - at).to_pylist()]
                 scores = 1 / (1 + np.exp(-sent.value.logits(numbered(read)).astype(np.float64)))
                 flat = [b for own, _ in read for b in own]
-                names = ["/".join(_path(paths, b.path)) for own, paths in read for b in own]
+                names = [x for own, paths in read for x in _paths(own, paths)]
                 ends_of = np.concatenate([[0], np.cumsum([len(own) for own, _ in read])]).astype(np.int32)
                 values = pa.StructArray.from_arrays([pa.array([b.text for b in flat], pa.string()), pa.array(names, pa.string()), pa.array(scores), pa.array(scores >= threshold)], fields=list(kind.value_type))
                 made = pa.ListArray.from_arrays(ends_of, values)
@@ -415,13 +425,17 @@ def label_blocks(pages: DataFrame, model: Labeller | None = None, threshold: flo
     return own.mapInArrow(work, f"{kinds}, `{column}` {SCHEMA}")
 
 
-def _path(paths: list[tuple[int, tuple[str, ...]]], at: int) -> list[str]:
-    """The elements around a block from the outermost; of very deep ones the 8 nearest."""
-    out: list[str] = []
-    while at > 0 and len(out) < 8:
-        out.append("".join(paths[at][1]))
-        at = paths[at][0]
-    return out[::-1]
+def _paths(own: list[Block], paths: list[tuple[int, tuple[str, ...]]]) -> list[str]:
+    """Each block's elements from the outermost; of very deep ones the 8 nearest."""
+    known: dict[int, str] = {}
+    for b in own:
+        if b.path not in known:
+            out, at = [], b.path
+            while at > 0 and len(out) < 8:
+                out.append("".join(paths[at][1]))
+                at = paths[at][0]
+            known[b.path] = "/".join(out[::-1])
+    return [known[b.path] for b in own]
 
 
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
