@@ -81,7 +81,7 @@ def composed(machine: Transducer, symbol: np.ndarray, apart: np.ndarray, m: Maps
     own = np.flatnonzero(pair)
     hi[own] = m.hi[b]
     joined, heads = own[closed], b[closed]
-    out, made = machine.run(symbol, apart, state[joined], m.lo[heads], m.sync[heads])
+    out, made = machine.run(symbol, apart, state[joined], m.lo[heads], m.sync[heads], (state, m.state))
     parts = m.sync[heads] < m.hi[heads]
     state[joined] = np.where(parts, m.state[heads], out)
     emitted[joined] += made + m.emitted[heads]

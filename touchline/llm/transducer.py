@@ -175,23 +175,37 @@ class Transducer:
             wrong = wrong[held[wrong] != key[wrong]]
         return slot
 
-    def run(self, symbol: np.ndarray, apart: np.ndarray, state: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exit state and tokens added by reading symbol[lo:hi] from ``state``, for many ranges side by side."""
+    def run(self, symbol: np.ndarray, apart: np.ndarray, state: np.ndarray, lo: np.ndarray, hi: np.ndarray, keep: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and tokens added by reading symbol[lo:hi] from ``state``, for many ranges side by side. When the table is half
+        full it starts anew between two symbols; the states that are still needed, those of ``keep`` too, get their new numbers in place."""
         order = np.argsort(lo - hi, kind="stable")
         size = (hi - lo)[order]
         at, now, total = lo[order], state[order].astype(np.int64), np.zeros(len(order), np.int64)
-        live = len(order) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")
-        for n in live.tolist():
-            a, s = at[:n], now[:n]
-            s[apart[a]] = 0
-            slot = self.find(s * self.symbols + symbol[a])
-            now[:n] = self.to[slot]
-            total[:n] += self.emits[slot]
-            at[:n] += 1
+        wide = max(1, self.slots // 4)  # a step adds no more transitions than this
+        for k in range(0, len(order), wide):
+            own = size[k : k + wide]
+            live = len(own) - np.searchsorted(own[::-1], np.arange(int(own[0])), side="right")
+            for n in live.tolist():
+                if self.held * 2 > self.slots:
+                    self._renew(now, *keep)
+                a, s = at[k : k + n], now[k : k + n]
+                s[apart[a]] = 0
+                slot = self.find(s * self.symbols + symbol[a])
+                now[k : k + n] = self.to[slot]
+                total[k : k + n] += self.emits[slot]
+                at[k : k + n] += 1
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         return now[back], total[back]
 
+    def _renew(self, *live: np.ndarray) -> None:
+        """Starts the table anew; ``live`` arrays of states keep their meaning."""
+        old = self.known
+        self._clear()
+        for states in live:
+            used, back = np.unique(states, return_inverse=True)
+            states[:] = np.array([self._state(old[k]) for k in used.tolist()], np.int64)[back]
+
     def trim(self) -> None:
         """Starts the table anew when it is half full; only between runs, as states get new numbers."""
         if self.held * 2 > self.slots:
