@@ -182,4 +182,9 @@ def encoded(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[bytes]
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
-LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter; other numerals, which the pattern also finds, are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))

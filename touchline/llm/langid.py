@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.llm.common import LETTER, lowered, slices, texts_of
+from touchline.llm.common import has_letter, lowered, slices, texts_of
 
 #: Rows of each language in the training sample and of all together (but one of each language), landmarks likewise, and the ridge.
 PER_LANG, SAMPLE, LANDMARKS, ALL_LANDMARKS, RIDGE = 600, 4000, 24, 400, 0.05
@@ -88,14 +88,15 @@ def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
     """Fits on ``per_lang`` rows of each language, or as many fewer as keep all languages within ``sample``, one at least: those
-    of the smallest hash of doc_id. Every language is learned. Rows that repeat count once. Presence bits come to the driver."""
-    labelled = docs.where("lang is not null and text is not null")
+    of the smallest hash of doc_id. Every language is learned. A doc_id counts once in a language, with the text of the smallest hash if
+    it has several; rows without one teach nothing. Presence bits come to the driver."""
+    labelled = docs.where("lang is not null and text is not null and doc_id is not null")
     langs = labelled.agg(F.countDistinct("lang")).first()[0]
     if not langs:
         return None
     place = F.xxhash64(F.col("doc_id").cast("string"))
-    slim = labelled.select(F.col("doc_id").cast("long").alias("id"), "lang", place.alias("place")).withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("place", "id")))
-    chosen = slim.where(F.col("rn") <= min(per_lang, max(1, sample // langs))).select("id", F.col("lang").alias("own"), "place").distinct()
+    slim = labelled.select(F.col("doc_id").cast("long").alias("id"), "lang", place.alias("place")).distinct().withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("place", "id")))
+    chosen = slim.where(F.col("rn") <= min(per_lang, max(1, sample // langs))).select("id", F.col("lang").alias("own"), "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in parts(batches):
@@ -103,8 +104,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["place", "lang", "bits"])
 
     # ``chosen`` holds max(sample, languages) rows of two numbers and a name at most
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("own"))
-    picked = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), same).dropDuplicates(["id", "lang"])
+    same = (F.col("doc_id").cast("long") == F.col("id")) & (F.col("lang") == F.col("own"))
+    picked = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), same)
+    picked = picked.groupBy(F.col("id").alias("doc_id"), "lang", "place").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     made = texts_of(picked, "lang", "place").mapInArrow(work, "place long, lang string, bits binary")
     rows = sorted(made.collect(), key=lambda r: (r.place, r.lang, bytes(r.bits)))
     return fit(np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1), [r.lang for r in rows])
@@ -131,7 +133,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best = made.argmax(axis=1)
                 sure = np.clip((made[np.arange(len(best)), best].astype(float) + 1) / 2, 0, 1)
                 for k, text in enumerate(batch.column("text").to_pylist()):
-                    if LETTER.search(text):
+                    if has_letter(text):
                         names[k], score[k] = model.langs[best[k]], sure[k]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
