@@ -170,7 +170,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Word vectors from all documents; the network from about ``sample`` labelled rows at most, chosen by a hash of doc_id.
-    A document labelled more than once counts with its mean label. Null labels are left out."""
+    A document labelled more than once counts with its mean label, one with several rows with the text of the smallest hash. Null labels are left out."""
     vectors = word_vectors(docs)
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     share = sample / max(known.count(), 1)
@@ -182,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             made = pooled(data, offsets, sent.value)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), made.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
-    # ``chosen`` holds no more than about ``sample`` rows of two numbers
-    pairs = texts_of(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
+    # ``chosen`` holds no more than about ``sample`` rows of two numbers; of an id's rows one is learned from
+    pairs = texts_of(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = sorted(pairs.mapInArrow(work, "doc_id long, y double, x array<float>").collect(), key=lambda r: (r.doc_id, r.x))
     y = np.array([r.y for r in rows])
     prior = float(y.mean()) if len(y) else 0.5
