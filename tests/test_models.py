@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import bound, poisson_pmf
-from touchline.operators import decisions, features, feedback, fitted, matching, models
+from touchline.operators import estimation, decisions, features, feedback, fitted, matching, models
 from touchline.operators import windows as win
 from touchline.plans.matches import matches, predictions
 
@@ -105,7 +105,7 @@ def test_binomial_tail(spark, k, n, p):
 
 
 def test_fits(spark, played):
-    made = fitted.global_strengths(played, top=30).collect()
+    made = estimation.global_strengths(played, top=30).collect()
     assert len(made) == 31 and {r.team for r in made} >= {-1} and len({(r.base, r.home, r.rho) for r in made}) == 1
     one = spark.range(1).select(*[c.alias(k) for k, c in fitted.closed_form_1x2(F.lit(1.4), F.lit(1.1), F.lit(-0.1)).items()]).first()
     grid = np.outer([math.exp(-1.4) * 1.4**i / math.factorial(i) for i in range(11)], [math.exp(-1.1) * 1.1**i / math.factorial(i) for i in range(11)])

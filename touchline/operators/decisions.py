@@ -12,11 +12,11 @@ from touchline.functions import bound, poisson_pmf
 from touchline.operators.evaluation import EPS, picked
 
 
-def negative_binomial_pmf(mean: Column, spread: float, most: int) -> Column:
+def negative_binomial_pmf(mean: Column, spread: float | Column, most: int) -> Column:
     """P(0) to P(most) with variance mean + mean^2 / spread, by recurrence."""
     q = mean / (mean + spread)
     step = lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) * (k - 1 + spread) / k * q))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.pow(1 - q, F.lit(float(spread)))), step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.pow(1 - q, spread if isinstance(spread, Column) else F.lit(float(spread)))), step)
 
 
 def convolved(a: Column, b: Column, most: int) -> Column:

@@ -40,8 +40,8 @@ def poisson_strengths(home: np.ndarray, away: np.ndarray, hg: np.ndarray, ag: np
     return beta
 
 
-def low_score_rho(rate_h: np.ndarray, rate_a: np.ndarray, hg: np.ndarray, ag: np.ndarray) -> float:
-    """The low-score correction of largest likelihood on a grid of -0.2 to 0.2; 0 where nothing is better."""
+def low_score_rho(rate_h: np.ndarray, rate_a: np.ndarray, hg: np.ndarray, ag: np.ndarray, times: np.ndarray | float = 1.0) -> float:
+    """The low-score correction of largest likelihood on a grid of -0.2 to 0.2; 0 where nothing is better. ``times``: matches a row stands for."""
 
     def gain(rho: float) -> float:
         t = np.ones(len(hg))
@@ -49,7 +49,7 @@ def low_score_rho(rate_h: np.ndarray, rate_a: np.ndarray, hg: np.ndarray, ag: np
         t = np.where((hg == 0) & (ag == 1), 1 + rate_h * rho, t)
         t = np.where((hg == 1) & (ag == 0), 1 + rate_a * rho, t)
         t = np.where((hg == 1) & (ag == 1), 1 - rho, t)
-        return float(np.log(np.maximum(t, 1e-9)).sum())
+        return float((np.log(np.maximum(t, 1e-9)) * times).sum())
 
     return float(max(np.round(np.linspace(-0.2, 0.2, 41), 2), key=lambda r: (round(gain(r), 9), -abs(r))))
 
@@ -190,17 +190,6 @@ def best_threshold(df: DataFrame, label: str, score: str, lo: float = 0.25, step
     return per.select("threshold", "tp", "picks", "f1", (F.col("threshold") == top).alias("best"))
 
 
-def global_strengths(matches: DataFrame, top: int = 300, last: int = 20_000, least: int = 20) -> DataFrame:
-    """One fit for all leagues: the ``top`` teams by matches, all others as one team -1, on the newest ``last`` matches, which is the
-    documented bound of what the one fit sees. Strengths as of a league 0."""
-    sides = matches.select(F.explode(F.array("home_team_id", "away_team_id")).alias("team")).groupBy("team").agg(F.count("*").alias("n"))
-    known = sides.orderBy(F.desc("n"), "team").limit(top).select("team")
-    named = lambda df, c: df.join(F.broadcast(known.select(F.col("team").alias(f"_{c}"))), F.col(c) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_{c}", F.lit(-1))).drop(f"_{c}")
-    newest = matches.where("home_goals is not null and away_goals is not null").orderBy(F.desc("date"), F.desc("match_id")).limit(last)
-    shaped = named(named(newest, "home_team_id"), "away_team_id").withColumn("league", F.lit(0))
-    return shaped.select(*_numbers()).groupBy("league").applyInPandas(lambda pdf: _fitted(pdf, least), STRENGTHS)
-
-
 def closed_form_1x2(home: Column, away: Column, rho: Column, most: int = 10) -> dict[str, Column]:
     """Result probabilities of the corrected scores, normalised; the correction moves mass between the four low scores only."""
     from touchline.functions import poisson_pmf

@@ -539,9 +539,9 @@ def elo_1x2_fitted(spark, d):
 
 @query()
 def global_dixon_coles(spark, d):
-    from touchline.operators import fitted
+    from touchline.operators import estimation
 
-    return fitted.global_strengths(matches(spark, d), top=60).select("team", *r9("attack", "defence", "base", "home", "rho"), "n")
+    return estimation.global_strengths(matches(spark, d), top=60).select("team", *r9("attack", "defence", "base", "home", "rho"), "n")
 
 
 @query()
