@@ -1,12 +1,13 @@
 """Operator 13: alignment of two tokenizers by postings and a cogroup.
 
 Tokens of both tokenizers lie over the same bytes. Each text becomes pair multiplicities (a, b, how often they
-overlap). They are shuffled by the b side together with partial counts of the pairs; within a partition Spark's
-spillable sort puts the counts of a b id before its postings, so a task adds up the counts, takes the maximum
-and streams the postings past them. What it emits for documents is summed by document.
+overlap). Added up within each task, they are shuffled by their b id, where a task streams past them and makes each b id's counts. Then the
+postings themselves are shuffled by groups of b ids, together with those counts; within a partition Spark's spillable sort puts
+the counts of a b id before its postings, so a task takes the maximum and streams the postings past it. What it emits for
+documents is summed by document.
 
-A b id that holds more than a partition's share of the postings is split over several, by document; the counts of such an
-id, added up within each task first, go to all of its parts.
+A group with more than a partition's share of the postings is split over several, by document, and its counts go to all
+of them. The groups are few and their number is fixed, so a document gets few contributions at any size.
 """
 
 from __future__ import annotations
@@ -257,36 +258,78 @@ def _width(model: str) -> int:
     return max(Tokenizer.from_file(tokenizer_path(model)).get_vocab().values()) + 1
 
 
-def dealt(table: DataFrame, width: int, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The partitions of each b id: where its list begins, how many it has, the lists, and how many partitions there are.
+def counted(table: DataFrame, width: int, most: int = 1 << 21) -> DataFrame:
+    """b, posts, a, n: of each b id its number of postings and, packed, its pairs' a ids with their counts over all documents.
 
-    The driver sees one number for each b id, so no more than the vocabulary. An id with more postings than a
-    partition's share is split; parts go, the largest first, to the partition that has least."""
+    A task adds its pairs up before it sends them; behind the shuffle by b a task streams past the sums, one b id after another."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums, posts = (np.zeros(0, np.int64) for _ in range(3))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            at = np.append(np.flatnonzero(np.diff(held // width, prepend=-1)), len(held)).tolist()
+            rows = [(int(held[s]) // width, int(posts[s:e].sum()), (held[s:e] % width).astype("<u4").tobytes(), sums[s:e].astype("<i8").tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
+            for k in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 4096], strict=True)], ["b", "posts", "a", "n"])
+
+        for batch in batches:
+            for _, _, keys, times in flat_lists(batch, "pairs", "times"):
+                held, back = np.unique(np.concatenate([held, keys]), return_inverse=True)
+                made = []
+                for old, more in ((sums, times), (posts, np.ones(len(keys), np.int64))):
+                    added = np.zeros(len(held), np.int64)
+                    np.add.at(added, back, np.concatenate([old, more]))
+                    made.append(added)
+                sums, posts = made
+                if len(held) > most:
+                    yield from out()
+                    held, sums, posts = held[:0], sums[:0], posts[:0]
+        yield from out()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, now, posts = np.zeros(width, np.int64), None, 0
+
+        def out() -> pa.RecordBatch:
+            a = np.flatnonzero(count)
+            made = pa.RecordBatch.from_arrays([pa.array([now]), pa.array([posts]), pa.array([a.astype("<u4").tobytes()]), pa.array([count[a].astype("<i8").tobytes()])], ["b", "posts", "a", "n"])
+            count[a] = 0
+            return made
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for *_, keys in flat_lists(batch, "pairs"):
-                more = np.bincount(keys // width)
-                total = np.resize(np.append(total, np.zeros(max(len(more) - len(total), 0), np.int64)), max(len(more), len(total)))
-                total[: len(more)] += more
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["b", "n"])
-
-    sums = table.select("pairs").mapInArrow(work, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    ids, n = sums.column("b").to_numpy(), sums.column("n").to_numpy()
-    parts = max(1, -(-int(n.sum()) // share))
-    split = -(-n // share)
-    first, many = np.zeros(int(ids.max(initial=0)) + 1, np.int64), np.ones(int(ids.max(initial=0)) + 1, np.int64)
-    first[ids], many[ids] = np.cumsum(split) - split, split
-    lists = np.zeros(int(split.sum()), np.int64)
-    size = np.repeat(n / np.maximum(split, 1), split)
-    heap = [(0.0, p) for p in range(parts)]
-    for k in np.argsort(-size, kind="stable"):
-        load, p = heap[0]
-        heapq.heapreplace(heap, (load + size[k] + 1, p))
-        lists[k] = p
-    return first, many, lists, parts
+            for b, more, a, n in zip(*[batch.column(c).to_pylist() for c in ("b", "posts", "a", "n")], strict=True):
+                if b != now and now is not None:
+                    yield out()
+                    posts = 0
+                now, posts = b, posts + more
+                count[np.frombuffer(a, "<u4")] += np.frombuffer(n, "<i8")
+        if now is not None:
+            yield out()
+
+    kind = "b long, posts long, a binary, n binary"
+    parts = table.select("pairs", "times").mapInArrow(partial, kind)
+    return written(parts.repartition("b").sortWithinPartitions("b").mapInArrow(whole, kind), "counts")
+
+
+#: Groups of b ids: a document's postings go to so many partitions at most, however many there are.
+GROUPS = 8
+
+
+def dealt(counts: DataFrame, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each b id, and where each group's partitions begin (groups + 1).
+
+    The driver sees one number for each b id, so no more than the vocabulary. Ids go, the largest first, to the group that has least;
+    a group has a partition for each ``share`` of its postings, and documents are spread over them. A b id with a third
+    of all postings makes a group with more partitions, not a larger partition."""
+    sizes = counts.select("b", "posts").toArrow()
+    ids, n = sizes.column("b").to_numpy(), sizes.column("posts").to_numpy()
+    group, load = np.zeros(int(ids.max(initial=0)) + 1, np.int64), [(0, g) for g in range(GROUPS)]
+    total = np.zeros(GROUPS, np.int64)
+    for k in np.argsort(-n, kind="stable"):
+        size, g = load[0]
+        heapq.heapreplace(load, (size + int(n[k]), g))
+        group[ids[k]] = g
+        total[g] += n[k]
+    return group, np.concatenate([[0], np.cumsum(np.maximum(-(-total // share), 1))])
 
 
 PACKED = "part int, b int, tag int, base long, a binary, row binary, n binary"
@@ -297,35 +340,24 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "b", "tag", "base", "a", "row", "n"])
 
 
-def posted(table: DataFrame, width: int, plan: tuple, most: int = 1 << 21) -> DataFrame:
-    """Two kinds of rows for each partition and b id: tag 0 has partial counts of the pairs, added up within the task,
-    tag 1 has a step's postings: a, place of the document behind ``base``, multiplicity."""
-    sent = table.sparkSession.sparkContext.broadcast(plan)  # a few numbers for each b id and partition
+def posted(table: DataFrame, counts: DataFrame, width: int, plan: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Two kinds of rows for each partition and b id: tag 0 has the b id's counts, tag 1 a step's postings: a, place of the document behind
+    ``base``, multiplicity."""
+    sent = table.sparkSession.sparkContext.broadcast(plan)  # a number for each b id and group
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, many, lists, _ = sent.value
-        held, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def counts() -> Iterator[pa.RecordBatch]:
-            b = held // width
-            at = np.append(np.flatnonzero(np.diff(b, prepend=-1)), len(b))
-            out = []
-            for s, e in zip(at[:-1], at[1:], strict=True):
-                a, n = (held[s:e] % width).astype("<u4").tobytes(), sums[s:e].astype("<i8").tobytes()
-                out += [(int(p), int(b[s]), 0, 0, a, b"", n) for p in np.unique(lists[first[b[s]] : first[b[s]] + many[b[s]]])]
-            for k in range(0, len(out), 4096):
-                yield packed(out[k : k + 4096])
-
+        group, begin = sent.value
         for batch in batches:
             numbers = batch.column("row").to_numpy()
             for own, lengths, keys, times in flat_lists(batch, "pairs", "times"):
                 if not len(keys):
                     continue
                 rows = np.repeat(numbers[own], lengths)
-                b = keys // width
-                part = lists[first[b] + rows % many[b]]
+                g = group[keys // width]
+                part = begin[g] + rows % (begin[g + 1] - begin[g])
                 order = np.lexsort((keys, part))
-                keys, times, rows, part, b = keys[order], times[order], rows[order], part[order], b[order]
+                keys, times, rows, part = keys[order], times[order], rows[order], part[order]
+                b = keys // width
                 at = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (part[1:] != part[:-1])))
                 base = int(numbers[own[0]])
                 a, row, n = (keys % width).astype("<u4"), (rows - base).astype("<i8"), times.astype("<i8")
@@ -339,16 +371,14 @@ def posted(table: DataFrame, width: int, plan: tuple, most: int = 1 << 21) -> Da
                 out = [(p, x, 1, base, a[s:e].tobytes(), row[s:e].tobytes(), n[s:e].tobytes()) for p, x, s, e in zip(part[at].tolist(), b[at].tolist(), at.tolist(), ends.tolist(), strict=True)]
                 for k in range(0, len(out), 4096):
                     yield packed(out[k : k + 4096])
-                held, back = np.unique(np.concatenate([held, keys]), return_inverse=True)
-                added = np.zeros(len(held), np.int64)
-                np.add.at(added, back, np.concatenate([sums, times]))
-                sums = added
-                if len(held) > most:
-                    yield from counts()
-                    held, sums = held[:0], sums[:0]
-        yield from counts()
 
-    return table.select("row", "pairs", "times").mapInArrow(work, PACKED)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, begin = sent.value
+        for batch in batches:
+            for b, a, n in zip(*[batch.column(c).to_pylist() for c in ("b", "a", "n")], strict=True):
+                yield from (packed([(p, b, 0, 0, a, b"", n)]) for p in range(begin[group[b]], begin[group[b] + 1]))
+
+    return table.select("row", "pairs", "times").mapInArrow(work, PACKED).union(counts.select("b", "a", "n").mapInArrow(spread, PACKED))
 
 
 def contributions(posts: DataFrame, width: int, flush: int = 1 << 20) -> DataFrame:
@@ -358,7 +388,7 @@ def contributions(posts: DataFrame, width: int, flush: int = 1 << 20) -> DataFra
         return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, used, top, key = np.zeros(width, np.int64), [], 0, None
+        count, used, top, key = np.zeros(width, np.int64), np.zeros(0, np.int64), 0, None
         rows, best, total, waiting = [], [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -371,17 +401,13 @@ def contributions(posts: DataFrame, width: int, flush: int = 1 << 20) -> DataFra
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("part", "b", "tag", "base", "a", "row", "n")]
             for part, b, tag, base, a, row, n in zip(*columns, strict=True):
-                if key != (part, b):
-                    for x in used:
-                        count[x] = 0
-                    key, used, top = (part, b), [], 0
-                if tag == 0:
-                    ids = np.frombuffer(a, "<u4")
-                    count[ids] += np.frombuffer(n, "<i8")
-                    used.append(ids)
+                if tag == 0:  # the counts of a b id, before all of its postings here
+                    count[used] = 0
+                    used, own, key = np.frombuffer(a, "<u4"), np.frombuffer(n, "<i8"), (part, b)
+                    count[used], top = own, int(own.max())
                     continue
-                if not top:
-                    top = int(count.max())
+                if key != (part, b):
+                    raise ValueError("postings without counts")
                 many = len(a) // (2 if width <= 1 << 16 else 4)
                 ids, times = numbers(a, many), numbers(n, many)
                 own = count[ids]
@@ -405,8 +431,9 @@ def alignment(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, s
     and ids count each for itself; a null doc_id stays null; other columns are ignored; an empty table gives no rows."""
     table = tokenized(docs, model_a, model_b)
     width = _width(model_a)
-    plan = dealt(table, width, share)
-    posts = posted(table, width, plan).repartitionById(plan[3], F.col("part")).sortWithinPartitions("part", "b", "tag")
+    counts = counted(table, width)
+    plan = dealt(counts, share)
+    posts = posted(table, counts, width, plan).repartitionById(int(plan[1][-1]), F.col("part")).sortWithinPartitions("part", "b", "tag")
     sums = contributions(posts, width).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     none = F.lit(0).cast("long")
     return table.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")
