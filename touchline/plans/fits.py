@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.operators import estimation as es
+from touchline.operators import matching as mt
 from touchline.plans.matches import matches, predictions
 from touchline.plans.more import _pre, r9, s9
 from touchline.plans.queries import query
+from touchline.session import table
 
 FORM = ["home_gf_5", "home_ga_5", "home_pts_5", "away_gf_5", "away_ga_5", "away_pts_5", "home_elo", "away_elo", "mkt_home_prob"]
 
@@ -65,3 +67,36 @@ def mixture_fit(spark, d):
     own = F.get(F.array("p_h", "p_d", "p_a"), F.col("happened"))
     loss = mixed.agg(F.count("*").alias("n"), F.avg(-F.ln(own)).alias("mixed_loss"), F.avg(-F.ln(F.pow(own, F.lit(1 / heat)) / total)).alias("heated_loss"))
     return loss.select("n", *[F.round(F.lit(float(k)), 6).alias(f"w_{n}") for n, k in zip(names, w, strict=True)], F.round(F.lit(heat), 6).alias("temperature"), *r9("mixed_loss", "heated_loss"))
+
+
+def part_names(spark, d):
+    """A name of each part, and queries: parts of names, names with a word too many, with letters changed, and words turned round."""
+    k = table(spark, d, "part").select(F.col("p_partkey").alias("team_id"), F.concat(F.lower(F.trim("p_name")), F.lit(" "), F.lower("p_brand")).alias("name"))
+    n = F.col("name")
+    said = F.when(F.col("team_id") % 4 == 0, F.substr(n, F.lit(2), F.length(n) - 3)).when(F.col("team_id") % 4 == 1, F.concat(F.lit("fc "), n)).when(F.col("team_id") % 4 == 2, F.translate(n, "oe", "au")).otherwise(F.concat_ws(" ", F.reverse(F.split(n, " "))))
+    return k.select((F.col("team_id") + 10_000_000).alias("query_id"), said.alias("name")), k
+
+
+_NAMES = """, k AS (SELECT p_partkey id, lower(trim(p_name)) || ' ' || lower(p_brand) b FROM part), q AS (SELECT id, CASE id % 4 WHEN 0 THEN substr(b, 2, length(b) - 3) WHEN 1 THEN 'fc ' || b WHEN 2 THEN translate(b, 'oe', 'au') ELSE array_to_string(list_reverse(string_split(b, ' ')), ' ') END a FROM k)"""
+
+
+@query(_NAMES + " SELECT count(*) pairs, CAST(sum(q1.length) AS BIGINT) letters FROM (SELECT DISTINCT a, length(a) length FROM q WHERE length(a) > 5) q1, (SELECT DISTINCT b FROM k) k1 WHERE contains(k1.b, q1.a)")
+def contained_names(spark, d):
+    """How many pairs of names there are of which one is within the other, and how many letters."""
+    q, k = part_names(spark, d)
+    pairs = mt.contained_pairs(q.select(F.col("name").alias("a")).distinct(), k.select(F.col("name").alias("b")).distinct())
+    return pairs.agg(F.count("*").alias("pairs"), F.sum(F.length("a").cast("long")).alias("letters"))
+
+
+@query()
+def fuzzy_club_names(spark, d):
+    """For every query name the known one of the largest block ratio, 0.80 or more."""
+    q, k = part_names(spark, d)
+    return mt.fuzzy_names(q, k).select("query_id", "team_id", *r9("score"))
+
+
+@query()
+def close_team_names(spark, d):
+    """A search: the names whose number is divisible by 100, each against all names, by block ratio from 0.6 on."""
+    q, k = part_names(spark, d)
+    return mt.close_names(q.where("query_id % 100 = 0"), k.where("team_id % 100 <> 0"))
