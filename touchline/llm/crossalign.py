@@ -6,7 +6,7 @@ postings themselves are shuffled by groups of b ids, together with those counts;
 the counts of a b id before its postings, so a task takes the maximum and streams the postings past it. What it emits for
 documents is summed by document.
 
-A group with more than a partition's share of the postings is split over several, by document, and its counts go to all
+A group with more than a partition's share of the postings is split over several, by steps of documents, and its counts go to all
 of them. The groups are few and their number is fixed, so a document gets few contributions at any size.
 """
 
@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import encoded, slices, texts_of, tokenizer_path, written
+from touchline.llm.common import encoded, mix, slices, texts_of, tokenizer_path, written
 from touchline.llm.segments import ByteBpe, byte_bpe_cuts
 
 MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments that a worker's table holds before it starts anew, postings of a step, and postings of a partition.
-KNOWN, STEP, SHARE = 300_000, 1 << 19, 1 << 22
+KNOWN, STEP, SHARE = 120_000, 1 << 19, 1 << 22
 COLUMNS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
@@ -78,6 +78,7 @@ class Aligner:
         self._clear()
 
     def _clear(self) -> None:
+        self.a._clear()
         self.known: dict[bytes, int] = {}
         self.text: list[bytes] = []  # groups as text
         self.sizes = np.zeros((1024, 4), np.int64)  # tokens of a and b, groups, links; -1 where the bytes differ
@@ -264,6 +265,7 @@ def counted(table: DataFrame, width: int, most: int = 1 << 21) -> DataFrame:
     A task adds its pairs up before it sends them; behind the shuffle by b a task streams past the sums, one b id after another."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner.cache_clear()  # the tokenizers' tables are not needed any more
         held, sums, posts = (np.zeros(0, np.int64) for _ in range(3))
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -318,7 +320,7 @@ def dealt(counts: DataFrame, share: int = SHARE) -> tuple[np.ndarray, np.ndarray
     """The group of each b id, and where each group's partitions begin (groups + 1).
 
     The driver sees one number for each b id, so no more than the vocabulary. Ids go, the largest first, to the group that has least;
-    a group has a partition for each ``share`` of its postings, and documents are spread over them. A b id with a third
+    a group has a partition for each ``share`` of its postings, and steps of documents are spread over them. A b id with a third
     of all postings makes a group with more partitions, not a larger partition."""
     sizes = counts.select("b", "posts").toArrow()
     ids, n = sizes.column("b").to_numpy(), sizes.column("posts").to_numpy()
@@ -352,14 +354,13 @@ def posted(table: DataFrame, counts: DataFrame, width: int, plan: tuple[np.ndarr
             for own, lengths, keys, times in flat_lists(batch, "pairs", "times"):
                 if not len(keys):
                     continue
-                rows = np.repeat(numbers[own], lengths)
+                rows, base = np.repeat(numbers[own], lengths), int(numbers[own[0]])
                 g = group[keys // width]
-                part = begin[g] + rows % (begin[g + 1] - begin[g])
+                part = begin[g] + int(mix(np.uint64(base))) % (begin[g + 1] - begin[g])  # a step's documents stay together
                 order = np.lexsort((keys, part))
                 keys, times, rows, part = keys[order], times[order], rows[order], part[order]
                 b = keys // width
                 at = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (part[1:] != part[:-1])))
-                base = int(numbers[own[0]])
                 a, row, n = (keys % width).astype("<u4"), (rows - base).astype("<i8"), times.astype("<i8")
                 if row.max(initial=0) < 1 << 31 and row.min(initial=0) >= 0:
                     row = row.astype("<u4")
