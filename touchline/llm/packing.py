@@ -109,7 +109,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pieces`` with sequence_id and offset; ``pieces`` is read twice (counted, then packed)."""
+    """``pieces`` with sequence_id and offset; ``pieces`` is read twice (counted, then packed) and dealt into groups by its piece_row."""
     groups = max(1, -(-pieces.count() // group))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
             whole = whole.append_column("sequence_id", pa.array((TaskContext.get().partitionId() << 32) + bins)).append_column("offset", pa.array(offsets))
             yield from whole.to_batches()
 
-    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece"))
+    dealt = pieces.repartition(groups, F.xxhash64("piece_row"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(work, f"{schema}, sequence_id long, offset long")
 
@@ -131,9 +131,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None
     Null and empty texts give one piece with the end id alone. Repeated rows are packed each by
     itself, other columns are ignored, and an empty table gives an empty result.
     """
-    if not with_ids:
-        return pack_pieces(written(cut_pieces(docs, capacity, end_id, model), "pieces"), capacity, group)
-    # packing holds a group's pieces at once, so their ids stay behind and join them afterwards
-    made = written(cut_pieces(docs, capacity, end_id, model, True).withColumn("piece_row", F.monotonically_increasing_id()), "pieces")
-    packed = pack_pieces(made.drop("ids"), capacity, group).join(made.select("piece_row", "ids"), "piece_row")
-    return packed.select(*[f.split()[0] for f in PIECES.split(", ")], "ids", "sequence_id", "offset")
+    made = written(cut_pieces(docs, capacity, end_id, model, with_ids).withColumn("piece_row", F.monotonically_increasing_id()), "pieces")
+    packed = pack_pieces(made.drop("ids"), capacity, group)
+    if with_ids:  # packing holds a group's pieces at once, so their ids stay behind and join them afterwards
+        packed = packed.join(made.select("piece_row", "ids"), "piece_row")
+    return packed.select(*[f.split()[0] for f in PIECES.split(", ")], *(["ids"] if with_ids else []), "sequence_id", "offset")
