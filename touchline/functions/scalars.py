@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Raw fixture status codes and what they mean.
 STATUS = {
     "NS": "NS", "TBD": "NS",
-    "1H": "LIVE", "HT": "LIVE", "2H": "LIVE", "ET": "LIVE", "BT": "LIVE", "P": "LIVE", "LIVE": "LIVE",
+    "1H": "LIVE", "HT": "LIVE", "2H": "LIVE", "ET": "LIVE", "BT": "LIVE", "P": "LIVE",
     "FT": "FT", "AET": "FT", "PEN": "FT",
     "SUSP": "SUSP", "INT": "SUSP", "ABD": "ABD", "CANC": "ABD", "PST": "NS", "POST": "POST",
 }

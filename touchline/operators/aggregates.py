@@ -109,11 +109,18 @@ def correlations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     return wide.unpivot([], columns, "feature", "corr")
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """Whether match ids follow dates, per league."""
-    w = W.partitionBy("league").orderBy("match_id")
-    back = df.withColumn("_p", F.lag("date").over(w)).withColumn("_b", (F.col("date") < F.col("_p")).cast("int"))
-    return back.groupBy("league").agg(F.coalesce(F.sum("_b"), F.lit(0)).cast("long").alias("steps_back"))
+def in_order(df: DataFrame, bucket: int = 1 << 16) -> DataFrame:
+    """Whether match ids follow dates, per league: how many rows are older than the row before them.
+
+    A league's ids are cut into ranges of about ``bucket`` rows (ids that lie close together make larger ones); within them rows meet
+    their neighbours, and a second window joins the ends, a row for each range."""
+    spans = df.groupBy(F.col("league").alias("_league")).agg(F.min("match_id").alias("_low"), ((F.max("match_id") - F.min("match_id") + 1) / F.ceil(F.count("*") / bucket)).alias("_wide"))
+    placed = df.select("league", "match_id", "date").join(spans, F.col("league").eqNullSafe(F.col("_league"))).select("league", "match_id", "date", F.floor((F.col("match_id") - F.col("_low")) / F.col("_wide")).alias("_range"))
+    w = W.partitionBy("league", "_range").orderBy("match_id")
+    back = placed.withColumn("_b", (F.col("date") < F.lag("date").over(w)).cast("long"))
+    ends = back.groupBy("league", "_range").agg(F.sum("_b").alias("_b"), F.min_by("date", "match_id").alias("_first"), F.max_by("date", "match_id").alias("_last"))
+    joined = ends.withColumn("_e", (F.col("_first") < F.lag("_last").over(W.partitionBy("league").orderBy("_range"))).cast("long"))
+    return joined.groupBy("league").agg((F.coalesce(F.sum("_b"), F.lit(0)) + F.coalesce(F.sum("_e"), F.lit(0))).cast("long").alias("steps_back"))
 
 
 def usable_columns(df: DataFrame, most_null: float = 0.40) -> list[str]:

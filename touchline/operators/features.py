@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from touchline.operators.ordering import row_numbers
 from touchline.functions import elo_expected
 
 #: Matches from which on a league counts as fully known.
@@ -132,9 +133,9 @@ def string_id(name: Column) -> Column:
 
 
 def category_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Codes from 0 in the order of the distinct values; null gets -1. Only distinct values are ranked."""
+    """Codes from 0 in the order of the distinct values; null gets -1. Only distinct values are numbered, by ranges."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct()
-    codes = values.withColumn(out, F.row_number().over(W.orderBy("_v")) - 1)  # a row for each category
+    codes = row_numbers(values, [F.col("_v")], out)
     return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 

@@ -135,10 +135,18 @@ def league_baseline(matches: DataFrame, window: int | None = None, least: int =
         made = running(matches, "league", {k: c.cast("long") for k, c in flags.items()})
         value = lambda k: F.coalesce(F.col(f"_s_{k}") / F.nullif("_n", F.lit(0)), F.lit(None if least else 0.0))
         return made.select(*matches.columns, *[(F.when(F.col("_n") >= least, value(k)) if least else value(k)).alias(k) for k in flags])
-    start = W.unboundedPreceding if window is None else (-window if not with_current else 1 - window)
-    w = W.partitionBy("league").orderBy("date", "match_id").rowsBetween(start, 0 if with_current else -1)
+    if window is None:
+        w = W.partitionBy("league").orderBy("date", "match_id").rowsBetween(W.unboundedPreceding, 0)
+        rows = matches
+    else:  # a row's number in its league by day sums; runs of rows, each with the window before it, are frames of their own
+        size = max(8 * window, 4096)
+        numbered = running(matches, "league", {})
+        run, at = F.floor(F.col("_n") / size), F.col("_n") % size
+        rows = numbered.withColumn("_run", F.explode(F.when(at >= size - window, F.array(run, run + 1)).otherwise(F.array(run))))
+        w = W.partitionBy("league", "_run").orderBy("_n").rowsBetween(1 - window if with_current else -window, 0 if with_current else -1)
     rate = lambda c: F.when(F.count("*").over(w) >= least, F.avg(c.cast("double")).over(w)) if least else F.coalesce(F.avg(c.cast("double")).over(w), F.lit(0.0))
-    return matches.withColumns({k: rate(c) for k, c in flags.items()})
+    made = rows.withColumns({k: rate(c) for k, c in flags.items()})
+    return made if window is None else made.where(F.col("_run") == F.floor(F.col("_n") / size)).drop("_run", "_n")
 
 
 def streaks(long: DataFrame) -> DataFrame:

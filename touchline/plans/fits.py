@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from touchline import functions as fn
+from touchline.operators import aggregates as agg
+from touchline.operators import boosting, fold_models
+from touchline.operators import decisions as dec
 from touchline.operators import estimation as es
+from touchline.operators import features as ft
+from touchline.operators import feedback as fb
+from touchline.operators import joins as jn
 from touchline.operators import matching as mt
+from touchline.operators import ordering
+from touchline.operators import reports as rp
+from touchline.operators import windows as win
 from touchline.plans.matches import matches, predictions
 from touchline.plans.more import _pre, r9, s9
 from touchline.plans.queries import query
 from touchline.session import table
+from touchline.sources.mapped import fetched
+from touchline.streaming import state as st
 
 FORM = ["home_gf_5", "home_ga_5", "home_pts_5", "away_gf_5", "away_ga_5", "away_pts_5", "home_elo", "away_elo", "mkt_home_prob"]
 
@@ -100,3 +112,147 @@ def close_team_names(spark, d):
     """A search: the names whose number is divisible by 100, each against all names, by block ratio from 0.6 on."""
     q, k = part_names(spark, d)
     return mt.close_names(q.where("query_id % 100 = 0"), k.where("team_id % 100 <> 0"))
+
+
+_FORM = ", ".join(f"avg(CAST({c} AS DOUBLE)) OVER (PARTITION BY league, team ORDER BY date, match_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) {c}_{n}" for n in (5, 10) for c in ("gf", "ga", "pts"))
+
+
+@query(f", f AS (SELECT league, team, match_id, season, {_FORM} FROM lp) SELECT league, CAST(team AS BIGINT) team, match_id, " + s9(**{f"{c}_{n}": f"{c}_{n}" for n in (5, 10) for c in ("gf", "ga", "pts")}) + " FROM f WHERE season >= 1997")
+def incremental_form(spark, d):
+    """Form of the matches from 1997 on from the state after 1996 (30 rows a team): the same as from all matches."""
+    long = win.long_view(matches(spark, d))
+    made = st.advanced(st.team_state(long.where("season < 1997")), long.where("season >= 1997"))
+    return made.select("league", F.col("team").cast("long").alias("team"), "match_id", *r9(*[f"{c}_{n}" for n in (5, 10) for c in ("gf", "ga", "pts")]))
+
+
+@query(", f AS (SELECT league, team, min((date, match_id, is_home)) s FROM lp GROUP BY 1, 2) SELECT league, CAST(team AS BIGINT) team, CAST(999999 + row_number() OVER (ORDER BY s) AS BIGINT) id FROM f")
+def first_seen_ids(spark, d):
+    """Ids of teams in the order in which they first play, from a source's offset on."""
+    long = win.long_view(matches(spark, d)).select("league", F.col("team").cast("long").alias("team"), "date", "match_id", "is_home")
+    return ordering.first_seen_ids(long, ["league", "team"], ["date", "match_id", "is_home"], jn.OFFSETS["HF"])
+
+
+@query(", n AS (SELECT match_id, row_number() OVER (ORDER BY date, match_id) - 1 r FROM matches), t AS (SELECT count(*) c FROM n), f AS (SELECT k fold, k * 150 s FROM range(100000) g(k), t WHERE k * 150 + 750 <= c) SELECT CAST(fold AS BIGINT) fold, CASE WHEN r < s + 600 THEN 'train' ELSE 'test' END part, count(*) n, min(match_id) low, CAST(sum(match_id) AS BIGINT) total FROM f JOIN n ON r >= s AND r < s + 750 GROUP BY 1, 2")
+def row_fold_parts(spark, d):
+    """Folds by row number in the order of time: 600 rows train, the next 150 test, and on by 150."""
+    numbered = ordering.row_numbers(matches(spark, d).select("match_id", "date"), [F.col("date"), F.col("match_id")])
+    return ordering.row_folds(numbered, 600, 150, 150).groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("match_id").alias("low"), F.sum("match_id").alias("total"))
+
+
+@query(" SELECT CAST(k AS INT) fold, CASE WHEN season = k THEN 'test' ELSE 'train' END part, count(*) n, min(date) first, max(date) last FROM matches, range(1996, 1999) g(k) WHERE season <= k AND season >= k - 2 GROUP BY 1, 2")
+def season_fold_parts(spark, d):
+    made = ordering.season_folds(matches(spark, d), 1996, 1998, 2)
+    return made.groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def _classes(p):
+    return p.withColumn("y", F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).otherwise(2))
+
+
+@query()
+def fold_model_scores(spark, d):
+    """A logistic model trained before each quarter, calibrated on the last of what is before it, and scored on the quarter."""
+    folds = rp.walk_forward(_classes(predictions(matches(spark, d))), "1996-01-01")
+    made = fold_models.fold_report(fold_models.fitted_folds(folds, ["odds_h", "odds_d", "odds_a", "home_corners", "away_corners"], "y"))
+    return made.select("fold", "model", "n", *[F.round(c, 6).alias(c) for c in ("temperature", "log_loss", "brier", "accuracy")])
+
+
+@query()
+def boosted_classes(spark, d):
+    """Boosted probabilities of home, draw and away from 1997 on, trained on what is before, draws with half as much weight again."""
+    p = _classes(predictions(matches(spark, d)))
+    model = boosting.boosted(p.where("season < 1997"), ["odds_h", "odds_d", "odds_a", "home_corners", "away_corners"], "y", boosting.Boosting(rounds=5, weights=(1.0, 1.5, 1.0)))
+    made = boosting.boosted_scores(p.where("season >= 1997"), model)
+    return made.select("match_id", *[F.round(F.get("probabilities", F.lit(k)), 6).alias(f"p_{x}") for k, x in enumerate("hda")])
+
+
+@query()
+def boosted_goals(spark, d):
+    """Boosted expected home goals from 1997 on, by two seeds."""
+    m = matches(spark, d)
+    model = boosting.boosted(m.where("season < 1997"), ["odds_h", "odds_d", "odds_a", "home_corners", "away_corners"], "home_goals", boosting.Boosting(kind="poisson", rounds=5, seeds=(7, 8)))
+    return boosting.boosted_scores(m.where("season >= 1997"), model, "rate").select("match_id", F.round("rate", 6).alias("rate"))
+
+
+@query(", s AS (SELECT match_id, p_h, p_d, p_a, result, unnest([0, 45]) mi FROM preds), c AS (SELECT *, match_id % 3 <> 0 AND mi + 75 + match_id % 40 >= mi AND 105 + match_id % 90 - mi BETWEEN 0 AND 180 known FROM s) SELECT match_id || '_' || mi prediction_id, CASE WHEN known THEN result END outcome, CASE WHEN known THEN round(-ln(greatest(CASE result WHEN 'H' THEN p_h WHEN 'D' THEN p_d ELSE p_a END, 1e-15)), 9) + 0.0e0 END log_loss, CASE WHEN known THEN 'settled' ELSE 'expired' END status FROM c")
+def prediction_lifecycle(spark, d):
+    """Predictions at kick-off and at 45 minutes, settled by results within three hours, or expired: no result comes for every third match."""
+    p = predictions(matches(spark, d))
+    kick = F.col("date").cast("timestamp")
+    made = p.select(F.col("match_id").alias("fixture_id"), "p_h", "p_d", "p_a", kick.alias("kick"), F.explode(F.array(F.lit(0), F.lit(45))).alias("m"))
+    made = made.select(F.concat_ws("_", "fixture_id", "m").alias("prediction_id"), "fixture_id", (F.col("kick") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("m"))).alias("prediction_time"), "p_h", "p_d", "p_a")
+    results = p.where("match_id % 3 <> 0").select(F.col("match_id").alias("fixture_id"), (kick + F.make_dt_interval(F.lit(0), F.lit(0), (105 + F.col("match_id") % 90).cast("int"))).alias("result_time"), "home_goals", "away_goals")
+    return st.lifecycle(made, results).select("prediction_id", "outcome", *r9("log_loss"), "status")
+
+
+@query(", p AS (SELECT * FROM matches WHERE date >= '1996-01-01' AND home_goals IS NOT NULL AND away_goals IS NOT NULL ORDER BY date DESC, match_id DESC LIMIT 500) SELECT match_id, home_goals, away_goals FROM p")
+def newest_played(spark, d):
+    """A report: the newest 500 played matches from a day on."""
+    return fetched(matches(spark, d), "1996-01-01", 500).select("match_id", "home_goals", "away_goals")
+
+
+@query(", o AS (SELECT match_id, CASE match_id % 4 WHEN 0 THEN CAST(round(odds_h, 1) AS VARCHAR) WHEN 1 THEN '0.9' WHEN 2 THEN 'n/a' ELSE '1' END t FROM matches) SELECT match_id, CASE WHEN try_cast(t AS DOUBLE) > 1 THEN round(try_cast(t AS DOUBLE), 9) + 0.0e0 END odds FROM o")
+def odds_read_safely(spark, d):
+    """Odds from text: only numbers above 1 count."""
+    k = F.col("match_id") % 4
+    t = F.when(k == 0, F.round("odds_h", 1).cast("string")).when(k == 1, "0.9").when(k == 2, "n/a").otherwise("1")
+    return matches(spark, d).select("match_id", fn.safe_odds(t).alias("odds")).select("match_id", *r9("odds"))
+
+
+@query(" SELECT league, " + s9(mean="avg(CASE WHEN match_id % 5 <> 0 THEN odds_h END)") + ", count(CASE WHEN match_id % 5 <> 0 THEN 1 END) n FROM matches GROUP BY 1")
+def means_without_nan(spark, d):
+    """Means of a column with NaN cells, which count as missing."""
+    x = fn.no_nan(F.when(F.col("match_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("odds_h")))
+    return matches(spark, d).select("league", x.alias("x")).groupBy("league").agg(F.avg("x").alias("mean"), F.count("x").alias("n")).select("league", *r9("mean"), "n")
+
+
+@query(" SELECT league, season, substr(sha256(array_to_string(list_sort(list(DISTINCT 'T' || home_team_id)), ',')), 1, 16) fingerprint FROM matches GROUP BY 1, 2")
+def team_fingerprints(spark, d):
+    """A fingerprint of each season's teams, whatever their order."""
+    per = matches(spark, d).groupBy("league", "season").agg(F.collect_set(F.concat(F.lit("T"), F.col("home_team_id").cast("string"))).alias("teams"))
+    return per.select("league", "season", fn.fingerprint(F.col("teams")).alias("fingerprint"))
+
+
+@query(", c AS (SELECT league, season, avg(CASE WHEN match_id % (season % 5 + 2) = 0 THEN 1.0e0 ELSE 0.0e0 END) coverage FROM matches GROUP BY 1, 2) SELECT league, season, round(coverage, 9) + 0.0e0 coverage FROM c WHERE coverage < 0.3")
+def low_coverage_report(spark, d):
+    """Leagues and seasons of which too few rows have a statistic."""
+    has = (F.col("match_id") % (F.col("season") % 5 + 2) == 0).cast("double")
+    per = matches(spark, d).groupBy("league", "season").agg(F.avg(has).alias("coverage"))
+    return agg.low_coverage(per, 0.3).select("league", "season", *r9("coverage"))
+
+
+@query(" SELECT round(avg(home_goals) + avg(away_goals) + avg(a), 9) + 0.0e0 total, 3 AS n_columns FROM (SELECT home_goals, away_goals, CASE WHEN match_id % 4 <> 0 THEN home_corners END a FROM matches) q")
+def usable_statistics(spark, d):
+    """The sum of the means of the numeric columns of which less than 40 % is missing: three of four."""
+    m = matches(spark, d).select("home_goals", "away_goals", F.when(F.col("match_id") % 4 != 0, F.col("home_corners")).alias("a"), F.when(F.col("match_id") % 2 == 0, F.col("away_corners")).alias("b"))
+    names = agg.usable_columns(m)
+    return m.agg(*[F.avg(c).alias(c) for c in names]).select(F.round(sum((F.col(c) for c in names), F.lit(0.0)), 9).alias("total"), F.lit(len(names)).alias("n_columns"))
+
+
+@query(" SELECT match_id, 'tie at ' || home_goals || substr(repeat(' no side is ahead,', 200), 1, 1991) message FROM matches WHERE home_goals = away_goals AND home_goals < 10")
+def logged_issues(spark, d):
+    """Issues with their messages, cut to 2,000 characters as the log holds no more."""
+    ties = matches(spark, d).where("home_goals = away_goals and home_goals < 10").select("match_id", "home_goals")
+    return jn.issue_log(ties, F.concat(F.lit("tie at "), F.col("home_goals").cast("string"), F.repeat(F.lit(" no side is ahead,"), 200))).select("match_id", F.substring("message", 1, 1999).alias("message"))
+
+
+@query(r", n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN substr(c_mktsegment, 1, 3) WHEN 2 THEN NULL ELSE ' ' || substr(c_name, 1, 2) END t FROM customer), h AS (SELECT c_custkey, t, trim(t) s FROM n) SELECT c_custkey, CAST(CASE WHEN t IS NULL THEN 0 WHEN regexp_full_match(s, '\d{1,18}') THEN CAST(s AS BIGINT) ELSE CAST(array_to_string(list_transform(string_split(s, ''), lambda x: CAST(ord(x) AS VARCHAR)), '') AS BIGINT) % 2147483648 END AS BIGINT) id FROM h")
+def string_ids(spark, d):
+    """Stable ids of texts: digits are the number itself, null is 0, others their code points written together modulo 2^31."""
+    k = F.col("c_custkey") % 4
+    t = F.when(k == 0, F.col("c_custkey").cast("string")).when(k == 1, F.substring("c_mktsegment", 1, 3)).when(k == 3, F.concat(F.lit(" "), F.substring("c_name", 1, 2)))
+    return table(spark, d, "customer").select("c_custkey", ft.string_id(t).alias("id"))
+
+
+_BIAS = """, r AS (SELECT home_team_id team, date, match_id, p_h, p_d, p_a, result FROM preds WHERE season < 1998 UNION ALL SELECT away_team_id, date, match_id, p_h, p_d, p_a, result FROM preds WHERE season < 1998), b AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date DESC, match_id DESC) b FROM r QUALIFY b <= 10),
+ w AS (SELECT *, exp(-CASE WHEN count(*) OVER (PARTITION BY team) > 1 THEN (b - 1) / CAST(count(*) OVER (PARTITION BY team) - 1 AS DOUBLE) ELSE 1.0e0 END) w FROM b),
+ g AS (SELECT team, greatest(-0.2e0, least(0.2e0, sum(w * (CAST(result='H' AS INT) - p_h)) / sum(w))) h, greatest(-0.2e0, least(0.2e0, sum(w * (CAST(result='D' AS INT) - p_d)) / sum(w))) d, greatest(-0.2e0, least(0.2e0, sum(w * (CAST(result='A' AS INT) - p_a)) / sum(w))) a FROM w GROUP BY 1),
+ n AS (SELECT match_id, greatest(0.01e0, p_h + (coalesce(x.h, 0) + coalesce(y.h, 0)) / 2) h, greatest(0.01e0, p_d + (coalesce(x.d, 0) + coalesce(y.d, 0)) / 2) d, greatest(0.01e0, p_a + (coalesce(x.a, 0) + coalesce(y.a, 0)) / 2) a FROM preds p LEFT JOIN g x ON x.team = home_team_id LEFT JOIN g y ON y.team = away_team_id WHERE season >= 1998)"""
+
+
+@query(_BIAS + " SELECT match_id, " + s9(p_h="h / (h + d + a)", p_d="d / (h + d + a)", p_a="a / (h + d + a)") + " FROM n")
+def unbiased_predictions(spark, d):
+    """Predictions from 1998 on moved by the mean errors of both teams' last ten predictions before."""
+    p = predictions(matches(spark, d))
+    profiles = dec.bias_profiles(fb.records(p.where("season < 1998")))
+    return dec.unbiased(p.where("season >= 1998"), profiles).select("match_id", *r9("p_h", "p_d", "p_a"))

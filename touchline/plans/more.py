@@ -218,7 +218,7 @@ def league_rolling_published(spark, d):
 _STATUS = ", s(k, raw) AS (VALUES (0,'NS'),(1,'TBD'),(2,'PST'),(3,'1H'),(4,'HT'),(5,'2H'),(6,'ET'),(7,'BT'),(8,'P'),(9,'LIVE'),(10,'FT'),(11,'AET'),(12,'PEN'),(13,'SUSP'),(14,'INT'),(15,'ABD'),(16,'CANC'),(17,'POST'),(18,'WO'))"
 
 
-@query(_STATUS + " SELECT match_id, CASE WHEN raw IN ('NS','TBD','PST') THEN 'NS' WHEN raw IN ('1H','HT','2H','ET','BT','P','LIVE') THEN 'LIVE' WHEN raw IN ('FT','AET','PEN') THEN 'FT' WHEN raw IN ('SUSP','INT') THEN 'SUSP' WHEN raw IN ('ABD','CANC') THEN 'ABD' WHEN raw='POST' THEN 'POST' ELSE 'UNKNOWN' END status FROM matches JOIN s ON k=match_id%19")
+@query(_STATUS + " SELECT match_id, CASE WHEN raw IN ('NS','TBD','PST') THEN 'NS' WHEN raw IN ('1H','HT','2H','ET','BT','P') THEN 'LIVE' WHEN raw IN ('FT','AET','PEN') THEN 'FT' WHEN raw IN ('SUSP','INT') THEN 'SUSP' WHEN raw IN ('ABD','CANC') THEN 'ABD' WHEN raw='POST' THEN 'POST' ELSE 'UNKNOWN' END status FROM matches JOIN s ON k=match_id%19")
 def status_codes(spark, d):
     raw = "NS TBD PST 1H HT 2H ET BT P LIVE FT AET PEN SUSP INT ABD CANC POST WO".split()
     return matches(spark, d).select("match_id", fn.status_code(F.get(F.array(*[F.lit(x) for x in raw]), (F.col("match_id") % 19).cast("int"))).alias("status"))

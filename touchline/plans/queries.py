@@ -249,9 +249,9 @@ def group_imputation(spark, d):
 def _sources(spark, d):
     m = matches(spark, d)
     names = m.select("match_id", "date", F.concat(F.lit("Team "), F.col("home_team_id").cast("string")).alias("home_team"), F.concat(F.lit("Team "), F.col("away_team_id").cast("string")).alias("away_team"), "home_goals", "away_goals", F.when(F.col("home_corners") > 0, F.col("home_corners")).alias("hc"))
-    one = names.withColumn("source", F.lit("HF"))
-    two = names.where("match_id % 3 = 0").select((F.col("match_id") + 10_000_000).alias("match_id"), "date", F.upper("home_team").alias("home_team"), F.concat(F.lit(" "), "away_team").alias("away_team"), "home_goals", "away_goals", "hc").withColumn("source", F.lit("FD"))
-    return jn.unify([one, two])
+    second = F.struct((F.col("match_id") + 10_000_000).alias("match_id"), F.upper("home_team").alias("home_team"), F.concat(F.lit(" "), "away_team").alias("away_team"), F.lit("FD").alias("source"))
+    both = F.filter(F.array(F.struct("match_id", "home_team", "away_team", F.lit("HF").alias("source")), F.when(F.col("match_id") % 3 == 0, second)), lambda x: x.isNotNull())
+    return jn.unify([names.select("date", "home_goals", "away_goals", "hc", F.inline(both))])  # one pass over the matches
 
 
 _SRC = """, s AS (SELECT match_id, date, 'Team ' || home_team_id home_team, 'Team ' || away_team_id away_team, home_goals, CASE WHEN home_corners>0 THEN home_corners END hc, 5 prio, 'HF' source FROM matches
