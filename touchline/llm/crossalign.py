@@ -356,7 +356,7 @@ def posted(table: DataFrame, counts: DataFrame, width: int, plan: tuple[np.ndarr
                     continue
                 rows, base = np.repeat(numbers[own], lengths), int(numbers[own[0]])
                 g = group[keys // width]
-                part = begin[g] + int(mix(np.uint64(base))) % (begin[g + 1] - begin[g])  # a step's documents stay together
+                part = begin[g] + int(mix(np.uint64(base)) >> np.uint64(2)) % (begin[g + 1] - begin[g])  # a step's documents stay together
                 order = np.lexsort((keys, part))
                 keys, times, rows, part = keys[order], times[order], rows[order], part[order]
                 b = keys // width
