@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
-from touchline.sources import mapped, readers
+from touchline.sources import mapped, provider, readers
 
 
 def test_season_files_and_bad_cells(spark, tmp_path):
@@ -95,8 +96,47 @@ def test_provider_source(spark, tmp_path):
     for season in (2020, 2021):
         (tmp_path / f"{season}.json").write_text("\n".join(json.dumps({"id": season * 10 + k, "home": "A", "away": "B", "home_goals": k}) for k in range(3)))
     spark.dataSource.register(mapped.ProviderSource)
-    got = spark.read.format("provider").option("path", str(tmp_path)).option("seasons", "2020,2021,2022").load()
+    read = lambda seasons: spark.read.format("provider").option("path", str(tmp_path)).option("seasons", seasons).load()
+    got = read("2020,2021")
     assert got.count() == 6 and got.where("season = 2021 and home_goals = 2").first().id == 20212
+    with pytest.raises(PySparkException):  # a season without a file must not pass for one without matches
+        read("2020,2021,2022").count()
+
+
+def test_stored_provider(spark, tmp_path):
+    def put(entity, *rows, **keys):
+        folder = tmp_path.joinpath(entity, *[f"{k}={v}" for k, v in keys.items()])
+        folder.mkdir(parents=True)
+        (folder / "a.json").write_text("\n".join(json.dumps(r) for r in rows))
+
+    put("leagues", {"league": {"id": 39, "name": "Premier League", "type": "League"}, "country": {"name": "England", "code": "GB"}, "seasons": [{"year": 2021, "start": "2021-08-01", "end": "2022-05-22"}, {"year": 2022, "start": "2022-08-01", "end": None}]}, {"league": {"id": 203, "name": "Süper Lig"}, "country": {"name": "Turkey"}, "seasons": []})
+    put("teams", {"team": {"id": 33, "name": "United", "code": "MUN", "country": "England", "founded": 1878}, "venue": {"id": 556, "name": "Old", "capacity": 76000}}, of_league=39, of_season=2021)
+    put("fixtures", {"fixture": {"id": 1, "date": "2022-04-19T19:00:00+00:00", "status": {"short": "FT"}}, "league": {"id": 39, "season": 2021}, "teams": {"home": {"id": 33, "name": "United"}, "away": {"id": 40, "name": "City"}}, "goals": {"home": 0, "away": 3}, "score": {"halftime": {"home": 0, "away": 2}}}, of_league=39, of_season=2021)
+    put("standings", {"league": {"id": 39, "season": 2021, "standings": [[{"rank": 1, "team": {"id": 40, "name": "City"}, "points": 93, "goalsDiff": 73, "form": "WWW", "all": {"played": 38, "win": 29, "draw": 6, "lose": 3, "goals": {"for": 99, "against": 26}}}]]}}, of_league=39, of_season=2021)
+    put("statistics", {"fixture": 1, "team": {"id": 33}, "statistics": [{"type": "Ball Possession", "value": "41%"}, {"type": "Total Shots", "value": 7}, {"type": "Red Cards", "value": None}]})
+    put("odds", {"fixture": {"id": 1}, "update": "2022-04-18T10:00:00+00:00", "bookmakers": [{"id": 8, "name": "B", "bets": [{"id": 1, "name": "Match Winner", "values": [{"value": "Home", "odd": "3.10"}, {"value": "Draw", "odd": "x"}]}]}]})
+    put("lineups", {"fixture": 1, "team": {"id": 33}, "formation": "4-2-3-1", "startXI": [{"player": {"id": 9, "name": "A", "number": 1, "pos": "G"}}], "substitutes": [{"player": {"id": 10, "name": "B", "number": 12, "pos": "D"}}]})
+    put("injuries", {"fixture": {"id": 1}, "team": {"id": 33}, "player": {"id": 11, "name": "C", "type": "Missing Fixture", "reason": "Knee"}})
+    p = provider.StoredProvider(spark, str(tmp_path))
+    rows = lambda df, *c: sorted(tuple(r) for r in (df.select(*c) if c else df).collect())
+    assert rows(p.leagues(), "league_id", "name", "country") == [(39, "Premier League", "England"), (203, "Süper Lig", "Turkey")] and p.leagues(pattern="süper|nothing").count() == 1 and p.leagues(["England"]).count() == 1
+    assert [(r[1], str(r[2])) for r in rows(p.seasons(39))] == [(2021, "2021-08-01"), (2022, "2022-08-01")] and p.seasons(203).count() == 0
+    assert rows(p.teams(39, 2021), "team_id", "name", "venue_id") == [(33, "United", 556)] and p.teams(39, 2020).count() == 0
+    assert rows(p.fixtures(39, 2021), "fixture_id", "home_team_id", "away_goals", "status", "ok") == [(1, 33, 3, "FT", True)]
+    assert rows(p.standings(39, 2021), "rank", "team_id", "points", "goals_for") == [(1, 40, 93, 99)]
+    assert rows(p.statistics(1), "team_id", "shots", "possession", "red") == [(33, 7.0, 41.0, None)] and p.statistics(2).count() == 0
+    assert rows(p.odds(1), "bookmaker", "bet", "value", "odd") == [("B", "Match Winner", "Draw", None), ("B", "Match Winner", "Home", 3.1)]
+    assert rows(p.lineups(1), "player_id", "starts", "formation") == [(9, True, "4-2-3-1"), (10, False, "4-2-3-1")] and rows(p.injuries(1), "player_id", "reason") == [(11, "Knee")]
+    assert any("PartitionFilters" in line and "39" in line for line in p.fixtures(39, 2021)._jdf.queryExecution().toString().splitlines())
+    with pytest.raises(AnalysisException):
+        provider.StoredProvider(spark, str(tmp_path / "none")).leagues()
+
+
+def test_event_lists(spark):
+    rows = [("Soccer", "2023-05-01", "A", "B", "2", "1", "L", "30", "V", None), ("Soccer", "bad", "A", "B", None, "x", "L", "31", None, None), ("Darts", "2023-05-01", "A", "B", "1", "0", "L", "1", None, None)]
+    raw = spark.createDataFrame(rows, "strSport string, dateEvent string, strHomeTeam string, strAwayTeam string, intHomeScore string, intAwayScore string, strLeague string, strRound string, strVenue string, strReferee string")
+    got = sorted((str(r.date), r.home_goals, r.away_goals, r.league_id, r.season) for r in mapped.event_list_rows(raw, 4328, 2022).collect())
+    assert got == [("2023-05-01", 2, 1, 4328, 2022), ("None", None, None, 4328, 2022)]
 
 
 def test_streams(spark, small, tmp_path):

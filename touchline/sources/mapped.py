@@ -74,6 +74,12 @@ def leagues_of(leagues: DataFrame, countries: list[str], pattern: str) -> DataFr
     return leagues.where(F.col("country").isin(*countries) | F.col("name").rlike(f"(?i){pattern}"))
 
 
+def event_list_rows(raw: DataFrame, league_id: int, season: int) -> DataFrame:
+    """A league's list of past events to canonical columns; other sports go, scores that are no numbers are null."""
+    soccer = raw.where(F.col("strSport") == "Soccer")
+    return soccer.select(F.col("dateEvent").try_cast("date").alias("date"), F.col("strHomeTeam").alias("home_team"), F.col("strAwayTeam").alias("away_team"), F.col("intHomeScore").try_cast("int").alias("home_goals"), F.col("intAwayScore").try_cast("int").alias("away_goals"), F.lit(league_id).cast("long").alias("league_id"), F.col("strLeague").alias("league_name"), F.lit(season).alias("season"), F.col("strRound").alias("round"), F.col("strVenue").alias("venue"), F.col("strReferee").alias("referee"))
+
+
 def fetched(matches: DataFrame, since: str | None = None, limit: int | None = None, played: bool = True) -> DataFrame:
     """Played matches, from a day on, the newest ``limit`` of them in order of time."""
     made = matches.where("home_goals is not null and away_goals is not null") if played else matches
@@ -143,7 +149,7 @@ def fixture_rows(raw: DataFrame) -> DataFrame:
 
 
 class JsonLinesReader(DataSourceReader):
-    """One partition for each season of a provider's folder."""
+    """One partition for each season of a provider's folder, in any file system that pyarrow reaches; a season without a file is an error."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -153,14 +159,22 @@ class JsonLinesReader(DataSourceReader):
 
     def read(self, partition: InputPartition):
         import json
-        import os
-
-        path = os.path.join(self.options["path"], f"{partition.value}.json")
-        if os.path.exists(path):
-            with open(path) as file:
-                for line in file:
-                    r = json.loads(line)
-                    yield int(partition.value), int(r["id"]), r["home"], r["away"], r.get("home_goals"), r.get("away_goals")
+
+        from pyarrow import fs
+
+        root = self.options["path"].rstrip("/")
+        system, path = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        with system.open_input_stream(f"{path}/{partition.value}.json") as file:
+            left = b""
+            while chunk := file.read(1 << 20):
+                *lines, left = (left + chunk).split(b"\n")
+                yield from self._rows(lines, partition, json.loads)
+            yield from self._rows([left], partition, json.loads)
+
+    @staticmethod
+    def _rows(lines: list[bytes], partition: InputPartition, parse):
+        for r in (parse(line) for line in lines if line.strip()):
+            yield int(partition.value), int(r["id"]), r["home"], r["away"], r.get("home_goals"), r.get("away_goals")
 
 
 class ProviderSource(DataSource):
