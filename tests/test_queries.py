@@ -39,7 +39,7 @@ ROWS = {
     "elo_ratings": lambda m: m.count(), "elo_1x2": lambda m: m.count(), "elo_1x2_fitted": lambda m: m.count(), "opponent_strength": lambda m: 2 * m.count(), "elo_variants": lambda m: 4 * m.count(),
     "elo_incremental": lambda m: m.where("season >= 1998").count(), "dixon_coles_strengths": lambda m: m.select("league", "home_team_id").union(m.select("league", "away_team_id")).distinct().count(),
     "dixon_coles_rates": lambda m: m.where("season >= 1997").count(), "result_classes": lambda m: m.where("season >= 1997").count(), "calibration_choice": lambda m: 4, "global_dixon_coles": lambda m: 61,
-    "imputed_stats": lambda m: m.count(), "mixture_fit": lambda m: 1, "fuzzy_club_names": None, "close_team_names": None, "fold_model_scores": None, "boosted_classes": lambda m: m.where("season >= 1997").count(), "boosted_goals": lambda m: m.where("season >= 1997").count(), "error_patterns": None, "correction_plans": None,
+    "imputed_stats": lambda m: m.count(), "mixture_fit": lambda m: 1, "fuzzy_club_names": None, "close_team_names": None, "calibrated_classes": lambda m: m.where("season >= 1998").count(), "fold_model_scores": None, "boosted_classes": lambda m: m.where("season >= 1997").count(), "boosted_goals": lambda m: m.where("season >= 1997").count(), "error_patterns": None, "correction_plans": None,
 }
 
 

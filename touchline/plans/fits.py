@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline import functions as fn
+from touchline.operators import adjusting as adj
 from touchline.operators import aggregates as agg
 from touchline.operators import boosting, fold_models
 from touchline.operators import decisions as dec
@@ -18,7 +19,7 @@ from touchline.operators import reports as rp
 from touchline.operators import windows as win
 from touchline.plans.matches import matches, predictions
 from touchline.plans.more import _pre, r9, s9
-from touchline.plans.queries import query
+from touchline.plans.queries import _HIT, _PICK, _sources, _SRC, query
 from touchline.session import table
 from touchline.sources.mapped import fetched
 from touchline.streaming import state as st
@@ -256,3 +257,89 @@ def unbiased_predictions(spark, d):
     p = predictions(matches(spark, d))
     profiles = dec.bias_profiles(fb.records(p.where("season < 1998")))
     return dec.unbiased(p.where("season >= 1998"), profiles).select("match_id", *r9("p_h", "p_d", "p_a"))
+
+
+_RATED = """, r AS (SELECT *, 300 * (p_h - p_a) + 60 * (match_id % 5 - 2) g, 0.15e0 + (match_id % 7) / 10.0e0 rh, 0.10e0 + (match_id % 5) / 12.0e0 rd FROM preds), b AS (SELECT *, CASE WHEN rh BETWEEN 0.20 AND 0.70 THEN rh ELSE 0.44e0 END bh, CASE WHEN rd BETWEEN 0.15 AND 0.40 THEN rd ELSE 0.26e0 END bd, CASE WHEN abs(g) > 50 THEN 0.15e0 WHEN abs(g) > 25 THEN 0.25e0 ELSE 0.35e0 END k FROM r),
+ c AS (SELECT *, p_h * (1 - k) + bh * k h1, p_d * (1 - k) + bd * k d1, p_a * (1 - k) + CASE WHEN 1 - bh - bd < 0.10 THEN 0.30e0 ELSE 1 - bh - bd END * k a1 FROM b), e AS (SELECT match_id, g, h1 / (h1 + d1 + a1) h2, d1 / (h1 + d1 + a1) d2, a1 / (h1 + d1 + a1) a2 FROM c),
+ f AS (SELECT *, CASE WHEN g < -100 THEN least(0.18e0, -g / 1200) WHEN g < -50 THEN least(0.10e0, -g / 1500) WHEN g < -25 THEN least(0.05e0, -g / 2500) ELSE 0.0e0 END ga, CASE WHEN g > 100 THEN least(0.12e0, g / 1500) WHEN g > 50 THEN least(0.06e0, g / 2500) ELSE 0.0e0 END gh FROM e),
+ i AS (SELECT match_id, g, greatest(0.03e0, h2 + gh - ga * CASE WHEN g < -50 THEN 0.55e0 ELSE 0.5e0 END) h3, greatest(0.03e0, d2 - gh * CASE WHEN g > 100 THEN 0.45e0 ELSE 0.5e0 END - ga * CASE WHEN g < -50 THEN 0.45e0 ELSE 0.5e0 END) d3, greatest(0.03e0, a2 + ga - gh * CASE WHEN g > 100 THEN 0.55e0 ELSE 0.5e0 END) a3 FROM f),
+ j AS (SELECT match_id, g, round(h3 / (h3 + d3 + a3), 9) p_h, round(d3 / (h3 + d3 + a3), 9) p_d, round(a3 / (h3 + d3 + a3), 9) p_a FROM i)"""
+
+
+@query(_RATED + " SELECT match_id, p_h + 0.0e0 p_h, p_d + 0.0e0 p_d, p_a + 0.0e0 p_a, CASE WHEN (g < -50 AND p_a > 0.25) OR (g < -100 AND p_a > 0.18) THEN 'A' WHEN g > 50 AND p_h > 0.25 THEN 'H' WHEN abs(p_h - p_a) < 0.10 AND p_h < 0.48 THEN 'D' WHEN p_h >= p_a AND p_h >= p_d THEN 'H' WHEN p_a >= p_h AND p_a >= p_d THEN 'A' ELSE 'D' END winner FROM j")
+def rated_predictions(spark, d):
+    """Predictions moved to their league's rates, raised by ratings, and the winner that the rule names."""
+    k = F.col("match_id")
+    p = predictions(matches(spark, d)).withColumns({"g": 300 * (F.col("p_h") - F.col("p_a")) + 60 * (k % 5 - 2), "rh": 0.15 + (k % 7) / 10.0, "rd": 0.10 + (k % 5) / 12.0})
+    made = adj.boosted_by_rating(adj.shrunk_to_rates(p, "g", "rh", "rd"), "g").select("match_id", "g", *r9("p_h", "p_d", "p_a"))
+    return made.select("match_id", "p_h", "p_d", "p_a", adj.winner(F.col("g")).alias("winner"))
+
+
+_OWN = "CASE result WHEN 'H' THEN p_h WHEN 'D' THEN p_d ELSE p_a END"
+
+
+@query(f", x AS (SELECT *, {_HIT} c, {_OWN} o FROM preds), y AS (SELECT 'league' kind, CAST(league AS VARCHAR) category, c, o FROM x UNION ALL SELECT 'result', result, c, o FROM x UNION ALL SELECT 'goals', CASE WHEN home_goals + away_goals >= 3 THEN '3+' WHEN home_goals + away_goals = 0 THEN '0-0' WHEN home_goals + away_goals = 1 THEN '1-0 or 0-1' WHEN greatest(home_goals, away_goals) = 2 THEN '2-0 or 0-2' ELSE '1-1' END, c, o FROM x) SELECT kind, category, count(*) n, " + s9(accuracy="avg(c)", p_happened="avg(o)", mean_error="avg(1 - o)") + " FROM y GROUP BY 1, 2 HAVING kind <> 'league' OR count(*) >= 10")
+def error_by_category(spark, d):
+    return adj.error_categories_of(fb.records(predictions(matches(spark, d)))).select("kind", "category", "n", *r9("accuracy", "p_happened", "mean_error"))
+
+
+@query(" SELECT count(*) n, " + s9(mean="avg(greatest(p_h, p_d, p_a))", deviation="stddev_pop(greatest(p_h, p_d, p_a))") + " FROM preds")
+def confidence_spread(spark, d):
+    return adj.confidence_spread(fb.records(predictions(matches(spark, d)))).select("n", *r9("mean", "deviation"))
+
+
+@query(", x AS (SELECT match_id, odds_h o, least((p_h - 1 / odds_h) * 0.20e0, 0.05e0) s FROM preds) SELECT match_id, " + s9(stake="CASE WHEN o > 1 AND s >= 0.005 THEN s ELSE 0 END") + " FROM x")
+def small_stakes(spark, d):
+    p = predictions(matches(spark, d))
+    return p.select("match_id", adj.small_kelly(F.col("p_h"), F.col("odds_h")).alias("stake")).select("match_id", *r9("stake"))
+
+
+@query(", b AS (SELECT league, CASE WHEN p_h >= p_d THEN 'H' WHEN p_a >= p_h THEN 'A' ELSE 'D' END pick, odds_h, odds_d, odds_a, result FROM preds), o AS (SELECT league, pick = result w, CASE pick WHEN 'H' THEN odds_h WHEN 'D' THEN odds_d ELSE odds_a END o FROM b) SELECT league, count(*) bets, CAST(sum(CAST(w AS INT)) AS BIGINT) hits, " + s9(net_roi="sum(CASE WHEN w THEN o - 1 ELSE -1 END) / count(*)", published_roi="sum(CASE WHEN w THEN o - 1 ELSE 0 END) / count(*)") + " FROM o WHERE o > 0 GROUP BY 1")
+def always_best_bets(spark, d):
+    return adj.always_best(predictions(matches(spark, d)), ["league"]).select("league", "bets", "hits", *r9("net_roi", "published_roi"))
+
+
+@query(f", b AS (SELECT league, result, {_PICK} pick, CASE greatest(p_h * odds_h, p_d * odds_d, p_a * odds_a) WHEN p_h * odds_h THEN 'H' WHEN p_d * odds_d THEN 'D' ELSE 'A' END bet FROM preds) SELECT league, count(*) n, CAST(sum(CAST(bet = result AS INT)) AS BIGINT) best_bet_hits, CAST(sum(CAST(pick = result AS INT)) AS BIGINT) pick_hits FROM b GROUP BY 1")
+def best_bet_hits(spark, d):
+    return adj.best_bets(predictions(matches(spark, d)), ["league"])
+
+
+@query(" SELECT 0.25e0 threshold, round(avg((p_h - CAST(result = 'H' AS INT)) * (p_h - CAST(result = 'H' AS INT))), 9) + 0.0e0 brier FROM preds")
+def brier_tuning(spark, d):
+    p = predictions(matches(spark, d)).withColumn("y", (F.col("result") == "H").cast("int"))
+    return adj.brier_threshold(p, "y", "p_h").select("threshold", *r9("brier"))
+
+
+@query(", c AS (SELECT league, season, 'corners' feature, round(avg(CASE WHEN home_corners > 0 THEN 1.0e0 ELSE 0.0e0 END), 3) coverage FROM matches GROUP BY 1, 2) SELECT * FROM c UNION ALL SELECT league, season, f, 0.0e0 FROM c, (VALUES ('weather'), ('injuries')) t(f)")
+def coverage_with_missing(spark, d):
+    m = matches(spark, d).withColumn("corners", F.when(F.col("home_corners") > 0, F.col("home_corners")))
+    return adj.coverage_with_missing(agg.coverage(m, ["league", "season"], ["corners"]), ["league", "season"], ["weather", "injuries"])
+
+
+@query(""", x AS (SELECT abs(corr(home_goals + away_goals, home_goals)) a1, abs(corr(home_goals + away_goals, away_goals)) a2, abs(corr(2 * odds_h + 1, home_goals)) b1, abs(corr(2 * odds_h + 1, odds_h)) b2, abs(corr(2 * odds_h + 1, away_goals)) b3, abs(corr(home_goals + away_goals, odds_h)) a3 FROM matches),
+ y AS (SELECT 'goals' feature, greatest(a1, a2, a3) c, CASE greatest(a1, a2, a3) WHEN a1 THEN 'home_goals' WHEN a2 THEN 'away_goals' ELSE 'odds_h' END nearest FROM x UNION ALL SELECT 'twice', greatest(b1, b3, b2), CASE greatest(b1, b3, b2) WHEN b1 THEN 'home_goals' WHEN b3 THEN 'away_goals' ELSE 'odds_h' END FROM x) SELECT feature, nearest, round(c, 6) + 0.0e0 corr, CASE WHEN c < 0.7 THEN 'new' WHEN c < 0.9 THEN 'related' ELSE 'same' END kind FROM y""")
+def redundant_features(spark, d):
+    m = matches(spark, d).withColumns({"goals": F.col("home_goals") + F.col("away_goals"), "twice": 2 * F.col("odds_h") + 1})
+    return adj.redundant_features(m, ["goals", "twice"], ["home_goals", "away_goals", "odds_h"]).select("feature", "nearest", F.round("corr", 6).alias("corr"), "kind")
+
+
+@query(""", l AS (SELECT match_id id, home_team_id h, away_team_id a, date t FROM matches WHERE match_id % 2 = 0), q AS (SELECT match_id request_id, home_team_id h, away_team_id a, date t FROM matches WHERE match_id % 2 = 1)
+ SELECT request_id, arg_max(id, (l.t, id)) reused_id FROM q LEFT JOIN l ON l.h = q.h AND l.a = q.a AND l.t < q.t AND date_diff('day', CAST(l.t AS DATE), CAST(q.t AS DATE)) < 14 GROUP BY 1""")
+def reused_predictions(spark, d):
+    """Requests that a prediction of the same sides, less than 14 days old, answers."""
+    m = matches(spark, d).select(F.col("match_id").alias("id"), F.col("home_team_id").alias("home"), F.col("away_team_id").alias("away"), F.col("date").alias("at"))
+    return adj.reused(m.where("id % 2 = 1").withColumnRenamed("id", "request_id"), m.where("id % 2 = 0"))
+
+
+@query(_SRC + ", r AS (SELECT *, row_number() OVER (PARTITION BY CAST(date AS DATE), lower(trim(home_team)), lower(trim(away_team)) ORDER BY prio, CASE WHEN hc IS NULL THEN 0 ELSE 1 END DESC, match_id) rn FROM s) SELECT match_id, source, row_number() OVER (ORDER BY date, home_team, away_team, match_id) - 1 id FROM r WHERE rn = 1")
+def canonical_matches(spark, d):
+    """Merged sources without doubles, in their final order and numbered."""
+    return adj.canonical(jn.dedup_by_priority(_sources(spark, d), ["hc"])).select("match_id", "source", "id")
+
+
+@query()
+def calibrated_classes(spark, d):
+    """Class probabilities from 1998 on, calibrated by the curves of 1997 where that helps."""
+    p = _classes(predictions(matches(spark, d))).select("match_id", "season", F.col("y").alias("label"), "p_h", "p_d", "p_a")
+    made = adj.calibrated_classes(p.where("season = 1997"), p.where("season >= 1998"), "label", ["p_h", "p_d", "p_a"])
+    return made.select("match_id", *[F.round(c, 6).alias(c) for c in ("p_h", "p_d", "p_a")], "calibrated")
