@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import estimation, fitted
+from touchline.operators import adjusting, estimation, fitted
 from touchline.plans import fits
 from touchline.plans.matches import matches, predictions
 
@@ -89,3 +89,18 @@ def test_temperature_is_the_least_of_a_fine_grid(spark):
 
     fine = np.exp(np.linspace(np.log(heat) - 0.01, np.log(heat) + 0.01, 2001))
     assert heat == pytest.approx(fine[np.argmin([loss(t) for t in fine])], abs=1e-4) and all(loss(heat) <= loss(t) + 1e-12 for t in np.geomspace(0.05, 20, 400))
+
+
+def test_classes_are_calibrated_only_where_that_helps(spark):
+    rng = np.random.default_rng(4)
+    q = rng.dirichlet((2, 2, 2), 6000)
+    y = (q.cumsum(axis=1) > rng.random((6000, 1))).argmax(axis=1)
+    sharp = q**2.5 / (q**2.5).sum(axis=1, keepdims=True)
+    for p, helps in ((sharp, True), (q, False)):
+        df = spark.createDataFrame([(k, *map(float, r), int(c)) for k, (r, c) in enumerate(zip(p, y, strict=True))], "id long, h double, d double, a double, y int")
+        made = adjusting.calibrated_classes(df.where("id < 4000"), df.where("id >= 4000"), "y", ["h", "d", "a"], least_error=0.05)
+        rows = made.orderBy("id").collect()
+        got = np.array([(r.h, r.d, r.a) for r in rows])
+        assert {r.calibrated for r in rows} == {helps} and len(rows) == 2000 and np.allclose(got.sum(axis=1), 1)
+        brier = lambda x, y=y: ((x - np.eye(3)[y[4000:]]) ** 2).sum(axis=1).mean()
+        assert brier(got) < brier(p[4000:]) - 0.02 if helps else np.allclose(got, p[4000:])

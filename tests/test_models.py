@@ -22,18 +22,21 @@ def rows(played):
     return sorted(played.collect(), key=lambda r: (r.date, r.match_id))
 
 
-def plain_elo(rows, k=32, edge=50, draw=1 / 3):
+def plain_elo(rows, k=32, edge=50, draw=1 / 3, winner=False, digits=None):
     """match_id to the six ratings before it, by one loop over all matches."""
     r, out = {}, {}
     e = lambda d: 1 / (1 + 10 ** (-d / 400))
     for m in rows:
         h, a = r.setdefault((m.league, m.home_team_id), [1500.0] * 3), r.setdefault((m.league, m.away_team_id), [1500.0] * 3)
         out[m.match_id] = (h[0], a[0], h[1], h[2], a[1], a[2])
-        p, s = e(h[0] - a[0] + edge), (1 if m.home_goals > m.away_goals else draw if m.home_goals == m.away_goals else 0)
+        own = -edge if winner and m.away_goals > m.home_goals else edge
+        p, s = e(h[0] - a[0] + own), (1 if m.home_goals > m.away_goals else draw if m.home_goals == m.away_goals else 0)
         t = 1 if m.away_goals > m.home_goals else draw if m.home_goals == m.away_goals else 0
         x, y = min(m.home_goals / 3, 1) - e(h[1] - a[2] + edge), min(m.away_goals / 3, 1) - e(a[1] - h[2] - edge)
         h[0], a[0] = h[0] + k * (s - p), a[0] + k * (t - 1 + p)
         h[1], a[1], h[2], a[2] = h[1] + k * x, a[1] + k * y, h[2] - k * y, a[2] - k * x
+        if digits is not None:
+            h[:], a[:] = [round(v, digits) for v in h], [round(v, digits) for v in a]
     return out
 
 
@@ -43,9 +46,12 @@ def test_elo_of_all_matches(played, rows):
     assert len(got) == len(rows)
     for r in got:
         assert (r.home_elo, r.away_elo, r.home_att, r.home_def, r.away_att, r.away_def) == pytest.approx(want[r.match_id], abs=1e-9)
-    half = plain_elo(rows, 20, 50, 0.5)
-    for r in models.elo_ratings(played, models.Elo(k=20.0, draw=0.5)).collect():
-        assert (r.home_elo, r.away_elo) == pytest.approx(half[r.match_id][:2], abs=1e-9)
+    rules = {"half_draw": models.Elo(draw=0.5), "slow": models.Elo(k=20.0, draw=0.5), "reversed": models.Elo(edge=-50.0, draw=0.5, digits=0), "winner": models.Elo(winner_edge=True, draw=0.5)}
+    plain = {"half_draw": plain_elo(rows, 32, 50, 0.5), "slow": plain_elo(rows, 20, 50, 0.5), "reversed": plain_elo(rows, 32, -50, 0.5, digits=0), "winner": plain_elo(rows, 32, 50, 0.5, winner=True)}
+    made = models.elo_by_rules(played, rules).collect()
+    assert len(made) == 4 * len(rows)
+    for r in made:
+        assert (r.home_elo, r.away_elo, r.home_att, r.home_def, r.away_att, r.away_def) == pytest.approx(plain[r.rule][r.match_id], abs=1e-9), r.rule
 
 
 def test_elo_goes_on_from_a_snapshot(played, rows):

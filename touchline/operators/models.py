@@ -32,29 +32,31 @@ class Elo:
     digits: int | None = None
 
 
-def _folded(matches: DataFrame, rule: Elo, seeds: DataFrame | None, states: bool) -> DataFrame:
-    """The fold of each league in (date, match_id) order, from ``seeds`` if given. Spark sorts leagues (and spills); the fold streams batches
-    and keeps three numbers for each team of one league. ``states`` gives the ratings at the end instead of those before each match."""
-    names = [f.split()[0] for f in (STATE if states else RATINGS).split(", ")]
+def _folded(matches: DataFrame, rules: list[Elo], seeds: DataFrame | None, states: bool) -> DataFrame:
+    """The fold of each rule and league in (date, match_id) order, from ``seeds`` if given, with the rule's place in the list. The matches are
+    read once; Spark sorts rules and leagues (and spills); the fold streams batches and keeps three numbers for each team of one
+    league. ``states`` gives the ratings at the end instead of those before each match."""
+    schema = "rule int, " + (STATE if states else RATINGS)
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        league, rating, attack, defence = None, {}, {}, {}
+        key, rule, rating, attack, defence = None, rules[0], {}, {}, {}
         expect = lambda gap: 1 / (1 + 10 ** (-gap / 400))
-        keep = (lambda x: round(x, rule.digits)) if rule.digits is not None else (lambda x: x)
+        keep = lambda x: x if rule.digits is None else round(x, rule.digits)
 
         def ended() -> pa.RecordBatch:
             teams = sorted(rating)
-            columns = [[league] * len(teams), teams, *[[d.get(t, rule.first) for t in teams] for d in (rating, attack, defence)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), *[pa.float64()] * 3), strict=True)], names)
+            columns = [[key[0]] * len(teams), [key[1]] * len(teams), teams, *[[d.get(t, rule.first) for t in teams] for d in (rating, attack, defence)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 3), strict=True)], names)
 
         for batch in batches:
             out, shown = np.empty((batch.num_rows, 6)), np.zeros(batch.num_rows, bool)
-            columns = [batch.column(c).to_pylist() for c in ("league", "kind", "home_team_id", "away_team_id", "home_goals", "away_goals", "r0", "r1", "r2")]
-            for i, (own, kind, h, a, hg, ag, *seed) in enumerate(zip(*columns, strict=True)):
-                if own != league:
+            columns = [batch.column(c).to_pylist() for c in ("rule", "league", "kind", "home_team_id", "away_team_id", "home_goals", "away_goals", "r0", "r1", "r2")]
+            for i, (number, league, kind, h, a, hg, ag, *seed) in enumerate(zip(*columns, strict=True)):
+                if key != (number, league):
                     if states and rating:
                         yield ended()
-                    league, rating, attack, defence = own, {}, {}, {}
+                    key, rule, rating, attack, defence = (number, league), rules[number], {}, {}, {}
                 if kind == 0:
                     rating[h], attack[h], defence[h] = seed
                     continue
@@ -70,7 +72,7 @@ def _folded(matches: DataFrame, rule: Elo, seeds: DataFrame | None, states: bool
                 attack[h], attack[a] = keep(ah + rule.k * (gh - eh)), keep(aa + rule.k * (ga - ea))
                 defence[h], defence[a] = keep(dh - rule.k * (ga - ea)), keep(da - rule.k * (gh - eh))
             if not states:
-                made = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], *[pa.array(c) for c in out.T.copy()]], names)
+                made = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:6]], *[pa.array(c) for c in out.T.copy()]], names)
                 yield made.filter(pa.array(shown))
         if states and rating:
             yield ended()
@@ -83,7 +85,8 @@ def _folded(matches: DataFrame, rule: Elo, seeds: DataFrame | None, states: bool
     if seeds is not None:
         start = seeds.select("league", F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("date"), F.lit(None).cast("long").alias("match_id"), F.col("team").alias("home_team_id"), F.lit(None).cast("long").alias("away_team_id"), *none("home_goals", "away_goals"), F.col("elo").alias("r0"), F.col("att").alias("r1"), F.col("def").alias("r2"))
         rows = rows.union(start)
-    return rows.repartition("league").sortWithinPartitions("league", "kind", "date", "match_id").mapInArrow(fold, STATE if states else RATINGS)
+    rows = rows.withColumn("rule", F.explode(F.array(*[F.lit(k) for k in range(len(rules))])))
+    return rows.repartition("rule", "league").sortWithinPartitions("rule", "league", "kind", "date", "match_id").mapInArrow(fold, schema)
 
 
 def elo_ratings(matches: DataFrame, rule: Elo = Elo(), seeds: DataFrame | None = None) -> DataFrame:
@@ -91,12 +94,18 @@ def elo_ratings(matches: DataFrame, rule: Elo = Elo(), seeds: DataFrame | None =
 
     A rating depends on all earlier matches of both teams, so a league is one fold in (date, match_id) order. Leagues
     fold in parallel. Conceding lowers the defence rating. Matches without a score are left out."""
-    return _folded(matches, rule, seeds, False)
+    return _folded(matches, [rule], seeds, False).drop("rule")
+
+
+def elo_by_rules(matches: DataFrame, rules: dict[str, Elo]) -> DataFrame:
+    """``elo_ratings`` by several rules (named in ``rule``) from one reading of the matches; each rule and league is a fold of its own."""
+    made = _folded(matches, list(rules.values()), None, False)
+    return made.withColumn("rule", F.element_at(F.array(*[F.lit(k) for k in rules]), F.col("rule") + 1))
 
 
 def elo_state(matches: DataFrame, rule: Elo = Elo(), seeds: DataFrame | None = None) -> DataFrame:
     """league, team and its ratings after all ``matches``: a snapshot from which later ones go on, so a season's chain need not be run again."""
-    return _folded(matches, rule, seeds, True)
+    return _folded(matches, [rule], seeds, True).drop("rule")
 
 
 def opponent_strength(ratings: DataFrame, n: int = 10) -> DataFrame:

@@ -519,8 +519,7 @@ def elo_variants(spark, d):
     """Draws at a half, slower moves, the edge turned round with whole numbers, and the edge with the winner."""
     m = matches(spark, d)
     rules = {"half_draw": models.Elo(draw=0.5), "slow": models.Elo(k=20.0, draw=0.5), "reversed": models.Elo(edge=-50.0, draw=0.5, digits=0), "winner": models.Elo(winner_edge=True, draw=0.5)}
-    made = [models.elo_ratings(m, r).select(F.lit(k).alias("rule"), "match_id", *r9("home_elo", "away_elo")) for k, r in rules.items()]
-    return made[0].union(made[1]).union(made[2]).union(made[3])
+    return models.elo_by_rules(m, rules).select("rule", "match_id", *r9("home_elo", "away_elo"))
 
 
 @query()
