@@ -217,16 +217,21 @@ def count_spreads(df: DataFrame, count: str, by: list[str]) -> DataFrame:
     return made.withColumn("alpha", F.when(F.col("mean") > 0, F.greatest(F.lit(0.01), F.col("_v") / F.col("mean") - 1)).otherwise(0.5)).drop("_v")
 
 
+def _summing_to_one(p: Column) -> Column:
+    total = F.aggregate(p, F.lit(0.0), lambda t, x: t + x)
+    return F.transform(p, lambda x: x / total)
+
+
 def fitted_count_overs(train: DataFrame, df: DataFrame, home: str, away: str, by: list[str], lines: tuple[int, ...], most: int = 20) -> DataFrame:
     """``df`` with over<line>5 of home and away counts together: negative binomials with each group's mean and alpha of ``train``, each cut
     at ``most`` and made to sum to 1. Groups that ``train`` lacks get nulls."""
-    made = df
+    keys = [F.col(k).alias(f"_{k}") for k in by]
+    groups = None
     for side, c in (("h", home), ("a", away)):
-        own = count_spreads(train, c, by).select(*[F.col(k).alias(f"_{side}{k}") for k in by], F.greatest("mean", F.lit(0.05)).alias(f"_{side}m"), F.greatest(F.greatest("mean", F.lit(0.05)) / F.greatest("alpha", F.lit(1e-3)), F.lit(0.05)).alias(f"_{side}r"))
-        raw = negative_binomial_pmf(F.col(f"_{side}m"), F.col(f"_{side}r"), most)
-        own = own.withColumn(f"_{side}p", raw).withColumn(f"_{side}p", F.transform(f"_{side}p", lambda x, s=side: x / F.aggregate(f"_{s}p", F.lit(0.0), lambda t, y: t + y)))  # a row for each group
-        same = [F.col(k).eqNullSafe(F.col(f"_{side}{k}")) for k in by]
-        made = made.join(own, reduce(and_, same), "left")
-    made = made.withColumn("_t", convolved(F.col("_hp"), F.col("_ap"), max(lines)))
+        mean = F.greatest("mean", F.lit(0.05))
+        own = count_spreads(train, c, by).select(*keys, mean.alias("_m"), F.greatest(mean / F.greatest("alpha", F.lit(1e-3)), F.lit(0.05)).alias("_r"))
+        own = own.select(*[f"_{k}" for k in by], _summing_to_one(negative_binomial_pmf(F.col("_m"), F.col("_r"), most)).alias(f"_{side}p"))
+        groups = own if groups is None else groups.join(own, [f"_{k}" for k in by])
     below = lambda k: F.aggregate(F.slice("_t", 1, k + 1), F.lit(0.0), lambda s, x: s + x)
-    return made.select(*df.columns, *[(1 - below(k)).alias(f"over{k}5") for k in lines])
+    groups = groups.withColumn("_t", convolved(F.col("_hp"), F.col("_ap"), max(lines))).select(*[f"_{k}" for k in by], *[(1 - below(k)).alias(f"over{k}5") for k in lines])  # a row for each group
+    return df.join(groups, reduce(and_, [F.col(k) == F.col(f"_{k}") for k in by]), "left").drop(*[f"_{k}" for k in by])
