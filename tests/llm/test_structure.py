@@ -183,15 +183,15 @@ def plain_alignment(texts):
     return [none if m is None else (m[0], m[1], len(m[2]), len(m[3]), sum(counts[x] == top[x[1]] for x in m[3]), sum(counts[x] for x in m[3]), hashlib.sha256(";".join(m[2]).encode()).hexdigest()) for m in made]
 
 
-@pytest.mark.parametrize("share", [crossalign.SHARE, 500])
-def test_token_alignment(spark, small, share):
+@pytest.mark.parametrize(("share", "step"), [(crossalign.SHARE, crossalign.STEP), (500, 300)])
+def test_token_alignment(spark, small, share, step):
     rng = random.Random(4)
     signs = [*"ab ▁\n\t é日\x00.1'<|s>", "<|endoftext|>", "<s>", "  ", "the ", " don't", "　", "́"]
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     rows += [(1000 + k, "".join(rng.choices(signs, k=rng.randrange(30)))) for k in range(600)]
     rows += [(None, None), (5, ""), (5, " "), (5, "a b"), (5, "a b"), (7, "x" * 50_000), (8, "a b " * 20_000)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, row string, pairs long").repartition(3)
-    got = Counter(tuple(r) for r in crossalign.alignment(df, share=share).collect())
+    got = Counter(tuple(r) for r in crossalign.alignment(df, share=share, step=step).collect())
     want = Counter((r[0], *w) for r, w in zip(rows, plain_alignment([r[1] for r in rows]), strict=True))
     assert got == want
     assert crossalign.alignment(df.limit(0)).count() == 0

@@ -233,14 +233,14 @@ def tokenized(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B) -
     return written(texts_of(docs).mapInArrow(work, f"{COLUMNS}, pairs array<long>, times array<long>"), "tokenized")
 
 
-def flat_lists(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of rows with about STEP list entries: the rows' lengths and their entries of each list column."""
+def flat_lists(batch: pa.RecordBatch, *names: str, step: int = STEP) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of rows with about ``step`` list entries: the rows' lengths and their entries of each list column."""
     lists = [batch.column(c) for c in names]
     ends = np.concatenate([[0], np.cumsum(np.nan_to_num(lists[0].value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))])
     values = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
     at = 0
     while at < batch.num_rows:
-        to = min(max(int(np.searchsorted(ends, ends[at] + STEP, side="right")) - 1, at + 1), batch.num_rows)
+        to = min(max(int(np.searchsorted(ends, ends[at] + step, side="right")) - 1, at + 1), batch.num_rows)
         yield np.arange(at, to), np.diff(ends[at : to + 1]), *[v[ends[at] : ends[to]] for v in values]
         at = to
 
@@ -342,7 +342,7 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "b", "tag", "base", "a", "row", "n"])
 
 
-def posted(table: DataFrame, counts: DataFrame, width: int, plan: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def posted(table: DataFrame, counts: DataFrame, width: int, plan: tuple[np.ndarray, np.ndarray], step: int = STEP) -> DataFrame:
     """Two kinds of rows for each partition and b id: tag 0 has the b id's counts, tag 1 a step's postings: a, place of the document behind
     ``base``, multiplicity."""
     sent = table.sparkSession.sparkContext.broadcast(plan)  # a number for each b id and group
@@ -351,7 +351,7 @@ def posted(table: DataFrame, counts: DataFrame, width: int, plan: tuple[np.ndarr
         group, begin = sent.value
         for batch in batches:
             numbers = batch.column("row").to_numpy()
-            for own, lengths, keys, times in flat_lists(batch, "pairs", "times"):
+            for own, lengths, keys, times in flat_lists(batch, "pairs", "times", step=step):
                 if not len(keys):
                     continue
                 rows, base = np.repeat(numbers[own], lengths), int(numbers[own[0]])
@@ -425,7 +425,7 @@ def contributions(posts: DataFrame, width: int, flush: int = 1 << 20) -> DataFra
     return posts.mapInArrow(work, "row long, n_best long, count_sum long")
 
 
-def alignment(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, share: int = SHARE) -> DataFrame:
+def alignment(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, share: int = SHARE, step: int = STEP) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row of ``docs``.
 
     Null and empty texts, and texts that a tokenizer does not give back byte by byte, have no tokens: zeros and ''. Repeated rows
@@ -434,7 +434,7 @@ def alignment(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, s
     width = _width(model_a)
     counts = counted(table, width)
     plan = dealt(counts, share)
-    posts = posted(table, counts, width, plan).repartitionById(int(plan[1][-1]), F.col("part")).sortWithinPartitions("part", "b", "tag")
+    posts = posted(table, counts, width, plan, step).repartitionById(int(plan[1][-1]), F.col("part")).sortWithinPartitions("part", "b", "tag")
     sums = contributions(posts, width).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     none = F.lit(0).cast("long")
     return table.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")
