@@ -19,7 +19,7 @@ def names(rng, n):
 @pytest.fixture(scope="module")
 def both(spark):
     rng = random.Random(8)
-    left, right = names(rng, 260), names(rng, 260)
+    left, right = names(rng, 170), names(rng, 170)
     right += [x[1:-1] for x in left[:40] if len(x) > 3]
     frame = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} long, name string")
     return left, right, frame(left, "query_id"), frame(right, "team_id")
