@@ -89,8 +89,8 @@ def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge:
 def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
     """Fits on ``per_lang`` rows of each language, or as many fewer as keep all languages within ``sample``, one at least: those
     of the smallest hash of doc_id. Every language is learned. A doc_id counts once in a language, with the text of the smallest hash if
-    it has several; rows without one teach nothing. Presence bits come to the driver."""
-    labelled = docs.where("lang is not null and text is not null and doc_id is not null")
+    it has several; rows without one are one id. Presence bits come to the driver."""
+    labelled = docs.where("lang is not null and text is not null")
     langs = labelled.agg(F.countDistinct("lang")).first()[0]
     if not langs:
         return None
@@ -104,7 +104,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["place", "lang", "bits"])
 
     # ``chosen`` holds max(sample, languages) rows of two numbers and a name at most
-    same = (F.col("doc_id").cast("long") == F.col("id")) & (F.col("lang") == F.col("own"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("own"))
     picked = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), same)
     picked = picked.groupBy(F.col("id").alias("doc_id"), "lang", "place").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     made = texts_of(picked, "lang", "place").mapInArrow(work, "place long, lang string, bits binary")
