@@ -82,9 +82,9 @@ def mixture_fit(spark, d):
     return loss.select("n", *[F.round(F.lit(float(k)), 6).alias(f"w_{n}") for n, k in zip(names, w, strict=True)], F.round(F.lit(heat), 6).alias("temperature"), *r9("mixed_loss", "heated_loss"))
 
 
-def part_names(spark, d):
-    """A name of each part, and queries: parts of names, names with a word too many, with letters changed, and words turned round."""
-    k = table(spark, d, "part").select(F.col("p_partkey").alias("team_id"), F.concat(F.lower(F.trim("p_name")), F.lit(" "), F.lower("p_brand")).alias("name"))
+def part_names(spark, d, brands=True):
+    """A name of each part (with its brand, or alone), and queries: parts of names, names with a word too many, with letters changed, and words turned round."""
+    k = table(spark, d, "part").select(F.col("p_partkey").alias("team_id"), (F.concat(F.lower(F.trim("p_name")), F.lit(" "), F.lower("p_brand")) if brands else F.lower(F.trim("p_name"))).alias("name"))
     n = F.col("name")
     said = F.when(F.col("team_id") % 4 == 0, F.substr(n, F.lit(2), F.length(n) - 3)).when(F.col("team_id") % 4 == 1, F.concat(F.lit("fc "), n)).when(F.col("team_id") % 4 == 2, F.translate(n, "oe", "au")).otherwise(F.concat_ws(" ", F.reverse(F.split(n, " "))))
     return k.select((F.col("team_id") + 10_000_000).alias("query_id"), said.alias("name")), k
@@ -104,14 +104,14 @@ def contained_names(spark, d):
 @query()
 def fuzzy_club_names(spark, d):
     """For every query name the known one of the largest block ratio, 0.80 or more."""
-    q, k = part_names(spark, d)
+    q, k = part_names(spark, d, brands=False)
     return mt.fuzzy_names(q, k).select("query_id", "team_id", *r9("score"))
 
 
 @query()
 def close_team_names(spark, d):
     """A search: the names whose number is divisible by 100, each against all names, by block ratio from 0.6 on."""
-    q, k = part_names(spark, d)
+    q, k = part_names(spark, d, brands=False)
     return mt.close_names(q.where("query_id % 100 = 0"), k.where("team_id % 100 <> 0"))
 
 
