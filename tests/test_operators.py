@@ -217,3 +217,23 @@ def test_elo_streams_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert len(got) == 600 and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_market_checks_mix_and_round_to_the_last_bit(spark):
+    import duckdb
+
+    from touchline.plans.queries import sql_round
+
+    rows = [(i / 20, j / 20) for i in range(21) for j in range(21)]
+    df = spark.createDataFrame(rows, "t double, g double").where("t > 0 and g > 0")
+    assert all(r.b == 0.7 * r.t + 0.3 * r.g for r in df.select("t", "g", st.blend(F.col("t"), F.col("g")).alias("b")).collect())
+    made = spark.range(20_000).select((0.2 + F.col("id") / 12800.0).alias("x")).select("x", sql_round("x", 9).alias("r")).collect()
+    said = duckdb.sql("select 0.2e0 + i / 12800.0e0 x, round(0.2e0 + i / 12800.0e0, 9) r from range(20000) t(i) order by i").fetchall()
+    assert [tuple(r) for r in made] == said
+
+
+def test_checked_markets_keep_probabilities_that_sum_to_one(spark):
+    df = spark.range(2000).select((0.1 + F.col("id") / 7919.0).alias("p_h"), (0.1 + F.col("id") / 6007.0).alias("p_d")).withColumn("p_a", 1 - F.col("p_h") - F.col("p_d"))
+    assert st.normalised(df, 1e-12).exceptAll(df).count() == 0
+    half = st.normalised(df.select(*[(F.col(c) / 2).alias(c) for c in df.columns]), 1e-12)
+    assert half.where("abs(p_h + p_d + p_a - 1) > 1e-12").count() == 0

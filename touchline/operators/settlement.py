@@ -46,10 +46,11 @@ def recent_means(matches: DataFrame, by: str, values: dict[str, Column], n: int
     return rows.where(F.col("_rn") <= n).groupBy(by).agg(*[F.avg(k).alias(k) for k in values])
 
 
-def blend(team: Column, league: Column, weight: float = 0.7) -> Column:
-    """Team and league means mixed; whichever is there where one is 0 or missing."""
+def blend(team: Column, league: Column, weight: float = 0.7, rest: float = 0.3) -> Column:
+    """Team and league means mixed; whichever is there where one is 0 or missing. ``rest`` is its own number, as 1 - 0.7 is not 0.3
+    and differences of 0.15 or 0.2 lie on a threshold then."""
     t, g = F.coalesce(team, F.lit(0.0)), F.coalesce(league, F.lit(0.0))
-    return F.when((t > 0) & (g > 0), weight * t + (1 - weight) * g).when(t > 0, t).otherwise(g)
+    return F.when((t > 0) & (g > 0), weight * t + rest * g).when(t > 0, t).otherwise(g)
 
 
 def check_markets(preds: DataFrame, history: DataFrame, n: int = 20) -> DataFrame:
@@ -80,15 +81,15 @@ def check_markets(preds: DataFrame, history: DataFrame, n: int = 20) -> DataFram
     up = F.when((ratio > 1.8) & (F.col("p_h") < 0.5), F.least(F.lit(0.08), (ratio - 1.8) * 0.05)).otherwise(0.0)
     down = F.when((ratio < 0.55) & (F.col("p_a") < 0.45), F.least(F.lit(0.08), (0.55 - ratio) * 0.05)).otherwise(0.0)
     raw = {"p_h": F.col("p_h") + up - down / 2, "p_d": F.col("p_d") - (up + down) / 2, "p_a": F.col("p_a") + down - up / 2}
-    df = normalised(df.withColumns(raw))
+    df = normalised(df.withColumns(raw), 1e-12)
     bounds = {"p_h": 0.95, "p_d": 0.5, "p_a": 0.95}
     return normalised(df.withColumns({k: F.greatest(F.lit(0.02), F.least(F.lit(b), F.col(k))) for k, b in bounds.items()})).select(*own)
 
 
-def normalised(df: DataFrame) -> DataFrame:
-    """p_h, p_d, p_a with sum 1; as they are where the sum is not positive."""
+def normalised(df: DataFrame, near: float = -1.0) -> DataFrame:
+    """p_h, p_d, p_a with sum 1; as they are where the sum is not positive, or within ``near`` of 1 already."""
     total = F.col("p_h") + F.col("p_d") + F.col("p_a")
-    return df.withColumns({f"p_{x}": F.when(total > 0, F.col(f"p_{x}") / total).otherwise(F.col(f"p_{x}")) for x in "hda"})
+    return df.withColumns({f"p_{x}": F.when((total > 0) & (F.abs(total - 1) > near), F.col(f"p_{x}") / total).otherwise(F.col(f"p_{x}")) for x in "hda"})
 
 
 def flips(recs: DataFrame, kind: Column, least: int = 50, weak: float = 0.4, gap: float = 0.1, sure: float = 0.65, shift: float = 0.15) -> DataFrame:
