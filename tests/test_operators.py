@@ -237,3 +237,26 @@ def test_checked_markets_keep_probabilities_that_sum_to_one(spark):
     assert st.normalised(df, 1e-12).exceptAll(df).count() == 0
     half = st.normalised(df.select(*[(F.col(c) / 2).alias(c) for c in df.columns]), 1e-12)
     assert half.where("abs(p_h + p_d + p_a - 1) > 1e-12").count() == 0
+
+
+def _joined_rows(plan):
+    """The most rows that a join of an executed plan gave."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+    return max([own, *map(_joined_rows, inner)])
+
+
+def test_near_results_join_days_and_not_rows(spark):
+    day = lambda k: datetime(2020, 1, 1 + k % 3, k % 5)
+    results = [(1 + k % 2, 2 - k % 2, day(k), k % 4, k % 3, k % 7 % 3) for k in range(600)]
+    asked = [(k % 590, 1 + k % 2, 2 - k % 2, day(k * 7)) for k in range(600)]  # ten ids asked twice
+    made = joins.results_near(spark.createDataFrame(asked, "request_id int, home int, away int, day timestamp"), spark.createDataFrame(results, "home int, away int, day timestamp, home_goals int, away_goals int, priority int"), days=1)
+    both = [(h, a, p, False, d, hg, ag) for h, a, d, hg, ag, p in results] + [(a, h, p, True, d, ag, hg) for h, a, d, hg, ag, p in results]
+    want = {}
+    for k, h, a, d in asked:
+        gap = lambda t, d=d: abs((t.date() - d.date()).days)
+        want[k] = min([(p, gap(t), sw, t, hg, ag) for x, y, p, sw, t, hg, ag in both if (x, y) == (h, a) and gap(t) <= 1] + ([want[k]] if k in want else []))
+    got = made.collect()
+    assert len(got) == 590 and all(want[r.request_id] == (r.priority, abs((r.result_day.date() - r.day.date()).days), r.swapped, r.result_day, r.home_goals, r.away_goals) for r in got)
+    assert _joined_rows(made._jdf.queryExecution().executedPlan()) <= 600

@@ -47,14 +47,23 @@ def surrogate_ids(df: DataFrame, group: str, name: str, source: str) -> DataFram
 
 def results_near(requests: DataFrame, results: DataFrame, days: int = 7) -> DataFrame:
     """For each request (request_id, home, away, day) the best result of either orientation within ``days``: source priority,
-    then nearest. Requests are exploded over week buckets, so it is an equi-join on the pair and the bucket."""
+    then nearest.
+
+    Of a pair's results of one day only the best can win, and requests of a pair's day have one answer. So days are joined, not
+    rows: an equi-join on the pair and the bucket of ``days`` days, of which a bucket holds ``days`` at most on either side."""
+    since = lambda c: F.datediff(c, F.lit("1970-01-01"))
     swapped = results.select(F.col("away").alias("home"), F.col("home").alias("away"), "day", F.col("away_goals").alias("home_goals"), F.col("home_goals").alias("away_goals"), "priority", F.lit(True).alias("swapped"))
     both = results.select("home", "away", "day", "home_goals", "away_goals", "priority", F.lit(False).alias("swapped")).union(swapped)
-    both = both.withColumn("bucket", F.floor(F.datediff("day", F.lit("1970-01-01")) / days)).withColumnRenamed("day", "result_day")
-    asked = requests.withColumn("bucket", F.explode(F.array(*[F.floor(F.datediff("day", F.lit("1970-01-01")) / days) + k for k in (-1, 0, 1)])))
-    found = asked.join(both, ["home", "away", "bucket"]).where(F.abs(F.datediff("day", "result_day")) <= days)
-    w = W.partitionBy("request_id").orderBy("priority", F.abs(F.datediff("day", "result_day")), "swapped", "result_day", "home_goals", "away_goals")
-    return found.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "bucket")
+    rest = ("swapped", "result_day", "home_goals", "away_goals")
+    known = both.withColumnRenamed("day", "result_day").groupBy("home", "away", since("result_day").alias("_r")).agg(F.min(F.struct("priority", *rest)).alias("_best"))
+    known = known.withColumn("bucket", F.floor(F.col("_r") / days))
+    asked = requests.select("home", "away", since("day").alias("_d")).distinct().withColumn("bucket", F.explode(F.array(*[F.floor(F.col("_d") / days) + k for k in (-1, 0, 1)])))
+    gap = F.abs(F.col("_d") - F.col("_r"))
+    found = asked.join(known, ["home", "away", "bucket"]).where(gap <= days)
+    answers = found.groupBy("home", "away", "_d").agg(F.min(F.struct(F.col("_best.priority").alias("priority"), gap.alias("gap"), *[F.col(f"_best.{c}").alias(c) for c in rest])).alias("_best"))
+    made = requests.withColumn("_d", since("day")).join(answers, ["home", "away", "_d"])
+    made = made.select("home", "away", *[c for c in requests.columns if c not in ("home", "away")], "_best")
+    return keep(made, ["request_id"], [F.col("_best")]).select("*", *[F.col(f"_best.{c}").alias(c) for c in ("result_day", "home_goals", "away_goals", "priority", "swapped")]).drop("_best")
 
 
 def enrich(df: DataFrame, update: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
