@@ -104,3 +104,17 @@ def test_classes_are_calibrated_only_where_that_helps(spark):
         assert {r.calibrated for r in rows} == {helps} and len(rows) == 2000 and np.allclose(got.sum(axis=1), 1)
         brier = lambda x, y=y: ((x - np.eye(3)[y[4000:]]) ** 2).sum(axis=1).mean()
         assert brier(got) < brier(p[4000:]) - 0.02 if helps else np.allclose(got, p[4000:])
+
+
+def test_rows_that_calibrate_classes_are_computed_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, *map(float, r), int(rng.integers(3))) for k, r in enumerate(rng.dirichlet((2, 2, 2), 400))]
+    df, seen = spark.createDataFrame(rows, "id long, h double, d double, a double, y int"), spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    cal = df.where("id < 300").withColumn("h", F.udf(told, "double")("h"))
+    made = adjusting.calibrated_classes(cal, df.where("id >= 300"), "y", ["h", "d", "a"])
+    assert made.count() == 100 and seen.value == 300

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +61,12 @@ def calibrated_classes(cal: DataFrame, df: DataFrame, label: str, probabilities:
     """``df`` with each class's probability on the curve (logistic, beta or monotone) that has the least log-loss on ``cal``, normalised.
 
     They are used only if they gain ``least_gain`` in log-loss on ``cal`` and the first class's calibration error there is above
-    ``least_error``; else the given ones are, normalised. ``calibrated`` tells which."""
+    ``least_error``; else the given ones are, normalised. ``calibrated`` tells which.
+    ``cal`` is computed once and kept, in a part for each core, while the curves are fitted: each of their many steps sends the driver
+    something for every part. ``df`` is read by the result only."""
+    cal = cal.select(label, *probabilities).repartition(cal.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     curves = ["platt", "beta", "isotonic"]
-    kept, both = [c for c in df.columns if c not in probabilities], cal.select(label, *probabilities, F.lit(True).alias("_cal")).unionByName(df.withColumn("_cal", F.lit(False)), allowMissingColumns=True)
+    kept, both = [c for c in df.columns if c not in probabilities], cal.withColumn("_cal", F.lit(True)).unionByName(df.withColumn("_cal", F.lit(False)), allowMissingColumns=True)
     chosen = []
     for k, p in enumerate(probabilities):
         y = (F.col(label) == k).cast("int")
@@ -77,6 +81,7 @@ def calibrated_classes(cal: DataFrame, df: DataFrame, label: str, probabilities:
     loss = lambda cols: F.avg(-F.ln(F.greatest(F.get(F.array(*cols), F.col(label).cast("int")), F.lit(EPS))))
     row = both.where("_cal").agg(loss(shares(chosen)).alias("after"), loss(raw).alias("before")).first()
     error = calibration_error(cal.select((F.col(label) == 0).cast("int").alias("y"), F.col(probabilities[0]).alias("p")), "y", "p").first()[0]
+    cal.unpersist()
     use = bool(row["after"] <= row["before"] - least_gain and error > least_error)
     value = shares(chosen if use else raw)
     return both.where("not _cal").select(*kept, *[v.alias(p) for v, p in zip(value, probabilities, strict=True)], F.lit(use).alias("calibrated"))
