@@ -118,3 +118,14 @@ def test_rows_that_calibrate_classes_are_computed_once(spark):
     cal = df.where("id < 300").withColumn("h", F.udf(told, "double")("h"))
     made = adjusting.calibrated_classes(cal, df.where("id >= 300"), "y", ["h", "d", "a"])
     assert made.count() == 100 and seen.value == 300
+
+
+def test_gram_of_the_statistics_is_summed_by_task(spark):
+    """Each task sends one row a cell, whatever its rows."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(3000, 1)), rng.integers(0, 9, 3000)
+    df = spark.createDataFrame([(1.0, float(a), None if k % 3 == 0 else float(b)) for k, (a, b) in enumerate(zip(x[:, 0], y, strict=True))], "c double, x double, y double").repartition(3)
+    got = df.mapInArrow(estimation._products(2), "at int, part double").toPandas()
+    assert len(got) == 3 * 2 * 4
+    a, seen = np.column_stack([np.ones(3000), x]), (np.arange(3000) % 3 != 0).astype(float)
+    assert np.allclose(got.groupby("at")["part"].sum().to_numpy().reshape(2, 4), a.T @ np.column_stack([a, y * seen, seen]))

@@ -7,6 +7,7 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,21 @@ def _inputs(features: list[str]) -> list[Column]:
     return [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]]
 
 
+def _products(p: int):
+    """Sums over a task's rows of the products of the first ``p`` columns with all columns (null: 0) and with whether the others are known."""
+
+    def run(batches):
+        total = 0.0
+        for b in batches:
+            cols = [np.asarray(c.fill_null(0.0)) for c in b.columns]
+            seen = [np.asarray(c.is_valid().cast("double")) for c in b.columns[p:]]
+            total = total + np.stack(cols[:p]) @ np.stack([*cols, *seen]).T
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], ["at", "part"])
+
+    return run
+
+
 def stat_models(matches: DataFrame, features: list[str], targets: list[str] = STATS, ridge: float = 1e-3, least: int = 1000, least_known: int = 500) -> StatModels:
     """Least squares with a small ridge for all targets at once from one Gram matrix.
 
@@ -37,21 +53,16 @@ def stat_models(matches: DataFrame, features: list[str], targets: list[str] = ST
     target known in fewer than ``least_known`` rows, and none at all below ``least`` rows."""
     targets = [t for t in targets if t in matches.columns]
     x, p = _inputs(features), len(features) + 1
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    sums = [total(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
-    for t in targets:
-        y = F.col(t).cast("double")
-        sums += [total(F.when(y.isNotNull(), x[i] * y)).alias(f"y{t}{i}") for i in range(p)] + [total(F.when(y.isNotNull(), x[i])).alias(f"k{t}{i}") for i in range(p)]
     known = F.coalesce(*[F.col(t).cast("double") for t in targets]) if targets else F.lit(None)
-    row = matches.where(known.isNotNull()).agg(*sums).first()
-    gram = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
+    rows = matches.where(known.isNotNull()).select(*[c.alias(f"_x{i}") for i, c in enumerate(x)], *[F.col(t).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)])
+    parts, k = np.zeros(p * (p + 2 * len(targets))), len(targets)
+    for r in rows.mapInArrow(_products(p), "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect():
+        parts[r["at"]] = r["part"]
+    gram, ys, ks = np.split(parts.reshape(p, p + 2 * k), [p, p + k], axis=1)
     n, made = gram[0, 0], {}
     pull = np.diag([0.0] + [ridge * n] * (p - 1))
-    for t in targets if n >= least else []:
-        have, seen = np.array([row[f"k{t}{i}"] for i in range(p)]), np.array([row[f"y{t}{i}"] for i in range(p)])
+    for i, t in enumerate(targets if n >= least else []):
+        have, seen = ks[:, i], ys[:, i]
         if have[0] >= least_known:
             made[t] = np.linalg.solve(gram + pull, seen + seen[0] / have[0] * (gram[0] - have))
     return StatModels(list(features), made)
