@@ -10,6 +10,7 @@ from touchline.operators import feedback as fb
 from touchline.operators import fitted, joins, models
 from touchline.operators import settlement as st
 from touchline.operators import windows as win
+from touchline.plans import more
 from touchline.sources import readers
 
 
@@ -23,6 +24,18 @@ def test_scalars(spark):
     assert r[2] == 0 and r[3] is None and r[4] == "9394" and r[5] == "FT" and r[6] == "UNKNOWN"
 
 
+def test_status_codes_are_those_of_the_reference(spark, small):
+    """Reference: normalization/silver.py:13-18 (the map), :125 (what is no key of it is UNKNOWN); a raw LIVE is no key."""
+    known = {"NS": "NS TBD PST", "LIVE": "1H HT 2H ET BT P", "FT": "FT AET PEN", "SUSP": "SUSP INT", "ABD": "ABD CANC", "POST": "POST", "UNKNOWN": "LIVE WO ft"}
+    want = {raw: status for status, codes in known.items() for raw in codes.split()} | {None: "UNKNOWN"}
+    made = spark.createDataFrame([(raw,) for raw in want], "raw string").select("raw", fn.status_code(F.col("raw")).alias("status"))
+    assert {r.raw: r.status for r in made.collect()} == want
+    codes = "NS TBD PST 1H HT 2H ET BT P LIVE FT AET PEN SUSP INT ABD CANC POST WO".split()
+    got = more.status_codes(spark, small).collect()
+    assert sorted(r.match_id for r in got) == sorted(r[0] for r in spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey").collect())
+    assert {r.match_id % 19 for r in got} == set(range(19)) and all(r.status == want[codes[r.match_id % 19]] for r in got)
+
+
 def test_value_bets(spark):
     df = spark.createDataFrame([(0.5, 0.25, 0.25, 1.9, 3.5, 4.5), (0.4, 0.3, 0.3, 3.0, 3.2, 2.6), (0.3, 0.3, 0.4, 3.0, 3.0, 2.0)], "p_h double, p_d double, p_a double, odds_h double, odds_d double, odds_a double")
     rows = ev.value_bets(df).collect()
